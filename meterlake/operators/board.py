@@ -157,7 +157,7 @@ def context_rows(board: DataFrame, handle: str, n: int = 5) -> DataFrame:
     worse = below.withColumn("__p", F.row_number().over(up) * 2 + 3)
     few = first.unionByName(me).unionByName(better).unionByName(worse).groupBy("__id").agg(
         F.min("__p").alias("__p"), F.min_by(F.struct(*rest), "__p").alias("r"))
-    return few.orderBy("__p").limit(n).select("r.*")
+    return few.orderBy("__p").limit(n).select("r.*").orderBy("rank", "handle")
 
 
 def daily_leader(board: DataFrame) -> DataFrame:

@@ -52,13 +52,13 @@ def forecast_hit(samples: DataFrame, keys: Sequence[str] = ("handle",), lookback
     NULL with one sample, or when flat or falling; the sample's own instant at 100 or more.
     """
     clean = finite_samples(samples).withColumn("at_ms", F.unix_millis("at"))
-    framed = earliest_within(clean, list(keys), "at_ms", lookback_minutes * 60_000, ["at_ms", "percent"], ["at_ms", "id"], "oldest")
+    framed = earliest_within(clean, list(keys), "at_ms", lookback_minutes * 60_000, ["at_ms", "id", "percent"], ["at_ms", "id"], "oldest")
     dt = (F.col("at_ms") - F.col("oldest.at_ms")).cast("double")
     dp = F.col("percent") - F.col("oldest.percent")
     hit = F.when(F.col("percent") >= 100, F.col("at_ms")).when(
         (dt > 0) & (dp > 0), F.floor(F.col("at_ms") + (F.lit(100.0) - F.col("percent")) / (dp / dt) + F.lit(0.5)).cast("long"))
     # a lone sample has no line, also at 100
-    alone = (F.col("oldest.at_ms") == F.col("at_ms")) & (F.col("oldest.percent") == F.col("percent"))
+    alone = F.col("oldest.id") == F.col("id")
     return framed.withColumn("hit_ms", F.when(~alone, hit)).drop("oldest")
 
 

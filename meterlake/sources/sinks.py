@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.reconcile import DAILY_KEY, upsert_daily
@@ -31,12 +32,11 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys=DAILY
     The merged days go through the shared checkpoint folder first, because the table is read and
     written in one step.
     """
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    if not exists:
+    try:
+        table = spark.read.schema(incoming.schema).parquet(path)
+    except AnalysisException:  # no table yet
         write_days(incoming, path)
         return
     days = incoming.select("date").distinct()
-    stored = spark.read.schema(incoming.schema).parquet(path).join(days, "date", "left_semi")
+    stored = table.join(days, "date", "left_semi")
     write_days(reliable_checkpoint(upsert_daily(stored, incoming, keys)), path)
