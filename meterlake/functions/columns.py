@@ -86,7 +86,7 @@ def plausible_instant(ts: Column | str, now: Column | datetime) -> Column:
 def plausible_day(text: Column | str, now: Column | datetime) -> Column:
     """The DATE of a strict ``YYYY-MM-DD`` text inside the plausible range, else NULL."""
     s = as_col(text)
-    day = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(s, F.lit("yyyy-MM-dd")))
+    day = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(s, "yyyy-MM-dd"))
     return F.when(plausible_instant(day.cast("timestamp"), now), day)
 
 

@@ -267,7 +267,7 @@ def cap_by_tokens_wide(spark, sf):
 
 @query("verify_export", f"""WITH {REQUESTS_SQL},
 c AS (SELECT *, count(*) OVER (PARTITION BY handle) > 60 AS truncated FROM kept)
-SELECT handle, date, CAST(epoch_ms(ts) AS BIGINT) AS ts_ms, model, input_tokens, substr(sha256(key), 1, 32) AS req_hash, truncated FROM c
+SELECT handle, date, epoch_us(ts) // 1000 AS ts_ms, model, input_tokens, substr(sha256(key), 1, 32) AS req_hash, truncated FROM c
 QUALIFY row_number() OVER (PARTITION BY handle ORDER BY ts DESC, key) <= 60""")
 def verify_export_query(spark, sf):
     kept = dedupe_requests(requests(spark, sf))
@@ -337,7 +337,7 @@ def coerce_numbers(spark, sf):
     return e.select("event_id", token_count(raw).alias("tokens"), to_micro(cost_usd(raw)).alias("cost_micro"))
 
 
-@query("epoch_normalize", """WITH t AS (SELECT event_id, epoch_ms(ts) AS ms FROM events)
+@query("epoch_normalize", """WITH t AS (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events)
 SELECT event_id, CAST(CASE CAST(event_id % 4 AS INTEGER) WHEN 0 THEN ms WHEN 1 THEN (ms // 1000) * 1000 WHEN 2 THEN ms END AS BIGINT) AS ms FROM t""")
 def epoch_normalize(spark, sf):
     """Epoch milliseconds, epoch seconds, ISO text and junk, each made one instant."""
