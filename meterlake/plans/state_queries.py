@@ -215,15 +215,16 @@ def refreshed_rows(spark, sf):
     return refresh_rows(stored, changed.select("file", F.lit("new").alias("parsed")), changed, deleted)
 
 
-@query("complete_batches", f"""WITH {USAGE_SQL}, p AS (SELECT handle AS batch_id, day(date) AS page, count(*) AS n_events, bool_and(k <> 0) AS ok FROM usage GROUP BY ALL),
-g AS (SELECT batch_id FROM p GROUP BY batch_id HAVING bool_and(ok) AND max(page) = count(*) AND max(page) <= 30
-  AND ((arg_max(n_events, page) < 2 AND sum(CASE WHEN n_events < 2 THEN 1 ELSE 0 END) = 1) OR (max(page) = 30 AND sum(CASE WHEN n_events < 2 THEN 1 ELSE 0 END) = 0)))
-SELECT batch_id, page, n_events FROM p WHERE batch_id IN (SELECT batch_id FROM g)""")
+@query("complete_batches", f"""WITH p AS (SELECT user_id % 10 AS batch_id, CAST(day(ts) AS BIGINT) AS page, count(*) AS n_events, bool_and(user_id % 20 <> 3 OR event_id % 4 <> 0) AS ok FROM events
+  WHERE NOT (user_id % 10 = 4 AND day(ts) = 12) AND NOT (user_id % 10 = 5 AND day(ts) > 20) GROUP BY ALL)
+SELECT batch_id, page, n_events FROM p WHERE batch_id NOT IN (3, 4, 5)""")
 def complete_batches_query(spark, sf):
-    """Days of an account as pages of one batch; a page with a zero key counts as failed."""
-    pages = usage(spark, sf).groupBy(F.col("handle").alias("batch_id"), F.day("date").alias("page")).agg(
-        F.count(F.lit(1)).alias("n_events"), F.bool_and(F.col("k") != 0).alias("ok"))
-    return complete_batches(pages, page_size=2, max_pages=30).select("batch_id", F.col("page").cast("long").alias("page"), "n_events")
+    """Days as pages of ten batches: one has failed pages, one a gap, one stops on a full page too early."""
+    day, batch = F.day("ts"), F.col("user_id") % 10
+    e = load(spark, sf, "events").filter(~((batch == 4) & (day == 12)) & ~((batch == 5) & (day > 20)))
+    pages = e.groupBy(batch.alias("batch_id"), day.alias("page")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.bool_and((F.col("user_id") % 20 != 3) | (F.col("event_id") % 4 != 0)).alias("ok"))
+    return complete_batches(pages, page_size=1, max_pages=30).select("batch_id", F.col("page").cast("long").alias("page"), "n_events")
 
 
 @query("request_density", f"""WITH {DAILY_SQL}, d AS (SELECT handle, date, tool, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(CASE WHEN model = 'gpt-5' THEN NULL ELSE request_count END) AS BIGINT) AS requests FROM daily GROUP BY ALL)
