@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import reliable_checkpoint
 from .ordered import carry_last
 
 COUNTERS = ("input", "cached", "output")
@@ -94,12 +95,31 @@ def cumulative_to_daily(events: DataFrame, keys: Sequence[str] = ("file",), orde
 
 
 def session_days(tokens: DataFrame, meta: DataFrame) -> DataFrame:
-    """Per-day records of all rollouts, replay removed, each with its file's last model."""
-    usable = carry_day(strip_replay(tokens, meta))
+    """Per-day records of all rollouts, replay removed, each with its file's last model.
+
+    ``tokens(file, chunk, ord, k, day, input, cached, output)``, ``meta(file, session_id, parent_id, is_fork, model)``.
+    """
+    usable = strip_replay(tokens, meta).filter("day IS NOT NULL")
     return cumulative_to_daily(usable).join(meta.select("file", "session_id", "model"), "file", "left")
 
 
+def rollout_days(events: DataFrame) -> DataFrame:
+    """``session_days`` of parsed rollout records.
+
+    The raw text is read and parsed once: the few columns and rows needed later (token events and
+    context lines) are written to the shared checkpoint folder, and every later pass reads those.
+    """
+    from ..sources.rollouts import rollout_meta, token_events
+
+    narrow = reliable_checkpoint(
+        events.filter("has_total OR is_meta OR model IS NOT NULL").select(
+            "file", "chunk", "ord", "event_day", "has_total", "input", "cached", "output", "is_meta", "session_id",
+            "parent_id", "is_fork", "model"))
+    numbered = reliable_checkpoint(token_events(narrow))
+    return session_days(numbered, rollout_meta(narrow))
+
+
 def replay_candidate_dates(tokens: DataFrame, meta: DataFrame) -> DataFrame:
     """Days seen in forked rollouts."""
     forks = meta.filter("is_fork").select("file")
-    return carry_day(tokens).join(forks, "file", "left_semi").select(F.col("day").alias("date")).distinct()
+    return tokens.filter("day IS NOT NULL").join(forks, "file", "left_semi").select(F.col("day").alias("date")).distinct()

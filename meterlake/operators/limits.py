@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.limits import effective_percent, future_reset
-from .ordered import carry_last, earliest_within, previous, running_sum, time_chunk
+from .ordered import Scan, carry_last, earliest_within, previous, running_sum, scan, time_chunk
 
 # Alert levels and the drop that counts as a reset.
 ALERT_LEVELS = (80, 95)
@@ -102,19 +102,23 @@ def window_meter(samples: DataFrame, keys: Sequence[str] = ("handle",)) -> DataF
     """
     order = ["at", "id"]
     chunked = samples.withColumn("__chunk", time_chunk("at"))
-    seen = previous(chunked, list(keys), "__chunk", order, F.col("day_tokens"), "last_tokens")
-    known = carry_last(seen, list(keys), "__chunk", order, F.col("reset_at"), "known_reset", include_current=False)
+    known = scan(chunked, list(keys), "__chunk", order, [
+        Scan("previous", F.col("day_tokens"), "last_tokens"),
+        Scan("last", F.col("reset_at"), "known_reset", include_current=False),
+    ])
     moved = F.unix_micros("reset_at") > F.unix_micros("known_reset") + ROLLOVER_SECONDS * 1_000_000
     passed = (F.col("known_reset") < F.col("at")) & (F.col("reset_at").isNull() | (F.col("reset_at") <= F.col("known_reset")))
     rolled = F.coalesce(moved | passed, F.lit(False))
     grown = F.col("day_tokens") - F.col("last_tokens")
     delta = F.when(grown.isNull(), 0).when(grown >= 0, grown).otherwise(F.col("day_tokens")).cast("long")
     steps = known.withColumn("delta", delta).withColumn("rolled", F.when(rolled, 1).otherwise(0))
-    summed = running_sum(steps, list(keys), "__chunk", order, F.col("delta"), "running")
-    # what had run up before the newest rollover is not part of this window
-    based = carry_last(summed, list(keys), "__chunk", order,
-                       F.when(F.col("rolled") == 1, F.col("running") - F.col("delta")), "base")
-    return based.select(*keys, "at", "id", "day_tokens", (F.col("running") - F.coalesce("base", F.lit(0))).cast("long").alias("meter"))
+    summed = scan(steps, list(keys), "__chunk", order, [
+        Scan("sum", F.col("delta"), "running"), Scan("sum", F.col("rolled"), "segment"),
+    ])
+    # what had run up before the segment's first row is not part of it; deltas are never negative, so that is a min
+    based = summed.groupBy(*keys, "segment").agg(F.min(F.col("running") - F.col("delta")).alias("base"))
+    return summed.join(based, [*keys, "segment"]).select(
+        *keys, "at", "id", "day_tokens", (F.col("running") - F.col("base")).cast("long").alias("meter"))
 
 
 def tightest_limit(samples: DataFrame, now: Column | datetime, keys: Sequence[str] = ("handle",)) -> DataFrame:

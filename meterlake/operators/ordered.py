@@ -11,6 +11,7 @@ Tasks are then bounded by the chunk, and the only per-key sort is over chunk sum
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -35,65 +36,82 @@ def _windows(key: Sequence[str], chunk: str, order: Sequence[str]):
 def _attach(df: DataFrame, chained: DataFrame, key: Sequence[str], chunk: str) -> DataFrame:
     """Left join of the chunk values on (key, chunk), the partitioning the window already has."""
     keys = [*key, chunk]
-    renamed = chained.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], "__before")
+    rest = [c for c in chained.columns if c not in keys]
+    renamed = chained.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], *rest)
     condition = F.lit(True)
     for i, c in enumerate(keys):
         condition = condition & (F.col(c) == F.col(f"__k{i}"))
     return df.join(renamed, condition, "left").drop(*[f"__k{i}" for i in range(len(keys))])
 
 
+@dataclass(frozen=True)
+class Scan:
+    """One column of a scan: ``kind`` is ``sum`` (running sum), ``last`` (last non-null) or ``previous`` (row before)."""
+
+    kind: str
+    value: Column
+    name: str
+    include_current: bool = True
+
+
+def scan(df: DataFrame, key: Sequence[str], chunk: str, order: Sequence[str], specs: Sequence[Scan]) -> DataFrame:
+    """Adds every column of ``specs`` in one pass over the rows and one over their chunk summaries.
+
+    The input is read twice (rows, summaries), so put all columns of one order into one call and
+    materialise between calls that feed each other when the input is costly.
+    """
+    inside, chain = _windows(key, chunk, order)
+    place = _position(order)
+    earlier = chain.rowsBetween(W.unboundedPreceding, -1)
+    summary, chained, scanned = [], [], []
+    values = {}
+    for i, spec in enumerate(specs):
+        v, end = F.col(f"__v{i}"), F.col(f"__end{i}")
+        values[f"__v{i}"] = F.struct(spec.value.alias("v")) if spec.kind == "previous" else spec.value
+        here = inside.rowsBetween(W.unboundedPreceding, 0 if spec.include_current else -1)
+        if spec.kind == "sum":
+            summary.append(F.sum(v).alias(f"__end{i}"))
+            chained.append(F.sum(end).over(earlier).alias(f"__before{i}"))
+            scanned.append(F.sum(v).over(here).alias(f"__in{i}"))
+        elif spec.kind == "last":
+            summary.append(F.max_by(v, F.when(v.isNotNull(), place)).alias(f"__end{i}"))
+            chained.append(F.last(end, ignorenulls=True).over(earlier).alias(f"__before{i}"))
+            scanned.append(F.last(v, ignorenulls=True).over(here).alias(f"__in{i}"))
+        else:
+            summary.append(F.max_by(v, place).alias(f"__end{i}"))
+            chained.append(F.lag(end).over(chain).alias(f"__before{i}"))
+            scanned.append(F.lag(v).over(inside).alias(f"__in{i}"))
+    columns = df.columns
+    prepared = df.withColumns(values)
+    ends = prepared.groupBy(*key, chunk).agg(*summary).select(*key, chunk, *chained)
+    joined = _attach(prepared.select(*columns, *scanned), ends, key, chunk)
+    zero = F.lit(0)
+    out = []
+    for i, spec in enumerate(specs):
+        here, before = F.col(f"__in{i}"), F.col(f"__before{i}")
+        if spec.kind == "sum":
+            result = F.coalesce(here, zero) + F.coalesce(before, zero)
+        else:
+            result = F.coalesce(here, before)
+        out.append((result["v"] if spec.kind == "previous" else result).alias(spec.name))
+    return joined.select(*columns, *out)
+
+
 def carry_last(df: DataFrame, key: Sequence[str], chunk: str, order: Sequence[str], value: Column, name: str,
                include_current: bool = True) -> DataFrame:
     """``name`` = last non-null ``value`` up to the row (or before it, without the row)."""
-    inside, chain = _windows(key, chunk, order)
-    here = inside.rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
-    df = df.withColumn("__v", value)
-    summary = df.groupBy(*key, chunk).agg(
-        F.max_by("__v", F.when(F.col("__v").isNotNull(), _position(order))).alias("__end")
-    )
-    chained = summary.select(
-        *key, chunk,
-        F.last("__end", ignorenulls=True).over(chain.rowsBetween(W.unboundedPreceding, -1)).alias("__before"),
-    )
-    scanned = df.withColumn("__in", F.last("__v", ignorenulls=True).over(here))
-    return (
-        _attach(scanned, chained, key, chunk)
-        .withColumn(name, F.coalesce("__in", "__before"))
-        .drop("__v", "__in", "__before")
-    )
+    return scan(df, key, chunk, order, [Scan("last", value, name, include_current)])
 
 
 def running_sum(df: DataFrame, key: Sequence[str], chunk: str, order: Sequence[str], value: Column, name: str,
                 include_current: bool = True) -> DataFrame:
     """``name`` = sum of ``value`` over the rows up to this one (or before it)."""
-    inside, chain = _windows(key, chunk, order)
-    here = inside.rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
-    df = df.withColumn("__v", value)
-    summary = df.groupBy(*key, chunk).agg(F.sum("__v").alias("__total"))
-    chained = summary.select(
-        *key, chunk, F.sum("__total").over(chain.rowsBetween(W.unboundedPreceding, -1)).alias("__before")
-    )
-    scanned = df.withColumn("__in", F.sum("__v").over(here))
-    zero = F.lit(0)
-    return (
-        _attach(scanned, chained, key, chunk)
-        .withColumn(name, F.coalesce("__in", zero) + F.coalesce("__before", zero))
-        .drop("__v", "__in", "__before")
-    )
+    return scan(df, key, chunk, order, [Scan("sum", value, name, include_current)])
 
 
 def previous(df: DataFrame, key: Sequence[str], chunk: str, order: Sequence[str], value: Column, name: str) -> DataFrame:
     """``name`` = ``value`` of the row just before this one in its key; NULL on the first row."""
-    inside, chain = _windows(key, chunk, order)
-    df = df.withColumn("__v", F.struct(value.alias("v")))
-    summary = df.groupBy(*key, chunk).agg(F.max_by("__v", _position(order)).alias("__end"))
-    chained = summary.select(*key, chunk, F.lag("__end").over(chain).alias("__before"))
-    scanned = df.withColumn("__in", F.lag("__v").over(inside))
-    return (
-        _attach(scanned, chained, key, chunk)
-        .withColumn(name, F.coalesce("__in", "__before")["v"])
-        .drop("__v", "__in", "__before")
-    )
+    return scan(df, key, chunk, order, [Scan("previous", value, name)])
 
 
 def earliest_within(samples: DataFrame, key: Sequence[str], at_ms: str, lookback_ms: int, payload: Sequence[str],

@@ -8,9 +8,9 @@ from ..functions.columns import TOKEN_COLUMNS, total_tokens
 from ..operators.attribution import (agent_rollup, attach_message_counts, merge_rollups, rollout_agent, rollout_tool_stats,
                                      session_messages, skill_stats, tool_stats, top_stats)
 from ..operators.cumulative import (carry_day, cumulative_to_daily, mark_replay, orphan_forks, replay_candidate_dates,
-                                    session_days)
+                                    rollout_days, session_days)
 from ..operators.dedupe import dedupe_requests
-from ..operators.ordered import running_sum
+from ..operators.ordered import Scan, scan
 from ..operators.pricing import resolve_prices
 from ..operators.reports import cost_per_message, subagent_share
 from ..operators.usage import daily_usage, generation_daily, page_daily, rollout_daily, task_daily
@@ -20,7 +20,7 @@ from ..sources.lines import parse_lines
 from ..sources.paged import open_pages, page_events, parse_page_events, parse_plan_usage
 from ..sources.prices import parse_price_list, pick_price_rows
 from ..sources.reports import parse_block_report, parse_daily_report, parse_model_report, parse_session_report
-from ..sources.rollouts import parse_limits, parse_rollout, prefer_live, rollout_meta, token_events
+from ..sources.rollouts import parse_limits, parse_rollout, prefer_live, rollout_meta
 from ..sources.tasks import parse_tasks
 from ..sources.transcripts import parse_attribution, parse_requests, session_labels
 from .adapter import (COST_SQL, DAILY_SQL, NOW, SUMS_SQL, TODAY, TOTAL_SQL, USAGE_SQL, daily, load, now, pick, price_dim,
@@ -96,7 +96,7 @@ def transcript_daily(spark, sf):
 @query("skip_bad_lines", "SELECT count(*) AS good FROM events WHERE event_id % 31 <> 9 UNION ALL SELECT count(*) FROM events WHERE event_id % 31 <> 9 AND event_id % 3 = 0")
 def skip_bad_lines(spark, sf):
     good = parse_lines(transcript_lines(spark, sf))
-    first = F.col("ord") % 2 == F.lit(1)
+    first = F.pmod("ord", F.lit(2)) == 1
     return good.groupBy(first.alias("first")).agg(F.count(F.lit(1)).alias("good")).select("good")
 
 
@@ -230,8 +230,8 @@ def rollout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rollout per user: a cumulative token event and a turn context for each event. The counters restart at
     each 5,000th event, and some instants are broken."""
     u = usage(spark, sf_dir).withColumn("chunk", F.floor(F.col("event_id") / LINES_PER_CHUNK)).withColumn("era", F.floor(F.col("event_id") / 5000))
-    for name, source in (("ci", F.col("input_tokens") + F.col("k")), ("cc", F.col("k")), ("co", F.col("output_tokens"))):
-        u = running_sum(u, ["handle", "era"], "chunk", ["event_id"], source, name)
+    u = scan(u, ["handle", "era"], "chunk", ["event_id"], [
+        Scan("sum", F.col("input_tokens") + F.col("k"), "ci"), Scan("sum", F.col("k"), "cc"), Scan("sum", F.col("output_tokens"), "co")])
     e = F.col("event_id")
     total = F.struct(F.col("ci").alias("input_tokens"), F.col("cc").alias("cached_input_tokens"), F.col("co").alias("output_tokens"))
     nested = F.struct(F.lit("token_count").alias("type"), F.struct(total.alias("total_token_usage")).alias("info"))
@@ -273,7 +273,7 @@ SELECT b.*, {COST_SQL} AS cost_micro FROM b LEFT JOIN rates USING (model)""")
 def rollout_daily_query(spark, sf):
     """Lines to priced day buckets: parse, number, drop replays, difference, name by the last model, fold, price."""
     events = parse_rollout(rollout_lines(spark, sf), now())
-    days = session_days(token_events(events), rollout_meta(events))
+    days = rollout_days(events)
     return rollout_daily(days, resolve_prices(days, price_dim(spark)))
 
 
@@ -286,10 +286,10 @@ def _forked(spark: SparkSession, sf_dir: str):
     """Token events of parents (users) and of forks: every third user has a fork that replays its first 40 events and
     then grows faster; every tenth user's fork names a parent that does not exist."""
     u = usage(spark, sf_dir).withColumn("chunk", F.floor(F.col("event_id") / LINES_PER_CHUNK))
-    u = running_sum(u, ["handle"], "chunk", ["event_id"], F.lit(1), "k_pos")
-    for name, source in (("input", F.col("input_tokens")), ("cached", F.col("k")), ("output", F.col("output_tokens"))):
-        u = running_sum(u, ["handle"], "chunk", ["event_id"], source, name)
-    base = u.select("handle", F.concat(F.lit("p"), "handle").alias("file"), "chunk", F.col("event_id").alias("ord"), F.col("date").alias("event_day"),
+    u = scan(u, ["handle"], "chunk", ["event_id"], [
+        Scan("sum", F.lit(1), "k_pos"), Scan("sum", F.col("input_tokens"), "input"), Scan("sum", F.col("k"), "cached"),
+        Scan("sum", F.col("output_tokens"), "output")])
+    base = u.select("handle", F.concat(F.lit("p"), "handle").alias("file"), "chunk", F.col("event_id").alias("ord"), F.col("date").alias("day"),
                     F.col("k_pos").alias("k"), "input", "cached", "output")
     account = F.col("handle").cast("long")
     own = F.greatest(F.col("k") - 40, F.lit(0)) * 7

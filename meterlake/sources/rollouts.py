@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import epoch_to_ts, iso_to_ts, local_day, plausible_instant, token_count
 from ..functions.limits import classify_windows
-from ..operators.ordered import running_sum
+from ..operators.ordered import Scan, scan
 from .lines import file_stem, kind_of, parse_lines, read_lines, string_at, text_at, variant_at
 
 NUMBER_KIND = r"^(BIGINT|DOUBLE|DECIMAL|FLOAT)"
@@ -97,9 +97,10 @@ def rollout_meta(events: DataFrame) -> DataFrame:
 
 
 def token_events(events: DataFrame) -> DataFrame:
-    """Cumulative token events numbered 1, 2, … inside their file (``k``)."""
+    """Cumulative token events numbered 1, 2, … inside their file (``k``), each with its ``day``: its own, or the
+    last known one of the file (NULL before any)."""
     tokens = events.filter("has_total").select("file", "chunk", "ord", "event_day", "input", "cached", "output")
-    return running_sum(tokens, ["file"], "chunk", ["ord"], F.lit(1), "k")
+    return scan(tokens, ["file"], "chunk", ["ord"], [Scan("sum", F.lit(1), "k"), Scan("last", F.col("event_day"), "day")])
 
 
 def prefer_live(files: DataFrame) -> DataFrame:
