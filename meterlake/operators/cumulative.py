@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import reliable_checkpoint
+from ..session import materialize
 from .ordered import carry_last
 
 COUNTERS = ("input", "cached", "output")
@@ -111,11 +111,11 @@ def rollout_days(events: DataFrame) -> DataFrame:
     """
     from ..sources.rollouts import rollout_meta, token_events
 
-    narrow = reliable_checkpoint(
+    narrow = materialize(
         events.filter("has_total OR is_meta OR model IS NOT NULL").select(
             "file", "chunk", "ord", "event_day", "has_total", "input", "cached", "output", "is_meta", "session_id",
             "parent_id", "is_fork", "model"))
-    numbered = reliable_checkpoint(token_events(narrow))
+    numbered = materialize(token_events(narrow))
     return session_days(numbered, rollout_meta(narrow))
 
 

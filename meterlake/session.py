@@ -1,8 +1,9 @@
-"""Session settings and the reliable-checkpoint helper."""
+"""Session settings and tables in the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,9 @@ def build_session(app: str = "meterlake", master: str | None = None, shuffle_par
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,13 +42,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="meterlake-ckpt-")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="meterlake-")
+    return _LOCAL_DIRS[app]
+
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new, unused path in the shared folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder, so that no later stage depends on executor disks."""
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Writes ``df`` as a Parquet table in the shared folder and reads it back.
+
+    Lineage ends there, so lost executors cost nothing; and unlike an RDD checkpoint the table keeps
+    column pruning and a known size for join planning.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.reconcile import DAILY_KEY, upsert_daily
-from ..session import reliable_checkpoint
+from ..session import materialize
 
 
 def write_days(df: DataFrame, path: str, partition: str = "date") -> None:
@@ -39,4 +39,4 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys=DAILY
         return
     days = incoming.select("date").distinct()
     stored = table.join(days, "date", "left_semi")
-    write_days(reliable_checkpoint(upsert_daily(stored, incoming, keys)), path)
+    write_days(materialize(upsert_daily(stored, incoming, keys)), path)
