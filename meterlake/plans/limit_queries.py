@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.limits import classify_windows, effective_percent, future_reset
+from ..operators.greedy import coalesce_bursts, throttle
 from ..operators.limits import (forecast_alarm, forecast_hit, last_known_good, latest_limit, threshold_alerts,
                                 tightest_limit, window_meter)
 from ..operators.ordered import running_sum, time_chunk
@@ -122,3 +123,28 @@ def window_meter_query(spark, sf):
     five_hours = 5 * 3600 * 1_000_000
     reset = F.timestamp_micros((F.floor(F.unix_micros("at") / five_hours) + 1) * five_hours)
     return window_meter(totals.withColumn("reset_at", F.when(F.col("id") % 3 != 0, reset))).select("handle", "id", "day_tokens", "meter")
+
+
+def _greedy_sql(step: str) -> str:
+    """A recursive walk from one opening to the next, per account."""
+    return f"""WITH RECURSIVE {SAMPLES_SQL}, e AS (SELECT handle, ms, min(id) AS id, count(*) AS n FROM s GROUP BY ALL),
+w(handle, ms) AS (SELECT handle, min(ms) FROM e GROUP BY handle UNION ALL
+  SELECT w.handle, (SELECT min(e.ms) FROM e WHERE e.handle = w.handle AND e.ms >= w.ms + {step}) FROM w WHERE w.ms IS NOT NULL)"""
+
+
+@query("burst_windows", f"""{_greedy_sql("14400000")}, o AS (SELECT handle, ms AS opened_ms FROM w WHERE ms IS NOT NULL)
+SELECT o.handle, opened_ms, CAST(sum(n) AS BIGINT) AS events FROM o JOIN e ON e.handle = o.handle AND e.ms >= opened_ms AND e.ms < opened_ms + 14400000 GROUP BY ALL""")
+def burst_windows(spark, sf):
+    """Bursts of four hours from their first event."""
+    s = samples(spark, sf).withColumn("at_ms", F.unix_millis("at"))
+    return coalesce_bursts(s, 14_400_000)
+
+
+@query("throttled_sync", f"""WITH RECURSIVE {SAMPLES_SQL}, e AS (SELECT handle, ms, id, CAST(floor(value / 5) AS BIGINT) AS v FROM s WHERE floor(value / 5) > 0),
+w(handle, ms, v) AS (SELECT handle, arg_min(ms, ms), arg_min(v, (ms, id)) FROM e GROUP BY handle UNION ALL
+  SELECT w.handle, n.r.ms, n.r.v FROM w, LATERAL (SELECT min({{'ms': e.ms, 'id': e.id, 'v': e.v}}) AS r FROM e WHERE e.handle = w.handle AND e.ms >= w.ms + 3600000 AND e.v <> w.v) n WHERE w.ms IS NOT NULL AND n.r IS NOT NULL)
+SELECT handle, ms AS at_ms, v AS tokens FROM w WHERE ms IS NOT NULL""")
+def throttled_sync(spark, sf):
+    """At most one upload an hour, of the newest value, skipping the value uploaded before."""
+    s = samples(spark, sf).select("handle", F.unix_millis("at").alias("at_ms"), "id", F.floor(F.col("value") / 5).cast("long").alias("tokens"))
+    return throttle(s, 3_600_000)

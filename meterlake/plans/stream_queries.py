@@ -10,7 +10,7 @@ from ..session import shared_path
 from ..streaming.alerts import stream_alerts, stream_forecast, use_rocksdb
 from ..streaming.ingest import changed_only
 from ..streaming.windows import stream_hourly, stream_rate, stream_sessions
-from .adapter import TOTAL_SQL, USAGE_SQL, load, query, usage
+from .adapter import ORACLES, TOTAL_SQL, USAGE_SQL, load, query, usage
 from .limit_queries import SAMPLES_SQL, _PREV, samples
 
 
@@ -26,7 +26,7 @@ def drain(out: DataFrame, name: str) -> DataFrame:
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = load(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(sf_dir)
 
 
 def live_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def stream_alerts_query(spark, sf):
     return out.select(F.col("key").alias("handle"), "id", "kind", "level")
 
 
-@query("stream_forecast")
+@query("stream_forecast", ORACLES["limit_forecast"])
 def stream_forecast_query(spark, sf):
     use_rocksdb(spark)
     out = drain(stream_forecast(_live_samples(spark, sf)), "forecast")

@@ -7,6 +7,7 @@ state store (``STATE_STORE``). Rows of a key arrive unordered inside a micro-bat
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -80,20 +81,20 @@ class ForecastProcessor(StatefulProcessor):
     """Keeps the samples of the lookback (240 at most) of a key and projects when they reach 100."""
 
     def __init__(self, lookback_minutes: int = LOOKBACK_MINUTES):
-        self.lookback_us = lookback_minutes * 60_000_000
+        self.lookback_ms = lookback_minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", "at_us array<long>, percent array<double>")
+        self.recent = handle.getValueState("recent", "at_ms array<long>, percent array<double>")
 
     def handleInputRows(self, key, rows, timerValues):
         state = self.recent.get() if self.recent.exists() else None
         samples = list(zip(state[0], state[1])) if state else []
         out = []
         for at, id_, percent in _in_order(rows)[["at", "id", "percent"]].itertuples(index=False):
-            at_us = int(at.value // 1000)
-            if samples and at_us < samples[-1][0]:
-                continue
-            samples = [s for s in samples if at_us - s[0] <= self.lookback_us][-(MAX_SAMPLES - 1):] + [(at_us, float(percent))]
+            at_ms = int(at.value // 1_000_000)
+            if samples and at_ms < samples[-1][0]:
+                continue  # late
+            samples = [s for s in samples if at_ms - s[0] <= self.lookback_ms][-(MAX_SAMPLES - 1):] + [(at_ms, float(percent))]
             out.append((key[0], at, int(id_), float(percent), project(samples)))
         if samples:
             self.recent.update(([s[0] for s in samples], [s[1] for s in samples]))
@@ -112,10 +113,10 @@ def project(samples: Sequence[tuple[int, float]]) -> int | None:
         return None
     (t0, p0), (t1, p1) = samples[0], samples[-1]
     if p1 >= 100:
-        return t1 // 1000
+        return t1
     if t1 <= t0 or p1 <= p0:
         return None
-    return int((t1 + (100 - p1) * (t1 - t0) / (p1 - p0)) / 1000 + 0.5)
+    return math.floor(t1 + (100.0 - p1) / ((p1 - p0) / float(t1 - t0)) + 0.5)
 
 
 FORECAST_SCHEMA = "key string, at timestamp, id long, percent double, hit_ms long"
