@@ -27,6 +27,11 @@ def _schema(df: DataFrame, keys: Sequence[str], extra: str) -> T.StructType:
     return T.StructType([*_key_fields(df, keys), *T.StructType.fromDDL(extra).fields])
 
 
+def _repeat(pdf: pd.DataFrame, keys: Sequence[str], n: int | None = None) -> dict[str, list]:
+    """The group's key columns for ``n`` result rows."""
+    return {k: [pdf[k].iat[0]] * (len(pdf) if n is None else n) for k in keys}
+
+
 def burst_jumps(t: np.ndarray, delay: int) -> np.ndarray:
     """For each event, the first one at or after its window's end."""
     return np.searchsorted(t, t + delay, side="left")
@@ -59,7 +64,7 @@ def coalesce_bursts(events: DataFrame, delay_ms: int, keys: Sequence[str] = ("ha
         last = int(np.searchsorted(t, pdf["chunk"].iat[0] * width + delay_ms, side="right"))
         t, exits = t[: last + 1], exits[: last + 1]
         keep = np.append(exits[1:] != exits[:-1], True)
-        row = {k: [pdf[k].iat[0]] for k in keys}
+        row = _repeat(pdf, keys, 1)
         return pd.DataFrame({**row, "chunk": [pdf["chunk"].iat[0]], "upto": [t[keep].tolist()], "leaves": [exits[keep].tolist()]})
 
     borders = moments.groupBy(*keys, "chunk").applyInPandas(leave, _schema(moments, keys, "chunk long, upto array<long>, leaves array<long>"))
@@ -72,7 +77,7 @@ def coalesce_bursts(events: DataFrame, delay_ms: int, keys: Sequence[str] = ("ha
             place = int(np.searchsorted(np.asarray(upto), entry, side="left"))
             if place < len(leaves):
                 entry = int(leaves[place])
-        return pdf[[*keys, "chunk"]].assign(entry=entries)
+        return pd.DataFrame({**_repeat(pdf, keys), "chunk": pdf["chunk"].tolist(), "entry": entries})
 
     entered = borders.groupBy(*keys).applyInPandas(walk, _schema(moments, keys, "chunk long, entry long"))
 
@@ -89,7 +94,7 @@ def coalesce_bursts(events: DataFrame, delay_ms: int, keys: Sequence[str] = ("ha
             opened.append(int(t[place]))
             counts.append(int(n[place : jump[place]].sum()))
             place = int(jump[place])
-        return pd.DataFrame({**{k: [pdf[k].iat[0]] * len(opened) for k in keys}, "opened_ms": opened, "events": counts})
+        return pd.DataFrame({**_repeat(pdf, keys, len(opened)), "opened_ms": opened, "events": counts})
 
     placed = moments.join(entered, [*keys, "chunk"])
     parts = placed.groupBy(*keys, "chunk").applyInPandas(settle, _schema(moments, keys, "opened_ms long, events long"))
@@ -172,7 +177,7 @@ def throttle(observations: DataFrame, interval_ms: int, keys: Sequence[str] = ("
         if place < len(t):
             rows.append((int(t[place]), value, *end_of(place, value)))
         at, val, end_at, end_val = (list(c) for c in zip(*rows))
-        row = {k: [pdf[k].iat[0]] for k in keys}
+        row = _repeat(pdf, keys, 1)
         return pd.DataFrame({**row, "chunk": [chunk], "at": [at], "value": [val], "end_at": [end_at], "end_value": [end_val]})
 
     borders = moments.groupBy(*keys, "chunk").applyInPandas(
@@ -189,7 +194,7 @@ def throttle(observations: DataFrame, interval_ms: int, keys: Sequence[str] = ("
                 if value[i] != synced:
                     last, synced = int(end_at[i]), int(end_value[i])
                     break
-        return pdf[[*keys, "chunk"]].assign(last=entries, synced=values_)
+        return pd.DataFrame({**_repeat(pdf, keys), "chunk": pdf["chunk"].tolist(), "last": entries, "synced": values_})
 
     entered = borders.groupBy(*keys).applyInPandas(walk, _schema(moments, keys, "chunk long, last long, synced long"))
 
@@ -197,7 +202,9 @@ def throttle(observations: DataFrame, interval_ms: int, keys: Sequence[str] = ("
         pdf = pdf.sort_values("t")
         synced = int(pdf["synced"].iat[0])
         at, out = run(pdf, int(pdf["last"].iat[0]), None if synced < 0 else synced)
-        return pd.DataFrame({**{k: [pdf[k].iat[0]] * len(at) for k in keys}, "at_ms": at, "tokens": out})
+        if not at:
+            return pd.DataFrame()
+        return pd.DataFrame({**_repeat(pdf, keys, len(at)), "at_ms": at, "tokens": out})
 
     placed = moments.join(entered, [*keys, "chunk"])
     return placed.groupBy(*keys, "chunk").applyInPandas(settle, _schema(moments, keys, "at_ms long, tokens long"))
