@@ -64,29 +64,30 @@ def merge_requests(batch: DataFrame, table_path: str, span_days: int | None = No
     days = materialize(fresh.select("date").union(known).distinct(), "days")
     old = stored.join(days, "date", "left_semi")
     merged = materialize(dedupe_requests(old.unionByName(fresh)), "merged")
-    write_days(merged, table_path)
-    emptied = days.join(merged.select("date").distinct(), "date", "left_anti")
-    _empty_days(emptied, merged, table_path)
+    replace_days(merged, days, table_path)
     return days
 
 
-def _empty_days(days: DataFrame, like: DataFrame, table_path: str) -> None:
-    """Overwrites days that lost their last row to another day: a partition overwrite cannot leave a day empty,
-    so it gets one row with a NULL key, which readers drop."""
-    tombstone = days.select(*[
-        F.col("date") if f.name == "date" else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields])
-    write_days(tombstone, table_path)
+def replace_days(rows: DataFrame, days: DataFrame, table_path: str) -> None:
+    """Replaces exactly ``days`` by ``rows``. A partition overwrite cannot leave a day empty, so a day without
+    rows gets one row of NULLs, which the readers below drop."""
+    empty = days.join(rows.select("date").distinct(), "date", "left_anti").select("date")
+    write_days(rows.unionByName(empty, allowMissingColumns=True), table_path)
 
 
 def live_requests(spark: SparkSession, table_path: str) -> DataFrame:
     return spark.read.parquet(table_path).filter("key IS NOT NULL")
 
 
+def live_daily(spark: SparkSession, table_path: str) -> DataFrame:
+    return spark.read.parquet(table_path).filter("model IS NOT NULL")
+
+
 def restate_daily(spark: SparkSession, requests_path: str, daily_path: str, days: DataFrame, resolve: Callable[[DataFrame], DataFrame],
                   keys: tuple[str, ...] = ()) -> None:
     """Recomputes the daily rows of the touched days from the request table."""
     requests = live_requests(spark, requests_path).join(days, "date", "left_semi")
-    write_days(materialize(daily_usage(requests, resolve(requests), keys), "daily"), daily_path)
+    replace_days(materialize(daily_usage(requests, resolve(requests), keys), "daily"), days, daily_path)
 
 
 def stream_requests(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], resolve: Callable[[DataFrame], DataFrame],
