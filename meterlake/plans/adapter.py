@@ -103,11 +103,16 @@ def price_dim(spark: SparkSession) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str, since: str | None = None) -> DataFrame:
-    """Daily rows (handle, date, tool, model) of all events, priced on the bucket."""
-    folded = usage(spark, sf_dir, since).groupBy("handle", "date", "tool", "model").agg(
+    """Daily rows (handle, date, tool, model) of all events, priced on the bucket.
+
+    The distinct models come from the raw rows, where they fold inside each map task, and not from
+    the buckets, whose shuffle would run a second time for them.
+    """
+    rows = usage(spark, sf_dir, since)
+    folded = rows.groupBy("handle", "date", "tool", "model").agg(
         *[F.sum(c).alias(c) for c in TOKEN_COLUMNS], F.count(F.lit(1)).alias("request_count")
     )
-    return attach_cost(folded, resolve_prices(folded, price_dim(spark)))
+    return attach_cost(folded, resolve_prices(rows, price_dim(spark)))
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,44 +8,36 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import epoch_to_ts, iso_to_ts, local_day, plausible_instant, token_count
-from .lines import kind_of, parse_lines, read_lines, string_at, text_at, variant_at
+from .lines import kind_of, open_lines, read_lines, string_of
 from .rollouts import NUMBER_KIND
 
-
-def _first_present(*paths: str) -> Column:
-    """The first value that is neither absent nor null."""
-    options = [F.when(kind_of(variant_at("rec", p)) != "VOID", variant_at("rec", p)) for p in paths]
-    return F.coalesce(*options)
+# Pinned parse schema; VARIANT where the JSON type decides.
+RECORD_SCHEMA = """struct<eventName:variant,model:variant,timestamp:variant,eventTimestamp:variant,promptTokens:string,
+    prompt_tokens:string,generatedTokens:string,generated_tokens:string>"""
 
 
 def parse_generations(lines: DataFrame, now: Column | datetime, offset_minutes: Column | int = 0) -> DataFrame:
     """Generations with tokens. A record of another event is dropped; a missing event name is allowed."""
     kept = [c for c in lines.columns if c != "value"]
-    stamp = _first_present("$.timestamp", "$.eventTimestamp")
-    instant = F.when(kind_of(stamp) == "STRING", iso_to_ts(F.try_variant_get(stamp, "$", "string"))).when(
-        kind_of(stamp).rlike(NUMBER_KIND), epoch_to_ts(F.try_variant_get(stamp, "$", "string"))
+    given = lambda name: F.when(kind_of(F.col(f"rec.{name}")) != "VOID", F.col(f"rec.{name}"))
+    opened = open_lines(lines, RECORD_SCHEMA).select(
+        *kept, "rec", F.explode(F.array(F.coalesce(given("timestamp"), given("eventTimestamp")))).alias("stamp"))
+    text = F.try_variant_get("stamp", "$", "string")
+    instant = F.when(kind_of("stamp") == "STRING", iso_to_ts(text)).when(kind_of("stamp").rlike(NUMBER_KIND), epoch_to_ts(text))
+    event = string_of("rec.eventName")
+    rows = opened.filter(event.isNull() | (event == "tokensGenerated")).select(
+        *kept,
+        F.nullif(string_of("rec.model"), F.lit("")).alias("model"),
+        F.explode(F.array(instant)).alias("ts"),
+        token_count(F.coalesce("rec.promptTokens", "rec.prompt_tokens")).alias("input_tokens"),
+        token_count(F.coalesce("rec.generatedTokens", "rec.generated_tokens")).alias("output_tokens"),
+        F.lit(0).cast("long").alias("cache_creation_tokens"),
+        F.lit(0).cast("long").alias("cache_read_tokens"),
     )
-
-    def count(*paths: str) -> Column:
-        return token_count(F.try_variant_get(_first_present(*paths), "$", "string"))
-
     return (
-        parse_lines(lines)
-        .select(
-            *kept,
-            string_at("rec", "$.eventName").alias("event_name"),
-            F.nullif(string_at("rec", "$.model"), F.lit("")).alias("model"),
-            instant.alias("ts"),
-            count("$.promptTokens", "$.prompt_tokens").alias("input_tokens"),
-            count("$.generatedTokens", "$.generated_tokens").alias("output_tokens"),
-            F.lit(0).cast("long").alias("cache_creation_tokens"),
-            F.lit(0).cast("long").alias("cache_read_tokens"),
-        )
-        .filter("event_name IS NULL OR event_name = 'tokensGenerated'")
-        .filter("model IS NOT NULL AND input_tokens + output_tokens > 0")
+        rows.filter("model IS NOT NULL AND input_tokens + output_tokens > 0")
         .filter(plausible_instant("ts", now))
         .withColumn("date", local_day("ts", offset_minutes))
-        .drop("event_name")
     )
 
 

@@ -55,6 +55,30 @@ def parse_lines(lines: DataFrame, must_contain: str | None = None) -> DataFrame:
     return parsed.filter(F.col("rec").isNotNull())
 
 
+def open_lines(lines: DataFrame, schema: str, must_contain: str | None = None) -> DataFrame:
+    """Adds ``rec`` of a pinned ``schema``; lines that are not JSON, or hold none of it, give NULL fields.
+
+    Only the named fields are built, the rest of a line is skipped over. Fields whose JSON type matters are
+    declared VARIANT. As in ``parse_lines`` the explode keeps the parse from being repeated.
+    """
+    if must_contain:
+        lines = lines.filter(F.col("value").contains(must_contain))
+    kept = [c for c in lines.columns if c != "value"]
+    return lines.select(*kept, F.explode(F.array(F.from_json("value", schema))).alias("rec"))
+
+
+def string_of(value: Column | str) -> Column:
+    """A VARIANT as text when it is a JSON string, else NULL."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.when(kind_of(v) == "STRING", v.cast("string"))
+
+
+def is_true(value: Column | str) -> Column:
+    """True only for a VARIANT holding JSON ``true``."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.coalesce((kind_of(v) == "BOOLEAN") & (F.try_variant_get(v, "$", "string") == "true"), F.lit(False))
+
+
 def text_at(rec: Column | str, path: str) -> Column:
     """The value at ``path`` as text, whatever scalar it is."""
     return F.try_variant_get(rec, path, "string")

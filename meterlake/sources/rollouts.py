@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.columns import epoch_to_ts, iso_to_ts, local_day, plausible_instant, token_count
 from ..functions.limits import classify_windows
 from ..operators.ordered import Scan, scan
-from .lines import file_stem, kind_of, parse_lines, read_lines, string_at, text_at, variant_at
+from .lines import file_stem, kind_of, open_lines, parse_lines, read_lines, string_at, string_of, text_at, variant_at
 
+# Pinned parse schema; VARIANT where the JSON type decides.
+_COUNTS = "input_tokens:string,cached_input_tokens:string,output_tokens:string,reasoning_output_tokens:string,total_tokens:string"
+RECORD_SCHEMA = f"""struct<timestamp:string,type:string,payload:struct<type:string,id:variant,model:variant,name:variant,
+    forked_from_id:variant,parent_thread_id:variant,source:variant,{_COUNTS},
+    info:struct<total_token_usage:struct<{_COUNTS}>,last_token_usage:struct<{_COUNTS}>>>>"""
 NUMBER_KIND = r"^(BIGINT|DOUBLE|DECIMAL|FLOAT)"
 
 
@@ -22,56 +27,42 @@ def parse_rollout(lines: DataFrame, now: Column | datetime, offset_minutes: Colu
     ``turn_tokens`` the last turn's tokens (NULL when the event carries none), ``call_name`` the tool called.
     """
     kept = [c for c in lines.columns if c != "value"]
-    parsed = parse_lines(lines, must_contain='"payload"')
+    opened = open_lines(lines, RECORD_SCHEMA, must_contain='"payload"').filter("rec.payload IS NOT NULL")
+    pay = F.col("rec.payload")
+    raw = opened.select(
+        *kept, F.explode(F.array(iso_to_ts("rec.timestamp"))).alias("ts"), F.col("rec.type").alias("kind"), pay["type"].alias("ptype"), pay.alias("pay"))
+    is_token, is_meta = F.col("ptype") == "token_count", F.col("kind") == "session_meta"
+    is_context = F.col("kind").isin("session_meta", "turn_context")
+    is_call = F.col("ptype").isin("function_call", "custom_tool_call", "local_shell_call")
+    pay, totals = F.col("pay"), F.col("pay.info.total_token_usage")
+    subagent = variant_at(pay["source"], "$.subagent")
+    forked, threaded = string_of(pay["forked_from_id"]), string_of(pay["parent_thread_id"])
+    parent = F.coalesce(forked, threaded, string_at(pay["source"], "$.subagent.thread_spawn.parent_thread_id"))
 
     def total(field: str) -> Column:
-        nested = variant_at("rec", "$.payload.info.total_token_usage")
-        return F.when(nested.isNotNull(), text_at("rec", f"$.payload.info.total_token_usage.{field}")).otherwise(
-            text_at("rec", f"$.payload.{field}")
-        )
-
-    def last(field: str) -> Column:
-        return token_count(text_at("rec", f"$.payload.info.last_token_usage.{field}"))
+        return F.when(is_token, F.when(totals.isNotNull(), totals[field]).otherwise(pay[field]))
 
-    kind, ptype = text_at("rec", "$.type"), text_at("rec", "$.payload.type")
-    is_token = F.coalesce(ptype == "token_count", F.lit(False))
-    is_meta = F.coalesce(kind == "session_meta", F.lit(False))
-    is_context = is_meta | F.coalesce(kind == "turn_context", F.lit(False))
-    ts = iso_to_ts(text_at("rec", "$.timestamp"))
+    no, yes = F.lit(False), F.coalesce
+    last_usage = F.col("pay.info.last_token_usage")
+    last = lambda field: token_count(last_usage[field])
     parts = last("input_tokens") + last("cached_input_tokens") + last("output_tokens") + last("reasoning_output_tokens")
-    named = string_at("rec", "$.payload.name")
-    shell = F.when(ptype == "local_shell_call", F.lit("local_shell"))
-    called = ptype.isin("function_call", "custom_tool_call", "local_shell_call") & ~is_context
-    spawned_by = string_at("rec", "$.payload.source.subagent.thread_spawn.parent_thread_id")
-    return parsed.select(
-        *kept,
-        ts.alias("ts"),
-        F.when(plausible_instant(ts, now), local_day(ts, offset_minutes)).alias("event_day"),
-        is_meta.alias("is_meta"),
-        F.when(is_meta, string_at("rec", "$.payload.id")).alias("session_id"),
-        F.when(
-            is_meta,
-            F.coalesce(string_at("rec", "$.payload.forked_from_id"), string_at("rec", "$.payload.parent_thread_id"),
-                       spawned_by),
-        ).alias("parent_id"),
-        (
-            is_meta
-            & (
-                string_at("rec", "$.payload.forked_from_id").isNotNull()
-                | string_at("rec", "$.payload.parent_thread_id").isNotNull()
-                | variant_at("rec", "$.payload.source.subagent").isNotNull()
-            )
-        ).alias("is_fork"),
-        F.when(is_context, F.nullif(string_at("rec", "$.payload.model"), F.lit(""))).alias("model"),
-        (is_token & (total("input_tokens").isNotNull() | total("output_tokens").isNotNull())).alias("has_total"),
+    shell = F.when(F.col("ptype") == "local_shell_call", F.lit("local_shell"))
+    in_context = yes(is_context, no)
+    return raw.select(
+        *kept, "ts",
+        F.when(plausible_instant("ts", now), local_day("ts", offset_minutes)).alias("event_day"),
+        yes(is_meta, no).alias("is_meta"),
+        F.when(is_meta, string_of(pay["id"])).alias("session_id"),
+        F.when(is_meta, parent).alias("parent_id"),
+        (yes(is_meta, no) & (forked.isNotNull() | threaded.isNotNull() | subagent.isNotNull())).alias("is_fork"),
+        F.when(is_context, F.nullif(string_of(pay["model"]), F.lit(""))).alias("model"),
+        (yes(is_token, no) & (total("input_tokens").isNotNull() | total("output_tokens").isNotNull())).alias("has_total"),
         token_count(total("input_tokens")).alias("input"),
         token_count(total("cached_input_tokens")).alias("cached"),
         token_count(total("output_tokens")).alias("output"),
-        F.when(
-            is_token & ~is_context & variant_at("rec", "$.payload.info.last_token_usage").isNotNull(),
-            F.when(last("total_tokens") > 0, last("total_tokens")).otherwise(parts),
-        ).alias("turn_tokens"),
-        F.nullif(F.substring(F.when(called, F.coalesce(named, shell)), 1, 128), F.lit("")).alias("call_name"),
+        F.when(yes(is_token, no) & ~in_context & last_usage.isNotNull(),
+               F.when(last("total_tokens") > 0, last("total_tokens")).otherwise(parts)).alias("turn_tokens"),
+        F.nullif(F.substring(F.when(yes(is_call, no) & ~in_context, F.coalesce(string_of(pay["name"]), shell)), 1, 128), F.lit("")).alias("call_name"),
     )
 
 

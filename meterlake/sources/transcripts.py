@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import iso_to_ts, local_day, plausible_instant, token_count
 from ..functions.labels import is_human_text, session_label
-from .lines import (PLACE, file_stem, is_object, parent_folder, parse_lines, read_lines, string_at, text_at,
-                    true_at, variant_at)
-
+from .lines import PLACE, file_stem, is_true, open_lines, parent_folder, read_lines, string_at, string_of, true_at
+
+# Pinned parse schemas; VARIANT where the JSON type decides.
+_USAGE = """struct<input_tokens:string,output_tokens:string,cache_creation_input_tokens:string,
+    cache_read_input_tokens:string>"""
+REQUEST_SCHEMA = f"struct<timestamp:string,requestId:variant,message:struct<id:variant,role:variant,model:variant,usage:{_USAGE}>>"
+RECORD_SCHEMA = f"""struct<type:string,isSidechain:variant,isMeta:variant,sessionId:variant,attributionSkill:variant,
+    message:struct<role:string,content:variant,usage:{_USAGE}>>"""
 USAGE_FIELDS = {
     "input_tokens": "input_tokens",
     "output_tokens": "output_tokens",
@@ -20,8 +25,8 @@ USAGE_FIELDS = {
 }
 
 
-def _usage_counts() -> list[Column]:
-    return [token_count(text_at("rec", f"$.message.usage.{field}")).alias(name) for name, field in USAGE_FIELDS.items()]
+def _counts(source: str) -> list[Column]:
+    return [token_count(f"{source}.{field}").alias(name) for name, field in USAGE_FIELDS.items()]
 
 
 def parse_requests(lines: DataFrame, now: Column | datetime, offset_minutes: Column | int = 0) -> DataFrame:
@@ -31,29 +36,25 @@ def parse_requests(lines: DataFrame, now: Column | datetime, offset_minutes: Col
     instant is plausible. Lines with neither id get a key of their own and never merge.
     """
     kept = [c for c in lines.columns if c != "value"]
-    parsed = parse_lines(lines, must_contain='"usage"')
-    role = variant_at("rec", "$.message.role")
-    fields = parsed.select(
-        *kept,
-        F.coalesce(string_at("rec", "$.message.id"), F.lit("")).alias("message_id"),
-        F.coalesce(string_at("rec", "$.requestId"), F.lit("")).alias("request_id"),
-        iso_to_ts(text_at("rec", "$.timestamp")).alias("ts"),
-        F.coalesce(string_at("rec", "$.message.model"), F.lit("unknown")).alias("model"),
-        *_usage_counts(),
-        (
-            is_object(variant_at("rec", "$.message.usage"))
-            & (role.isNull() | F.coalesce(text_at("rec", "$.message.role") == "assistant", F.lit(False)))
-        ).alias("is_usage"),
+    opened = open_lines(lines, REQUEST_SCHEMA, must_contain='"usage"')
+    role = F.col("rec.message.role")
+    usable = opened.filter(F.col("rec.message.usage").isNotNull() & (role.isNull() | (string_of(role) == "assistant")))
+    timed = usable.select(
+        *kept, F.col("rec.message.usage").alias("usage"),
+        string_of("rec.message.id").alias("message_id"), string_of("rec.requestId").alias("request_id"),
+        string_of("rec.message.model").alias("model"),
+        F.explode(F.array(iso_to_ts("rec.timestamp"))).alias("ts"),
     )
-    real = (F.col("message_id") != "") | (F.col("request_id") != "")
+    message_id, request_id = F.coalesce("message_id", F.lit("")), F.coalesce("request_id", F.lit(""))
+    real = (message_id != "") | (request_id != "")
     synthetic = F.concat_ws("|", F.lit("synthetic"), *[F.col(c).cast("string") for c in PLACE])
-    return (
-        fields.filter("is_usage")
-        .filter(plausible_instant("ts", now))
-        .withColumn("has_real_id", real)
-        .withColumn("key", F.when(real, F.concat_ws("|", "message_id", "request_id")).otherwise(synthetic))
-        .withColumn("date", local_day("ts", offset_minutes))
-        .drop("message_id", "request_id", "is_usage")
+    return timed.filter(plausible_instant("ts", now)).select(
+        *kept, "ts",
+        F.coalesce("model", F.lit("unknown")).alias("model"),
+        *_counts("usage"),
+        real.alias("has_real_id"),
+        F.when(real, F.concat_ws("|", message_id, request_id)).otherwise(synthetic).alias("key"),
+        local_day("ts", offset_minutes).alias("date"),
     )
 
 
@@ -69,23 +70,19 @@ def parse_attribution(lines: DataFrame) -> DataFrame:
     content is an array and the role fits. Nothing of the content itself is kept.
     """
     kept = [c for c in lines.columns if c != "value"]
-    parsed = parse_lines(lines)
-    blocks = F.try_variant_get("rec", "$.message.content", "array<variant>")
-    plain = F.when(blocks.isNull(), string_at("rec", "$.message.content"))
-    type_, role = text_at("rec", "$.type"), text_at("rec", "$.message.role")
+    opened = open_lines(lines, RECORD_SCHEMA).filter("rec IS NOT NULL")
     false = F.lit(False)
-    base = parsed.select(
-        *kept,
-        F.coalesce((type_ == "assistant"), false).__or__(F.coalesce(role == "assistant", false)).alias("is_assistant"),
-        F.coalesce((type_ == "user"), false).__or__(F.coalesce(role == "user", false)).alias("is_user"),
-        true_at("rec", "$.isSidechain").alias("is_sidechain"),
-        true_at("rec", "$.isMeta").alias("is_meta"),
-        F.nullif(string_at("rec", "$.sessionId"), F.lit("")).alias("session_id"),
-        F.substring(F.nullif(string_at("rec", "$.attributionSkill"), F.lit("")), 1, 128).alias("skill"),
-        *_usage_counts(),
-        blocks.alias("blocks"),
-        plain.alias("plain"),
-    )
+    says = lambda who: F.coalesce(F.col("rec.type") == who, false) | F.coalesce(F.col("rec.message.role") == who, false)
+    content = F.col("rec.message.content")
+    base = opened.select(
+        *kept, says("assistant").alias("is_assistant"), says("user").alias("is_user"),
+        is_true("rec.isSidechain").alias("is_sidechain"), is_true("rec.isMeta").alias("is_meta"),
+        F.nullif(string_of("rec.sessionId"), F.lit("")).alias("session_id"),
+        F.substring(F.nullif(string_of("rec.attributionSkill"), F.lit("")), 1, 128).alias("skill"),
+        *_counts("rec.message.usage"),
+        F.explode(F.array(F.try_variant_get(content, "$", "array<variant>"))).alias("blocks"),
+        content.alias("content"),
+    ).withColumn("plain", F.when(F.col("blocks").isNull(), string_of("content")))
 
     def block_text(b: Column, field: str) -> Column:
         return string_at(b, f"$.{field}")

@@ -17,7 +17,7 @@ NOW = datetime(2026, 8, 20, 12, 0)
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     session = build_session(
-        "meterlake-tests", "local[4]", 4, spark__ui__enabled="false", spark__driver__memory="4g",
+        "meterlake-tests", "local[4]", 4, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="4g",
         spark__checkpoint__dir=str(shared), spark__sql__warehouse__dir=str(shared / "warehouse"),
     )
     session.sparkContext.setLogLevel("ERROR")
