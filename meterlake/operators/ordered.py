@@ -146,28 +146,24 @@ def earliest_within(samples: DataFrame, key: Sequence[str], at_ms: str, lookback
     return scanned.filter("__probe = 1").select(*columns, name)
 
 
-def rank_desc(df: DataFrame, value: str, name: str = "rank", steps: int = 256) -> DataFrame:
-    """Competition rank by ``value`` (a whole number, largest first) over the whole table.
+def rank_desc(df: DataFrame, value: str, name: str = "rank", steps: int = 256, keys: Sequence[str] = ()) -> DataFrame:
+    """Competition rank by ``value`` (a whole number, largest first) over the whole table, or per ``keys``.
 
-    A window without a partition would sort every row in one task. Equal values are first
-    collapsed to one row with a count; these are ranked inside value bands (``steps`` bands
-    for each doubling), and only the band totals (bounded by the value range, not by
-    the data) are chained.
+    One window would sort every row of a board in one task. Equal values are first collapsed to
+    one row with a count; these are ranked inside value bands (``steps`` bands for each doubling),
+    and only the band totals (bounded by the value range, not by the data) are chained.
     """
-    counts = df.groupBy(F.col(value).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    keys = list(keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
     counts = counts.withColumn("__band", _band(F.col("__value"), steps))
-    bands = counts.groupBy("__band").agg(F.sum("__n").alias("__n"))
-    above_band = bands.select(
-        F.col("__band").alias("__b"),
-        F.coalesce(
-            F.sum("__n").over(W.orderBy(F.desc("__band")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ).alias("__above"),
-    )
-    inside = W.partitionBy("__band").orderBy(F.desc("__value")).rowsBetween(W.unboundedPreceding, -1)
+    bands = counts.groupBy(*keys, "__band").agg(F.sum("__n").alias("__n"))
+    chain = (W.partitionBy(*keys) if keys else W).orderBy(F.desc("__band")).rowsBetween(W.unboundedPreceding, -1)
+    above_band = bands.select(*keys, "__band", F.coalesce(F.sum("__n").over(chain), F.lit(0)).alias("__above"))
+    inside = W.partitionBy(*keys, "__band").orderBy(F.desc("__value")).rowsBetween(W.unboundedPreceding, -1)
     ranked = counts.withColumn("__within", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(
-        above_band, F.col("__band") == F.col("__b")
-    ).select("__value", (F.col("__above") + F.col("__within") + 1).alias(name))
-    return df.join(ranked, F.col(value) == F.col("__value")).drop("__value")
+        above_band, [*keys, "__band"]
+    ).select(*keys, F.col("__value").alias(value), (F.col("__above") + F.col("__within") + 1).alias(name))
+    return df.join(ranked, [*keys, value]).select(*df.columns, name)
 
 
 def _band(value: Column, steps: int) -> Column:

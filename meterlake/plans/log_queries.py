@@ -28,6 +28,7 @@ from .adapter import (COST_SQL, DAILY_SQL, NOW, SUMS_SQL, TODAY, TOTAL_SQL, USAG
 from .usage_queries import PRICED_SQL
 
 LINES_PER_CHUNK = 1000
+EVENTS_PER_DOCUMENT = 100
 
 
 def _iso(ts):
@@ -379,7 +380,7 @@ def rollout_agent_query(spark, sf):
 q AS (SELECT p.*, {TOTAL_SQL} AS tok, {COST_SQL.replace('p_', 'r.p_')} AS est FROM p LEFT JOIN rates r ON r.model = p.m)
 SELECT handle, date, m AS model, {SUMS_SQL}, CAST(sum(CASE WHEN k % 4 = 0 AND k > 0 THEN k * 1000 ELSE est END) AS BIGINT) AS cost_micro, count(*) AS request_count FROM q WHERE tok > 0 GROUP BY ALL""")
 def task_files(spark, sf):
-    """One task document per account and hour; the payload is JSON text or an object, the model in the row, the text or nowhere."""
+    """Task documents of at most 100 requests; the payload is JSON text or an object, the model in the row, the text or nowhere."""
     u = usage(spark, sf)
     k = F.col("k")
     payload = F.struct(F.col("input_tokens").alias("tokensIn"), F.col("output_tokens").alias("tokensOut"), k.alias("cacheWrites"), F.col("cache_read_tokens").alias("cacheReads"),
@@ -388,7 +389,7 @@ def task_files(spark, sf):
                               F.when(k % 3 == 0, F.struct(F.col("model").alias("modelId"))).alias("modelInfo")))
     text = F.when(k % 2 == 0, F.to_json(payload)).otherwise(F.regexp_replace(F.to_json(F.array(F.to_json(payload))), r"^\[|\]$", ""))
     message = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"text":'), text, F.lit("}"))
-    docs = u.groupBy("handle", F.date_trunc("hour", "ts").alias("hour")).agg(
+    docs = u.groupBy("handle", F.floor(F.col("event_id") / EVENTS_PER_DOCUMENT).alias("part")).agg(
         F.concat(F.lit("["), F.array_join(F.collect_list(message), ","), F.lit("]")).alias("value")
     ).select("handle", F.lit("cline").alias("tool"), "value")
     requests = parse_tasks(docs, now())
@@ -415,14 +416,14 @@ def generation_files(spark, sf):
 @query("paged_usage", f"""WITH {USAGE_SQL}, p AS (SELECT *, CASE WHEN k % 6 = 0 THEN 'cursor' ELSE model END AS m, CAST(round(k * 123 / 7.0, 0) AS BIGINT) AS c FROM usage WHERE k % 8 <> 3)
 SELECT handle, date, m AS model, {SUMS_SQL}, CAST(floor((sum(k * 1230) + 50) / 100) * 100 AS BIGINT) AS cost_micro FROM p GROUP BY ALL""")
 def paged_usage(spark, sf):
-    """One page per account and hour, as landed JSON."""
+    """Landed pages of at most 100 events."""
     u = usage(spark, sf)
     k = F.col("k")
     usage_part = F.struct(F.col("input_tokens").alias("inputTokens"), F.col("output_tokens").alias("outputTokens"), k.alias("cacheWriteTokens"),
                           F.col("cache_read_tokens").alias("cacheReadTokens"), (k * 123 / 1000).alias("totalCents"))
     event = F.struct(F.unix_millis("ts").cast("string").alias("timestamp"), F.when(k % 6 == 0, "").otherwise(F.col("model")).alias("model"),
                      F.when(k % 8 != 3, usage_part).alias("tokenUsage"))
-    pages = u.groupBy("handle", F.date_trunc("hour", "ts").alias("hour")).agg(F.collect_list(event).alias("usageEventsDisplay")).select(
+    pages = u.groupBy("handle", F.floor(F.col("event_id") / EVENTS_PER_DOCUMENT).alias("part")).agg(F.collect_list(event).alias("usageEventsDisplay")).select(
         "handle", _json("usageEventsDisplay").alias("value"))
     return page_daily(parse_page_events(page_events(open_pages(pages)), now()), ("handle",))
 
@@ -503,7 +504,7 @@ def model_reports(spark, sf):
 n AS (SELECT *, 'm' || id % 97 AS key, CASE provider WHEN 'anthropic' THEN 0 WHEN 'openai' THEN 1 ELSE 8 END AS rk, raw_key <> 'm' || id % 97 AS alias FROM p),
 w AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY key ORDER BY rk, alias, id) = 1),
 d AS (SELECT DISTINCT key, pin, pout FROM n WHERE cr > 0)
-SELECT w.key, w.pin AS price_in, w.pout AS price_out, CASE WHEN w.cr = 0 AND d.key IS NOT NULL THEN 7 ELSE w.cr END AS price_cache_read, w.pin AS price_cache_write
+SELECT w.key, w.pin AS price_in, w.pout AS price_out, CAST(CASE WHEN w.cr = 0 AND d.key IS NOT NULL THEN 7 ELSE w.cr END AS BIGINT) AS price_cache_read, w.pin AS price_cache_write
 FROM w LEFT JOIN d ON d.key = w.key AND d.pin = w.pin AND d.pout = w.pout""")
 def price_dimension(spark, sf):
     """Parts as entries of raw price lists, 100 to a document, with competing keys and missing cache rates."""

@@ -11,11 +11,12 @@ from ..operators.board import (board_rows, context_rows, current_streak, daily_l
                                last_grew, leaderboard, longest_streak, members_only, overtaken, rank_all, rank_movement,
                                spark7d)
 from ..operators.ordered import rank_desc, time_chunk
-from ..operators.reports import (cost_per_message, day_series, digest, hourly_24, insights_models, insights_tools,
+from ..operators.reports import (attach_labels, day_series, digest, hourly_24, insights_models, insights_tools,
                                  org_analytics, org_top, org_trend, pace, stale_devices, stat_popularity, subagent_share,
                                  summary, summary_by_tool, suppress_small, token_mix, tools_found, top_cost_sessions,
                                  top_models, top_models_today, top_sessions_today, totals_by, trend_cells, with_share)
 from ..operators.usage import hour_blocks
+from ..sources.transcripts import session_labels
 from .adapter import (ACCOUNTS_SQL, DAILY_SQL, MEMBERSHIP_SQL, NOW, SUMS_SQL, TODAY, TOTAL_SQL, USAGE_SQL, accounts, daily,
                       load, membership, now, query, usage)
 from .usage_queries import PRICED_SQL, SESSIONS_SQL, priced, sessions
@@ -398,11 +399,8 @@ r AS (SELECT handle, date, t, rank() OVER (PARTITION BY date ORDER BY t DESC) AS
 
 
 def _day_ranks(spark, sf):
-    from pyspark.sql import Window as W
-
     d = usage(spark, sf).groupBy("handle", "date").agg(F.sum(total_tokens()).alias("t"))
-    return d.withColumn("daily_rank", F.rank().over(W.partitionBy("date").orderBy(F.desc("t")))).withColumn(
-        "observed_at", F.col("date").cast("timestamp"))
+    return rank_desc(d, "t", "daily_rank", keys=["date"]).withColumn("observed_at", F.col("date").cast("timestamp"))
 
 
 @query("overtaken", f"""{_RANKS_SQL}, p AS (SELECT *, lag(rk) OVER (PARTITION BY handle ORDER BY date) AS prev FROM r)
@@ -439,14 +437,15 @@ def daily_digest(spark, sf):
     return digest(s, rank_all(d, TODAY), account % 24, now(), sent)
 
 
-@query("display_columns", """SELECT o_orderkey, CASE WHEN v < 999.95 THEN CAST(v AS VARCHAR) ELSE NULL END AS small FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 999 AS v FROM orders)""")
-def display_columns(spark, sf):
-    """Only values below the first unit have a short SQL form; the unit rules are covered by tests."""
-    o = load(spark, sf, "orders").select("o_orderkey", (F.floor("o_totalprice").cast("long") % 999).alias("v"))
-    return o.select("o_orderkey", compact_tokens("v").alias("small"))
-
-
-@query("display_report")
+@query("display_report", f"""WITH {DAILY_SQL}, d AS (SELECT handle, CAST(sum(tokens) AS BIGINT) AS n, CAST(sum(cost_micro) AS BIGINT) AS m FROM daily GROUP BY handle),
+u AS (SELECT *, CASE WHEN n >= 999950000 THEN 1000000000 WHEN n >= 999950 THEN 1000000 WHEN n >= 1000 THEN 1000 ELSE 1 END AS unit, (m + 5000) // 10000 AS cents, n % 200000 AS s, n % 120 AS p FROM d),
+t AS (SELECT *, CAST(floor(n / unit * 10 + 0.5) AS BIGINT) AS tenths FROM u)
+SELECT handle, CASE WHEN unit = 1 THEN CAST(n AS VARCHAR) ELSE tenths // 10 || CASE WHEN tenths % 10 = 0 THEN '' ELSE '.' || tenths % 10 END
+    || CASE unit WHEN 1000 THEN 'K' WHEN 1000000 THEN 'M' ELSE 'B' END END AS tokens,
+  CASE WHEN m >= 100000000 THEN '$' || (m + 500000) // 1000000 ELSE '$' || cents // 100 || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') END AS cost,
+  least(p, 100) || '%' AS percent, CASE WHEN p >= 95 THEN 'critical' WHEN p >= 80 THEN 'amber' ELSE 'normal' END AS severity,
+  CASE WHEN s <= 0 THEN 'now' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' WHEN s < 86400 THEN s // 3600 || 'h ' || s // 60 % 60 || 'm'
+    ELSE s // 86400 || 'd ' || s // 3600 % 24 || 'h' END AS resets_in FROM t""")
 def display_report(spark, sf):
     d = daily(spark, sf).groupBy("handle").agg(F.sum(total_tokens()).alias("tokens"), F.sum("cost_micro").alias("cost_micro"))
     percent = F.col("tokens") % 120 * 1.0
@@ -471,3 +470,13 @@ def session_names(spark, sf):
     d = load(spark, sf, "documents")
     path = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit("abcdefghijklmnopqrstuvwxyz")))
     return d.select("doc_id", session_name(path).alias("name"))
+
+
+@query("attach_labels", """SELECT doc_id || 'x' AS session_id, CASE WHEN doc_id % 2 = 0 THEN lang || '/' || source ELSE substr(doc_id || 'x', 1, 24) END AS name FROM documents""")
+def attach_labels_query(spark, sf):
+    """Sessions named by their project folder where one is known, else by their id."""
+    d = load(spark, sf, "documents")
+    sid = F.concat(F.col("doc_id").cast("string"), F.lit("x"))
+    folder = F.concat(F.lit("file:/logs/-home-"), "lang", F.lit("-"), "source", F.lit("/"), sid, F.lit(".jsonl"))
+    labels = session_labels(d.filter("doc_id % 2 = 0").select(folder.alias("file")))
+    return attach_labels(d.select(sid.alias("session_id")), labels).select("session_id", "name")

@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 PLACE = ("file", "chunk", "ord")
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.jsonl") -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.jsonl",
+               modified_after: str | None = None) -> DataFrame:
     """Lines of all matching files with (file, chunk, ord). Large files split over tasks.
 
     The id is taken straight after the scan, before any filter or shuffle can move rows.
+    ``modified_after`` (``YYYY-MM-DDTHH:MM:SS``) leaves older files unopened.
     """
+    reader = spark.read.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
     return (
-        spark.read.format("text")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(paths if isinstance(paths, str) else list(paths))
+        reader.load(paths if isinstance(paths, str) else list(paths))
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("chunk"),
