@@ -216,8 +216,9 @@ def refreshed_rows(spark, sf):
 
 
 @query("complete_batches", f"""WITH p AS (SELECT user_id % 10 AS batch_id, CAST(day(ts) AS BIGINT) AS page, count(*) AS n_events, bool_and(user_id % 20 <> 3 OR event_id % 4 <> 0) AS ok FROM events
-  WHERE NOT (user_id % 10 = 4 AND day(ts) = 12) AND NOT (user_id % 10 = 5 AND day(ts) > 20) GROUP BY ALL)
-SELECT batch_id, page, n_events FROM p WHERE batch_id NOT IN (3, 4, 5)""")
+  WHERE NOT (user_id % 10 = 4 AND day(ts) = 12) AND NOT (user_id % 10 = 5 AND day(ts) > 20) GROUP BY ALL),
+g AS (SELECT batch_id FROM p GROUP BY batch_id HAVING bool_and(ok) AND max(page) = count(*) AND max(page) = 30)
+SELECT batch_id, page, n_events FROM p WHERE batch_id IN (SELECT batch_id FROM g)""")
 def complete_batches_query(spark, sf):
     """Days as pages of ten batches: one has failed pages, one a gap, one stops on a full page too early."""
     day, batch = F.day("ts"), F.col("user_id") % 10
