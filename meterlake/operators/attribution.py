@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from .ordered import carry_last, running_sum
 
 
@@ -36,10 +37,14 @@ def tool_errors(calls: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("
 
 
 def tool_stats(events: DataFrame, groups: tuple[str, ...] = (), file_keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Calls, errors and tokens per tool. ``groups`` are extra columns constant within a file."""
-    calls = tool_calls(events)
-    results = events.select(*{*groups, *file_keys}, "chunk", "ord", F.explode("errors").alias("call_id"))
+    """Calls, errors and tokens per tool. ``groups`` are extra columns constant within a file.
+
+    Several passes follow, so the few parsed columns are written once and the raw text is not parsed again.
+    """
     keys = tuple(dict.fromkeys([*groups, *file_keys]))
+    used = materialize(events.filter("size(calls) > 0 OR size(errors) > 0").select(*keys, "chunk", "ord", "tokens", "calls", "errors"), "calls")
+    calls = tool_calls(used)
+    results = used.select(*keys, "chunk", "ord", F.explode("errors").alias("call_id"))
     errors = tool_errors(calls, results, keys).groupBy(*groups, "name").agg(F.count(F.lit(1)).alias("errors"))
     counted = calls.groupBy(*groups, "name").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("call_tokens").alias("tokens")
@@ -63,8 +68,9 @@ def rollout_tool_stats(events: DataFrame, groups: tuple[str, ...] = (), file_key
     Calls that no token event closes, or that a zero-token event closes, get none.
     """
     keys = tuple(dict.fromkeys([*groups, *file_keys]))
-    placed = turn_id(events.filter("call_name IS NOT NULL OR turn_tokens IS NOT NULL")
-                     .select(*keys, "chunk", "ord", "call_name", "turn_tokens"), keys)
+    used = materialize(events.filter("call_name IS NOT NULL OR turn_tokens IS NOT NULL")
+                       .select(*keys, "chunk", "ord", "call_name", "turn_tokens"), "turns")
+    placed = turn_id(used, keys)
     per_tool = placed.filter("call_name IS NOT NULL").groupBy(*keys, "turn", F.col("call_name").alias("name")).agg(
         F.count(F.lit(1)).alias("calls")
     )
