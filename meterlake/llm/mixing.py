@@ -50,14 +50,14 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     """``row`` (the columns ``carry`` of ``docs``, all by default), size, source_size, target and repeats.
 
     The draw orders a source's documents by a seeded hash of key and text; those before the point where the sizes add
-    up to the fractional part of target / source_size are taken once more, so a source misses its target by less than
-    one document. Rows that are equal in key and text stand next to each other. Null texts and empty ones have size 0
+    up to the fractional part of target / source_size are taken once more, and of the others the one whose size comes
+    nearest to what is still lacking. Rows that are equal in key and text stand next to each other. Null texts and empty ones have size 0
     and are never repeated beyond the whole epochs; a null source is a source of its own, the last.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("key"), F.col("text")), 1)
     narrow = packed(docs, carry, text=text, source=source, key=key).select("row", "source", size.alias("size"), draw.alias("draw"))
-    sized = materialize(narrow.select("row", "source", "size", "draw", F.expr(f"draw div {(1 << 63) // CELLS}").alias("cell")), "mix")
+    sized = materialize(narrow.select("*", F.expr(f"draw div {(1 << 63) // CELLS}").alias("cell"), F.monotonically_increasing_id().alias("at")), "mix")
     targets = source_targets(sized.select("source", "size"), weights, max_epochs)
     split = targets.selectExpr(
         "source AS of", "source_size", "target", "CAST(floor(target / greatest(source_size, 1)) AS INT) AS whole").selectExpr(
@@ -73,8 +73,14 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     below = placed.where(f"NOT coalesce({inside}, false)").withColumn("more", F.expr("coalesce(cell < edge_cell, false)"))
     at = placed.where(inside).withColumn("upto", F.expr(
         "edge_before + sum(size) OVER (PARTITION BY source, cell ORDER BY draw, size ROWS UNBOUNDED PRECEDING)"))
-    both = below.unionByName(at.withColumn("more", F.expr("upto - size / 2 <= part")).drop("upto"))
-    return both.withColumn("repeats", F.col("whole") + (F.col("more") & (F.col("whole") < max_epochs)).cast("int")).select(
+    both = below.unionByName(at.withColumn("more", F.expr("upto <= part")).drop("upto"))
+    drawn = materialize(both.select("source", "size", "whole", "part", "at", (F.col("more") & (F.col("whole") < max_epochs)).alias("more")), "drawn")
+    taken = drawn.groupBy("source").agg(F.max("part").alias("part"), F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).alias("got"))
+    taken = taken.selectExpr("source AS of", "part - got AS lack")
+    spare = drawn.where(~F.col("more") & (F.col("whole") < max_epochs)).join(taken, same("source", "of")).where("abs(size - lack) < lack")
+    last = spare.groupBy("source").agg(F.min(F.struct(F.expr("abs(size - lack)"), "at")).getField("at").alias("last")).select("last")
+    rounded = drawn.join(last, F.col("at") == F.col("last"), "left").select("at", (F.col("whole") + (F.col("more") | F.col("last").isNotNull()).cast("int")).alias("repeats"))
+    return sized.join(rounded, "at").join(targets.withColumnRenamed("source", "of"), same("source", "of")).select(
         "row", "size", "source_size", "target", "repeats")
 
 

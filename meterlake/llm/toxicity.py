@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, max_stems: i
     """Learns from the labelled documents whose remainder by 5 is not 0, on a hash sample of about ``fit_rows`` of them.
 
     A stem is an insult if it occurs in ``support`` unlike toxic documents (near copies share the least hash of their
-    words and count once) and the lower bound of its log odds against clean ones is above 2. At most ``max_stems`` are kept.
+    words and count once) and the lower bound of its log odds against clean ones is above 1.2. At most ``max_stems`` are kept.
     """
     known = labels.where(remainder(F.col("doc_id"), 5) != 0).where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(
         F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, max_stems: i
     for stem, (unlike, _) in wanted.items():
         p, q = unlike + 0.5, clean.get(stem, 0) + 0.5
         bound = math.log(p / (n_toxic + 1)) - math.log(q / (n_clean + 1)) - 1.64 * math.sqrt(1 / p + 1 / q)
-        if bound > 2:
+        if bound > 1.2:
             stems[stem] = bound
     scorer = Scorer(dict(sorted(stems.items(), key=lambda x: (-x[1], x[0]))[:max_stems]))
     raw = map_column(rows, "text", "raw double", lambda texts: [(scorer.raw(t),) for t in texts], ["toxic"]).collect()
