@@ -19,7 +19,7 @@ from meterlake.session import materialize
 
 from .common import remainder, utf8
 
-DEPTH = 4
+DEPTH = 5
 BLOCK_BYTES = 32 << 20
 #: Bytes whose strings are counted or looked up at once.
 SLICE = 2 << 20

@@ -103,7 +103,8 @@ def judged_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     known = base.where("ruled IS NOT NULL").select("text", "held", (F.col("ruled") == "allow").alias("accepted"), "at")
     model = materialize(char_models(known.where("NOT held"), order, nodes), "model")
     trial = url_scores(known.where("held AND accepted").select("at", "text"), model, order)
-    threshold = trial.agg(F.percentile_approx("score", F.lit(1 - keep), F.lit(10_000)).alias("t")).first().t or 0.0
+    found = trial.agg(F.percentile_approx("score", F.lit(1 - keep), F.lit(10_000)).alias("t")).first().t
+    threshold = min(found or 0.0, 0.0)  # what the accepted model fits better is never blocked
     asked = url_scores(base.where("ruled IS NULL").select("at", "text"), model, order)
     asked = asked.select(F.col("at").alias("of"), "score")
     full = base.join(asked, F.col("at") == F.col("of"), "left").withColumn("score", F.when(F.col("ruled").isNull(), F.coalesce("score", F.lit(0.0))))
