@@ -54,11 +54,16 @@ def ids_of(texts: list[str], path: str) -> list[bytes]:
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = {p for pieces in cut for p in pieces or ()}
-    words = list(new)
-    for k in range(0, len(words), 4096):
+    for blank in [p for p in new if p.isspace()]:
+        known[blank] = as_bytes(model.encode(blank, add_special_tokens=False).ids)
+    words = [p for p in new if not p.isspace()]
+    line = model.encode("\n", add_special_tokens=False).ids[0]
+    for k in range(0, len(words), 4096):  # many at once: a line end is a piece of its own before any of them
         part = words[k:k + 4096]
-        for word, made in zip(part, model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[word] = as_bytes(made.ids)
+        ids = np.array(model.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(ids == line)
+        raw, starts, stops = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()], [*(4 * ends).tolist(), 4 * len(ids)]
+        known.update((word, raw[a:b]) for word, a, b in zip(part, starts, stops, strict=True))
     return [as_bytes(model.encode(text, add_special_tokens=False).ids) if pieces is None else b"".join(map(known.__getitem__, pieces))
             for text, pieces in zip(texts, cut, strict=True)]
 
