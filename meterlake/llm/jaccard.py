@@ -1,10 +1,11 @@
 """Exact near-duplicate join on word shingles in the metric space of Jaccard distances.
 
-Pivots cut the space into regions. The first pivots are the single shingles: in a fixed order of shingles, a set lies
-in the regions of its first ones, as many as a partner at the threshold could miss plus one, so two linked sets share
-a region. A region of more than ``REGION`` sets is cut again around one of its sets: those within the threshold of
-the pivot are linked to it; the rest form the next region, and of the linked ones only those stay beside them whose
-distance to the pivot is by the triangle inequality near enough to some of the rest. Small regions are compared in full.
+Pivots cut the space into regions. The first pivots are the single shingles. A set's pool is its least shingle hashes;
+two linked sets share many of their pools, so each lies in the regions of the rarest of its pool only, and passages
+that many documents have make no regions. Every region is then cut around one of its sets: those within the threshold
+of the pivot are linked to it; the rest form the next region, and of the linked ones only those stay beside them whose
+distance to the pivot is by the triangle inequality near enough to some of the rest. Regions whose sets are all linked
+are done; small ones are compared in full.
 """
 
 from __future__ import annotations
@@ -24,12 +25,8 @@ WIDTH = 3
 #: Links join sets whose intersection is at least this many hundredths of their union.
 PERCENT = 90
 REGION = 16
-ROUNDS = 6
-#: Documents whose shingles tell which ones are frequent. The order of shingles steers the cost only, never the result.
-ORDER_SAMPLE = 4000
-MOST_FREQUENT = 200_000
+ROUNDS = 3
 MASK = np.uint64((1 << 62) - 1)
-FREQUENT = np.uint64(1 << 62)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -53,25 +50,15 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(run & MASK)
 
 
-def ordered(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Hashes as places in the order of all shingles: those that are not frequent first."""
-    if len(frequent) and len(found):
-        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-        found = np.sort(np.where(frequent[at] == found, found | FREQUENT, found))
-    return found
-
-
-def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that 4 or more documents of a hash sample of about ``ORDER_SAMPLE`` have; at most ``MOST_FREQUENT``."""
-    share = min(1.0, ORDER_SAMPLE / max(docs.count(), 1))
-    some = docs.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
-
-    def sets(texts: list) -> list[tuple]:
-        return [(shingles(t, width).astype(np.int64),) for t in texts]
+def pool_sizes(n: int, percent: int) -> tuple[int, int]:
+    """Shingles of the pool of a set of ``n``, and how many regions it lies in.
 
-    seen = map_column(some, "text", "found array<long>", sets, ["key"]).select(F.explode("found").alias("s"))
-    often = seen.groupBy("s").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "s").limit(MOST_FREQUENT)
-    return np.sort(np.array([r.s for r in often.collect()], np.int64).astype(np.uint64))
+    A linked partner lacks at most ``n - ceil(percent n / 100)`` of a set. A pool with ``spare + 1`` more than that shares
+    at least ``spare + 1`` shingles with the partner's, so all but ``spare`` of a pool meet all but ``spare`` of the other.
+    """
+    lacking = n - (percent * n + 99) // 100
+    spare = 6 * n // 100
+    return min(n, lacking + 1 + spare), lacking + 1
 
 
 def set_digest(found: np.ndarray) -> bytes | None:
@@ -82,93 +69,106 @@ def linked(inter: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * inter >= percent * (a + b - inter)
 
 
-def sides(pairs: DataFrame, table: DataFrame, field: str) -> DataFrame:
-    """``pairs`` (a, b) with n and ``field`` of either node."""
+def sides(pairs: DataFrame, table: DataFrame, *fields: str) -> DataFrame:
+    """``pairs`` (a, b) with ``fields`` of either node."""
     for side in "ab":
-        pairs = pairs.join(table.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col(field).alias(f"{field}_{side}")), side)
+        pairs = pairs.join(table.select(F.col("node").alias(side), *(F.col(f).alias(f"{f}_{side}") for f in fields)), side)
     return pairs
 
 
-def prefix_allows(percent: int) -> Column:
-    """Whether two sets can still be linked: shingles below both prefixes' ends that only one prefix has are not shared."""
-    end = F.least(F.array_max("prefix_a"), F.array_max("prefix_b"))
-    both = F.size(F.array_intersect("prefix_a", "prefix_b"))
-    left = [F.col(f"n_{s}") - (F.size(F.filter(f"prefix_{s}", lambda x: x <= end)) - both) for s in "ab"]
-    return linked(F.least(*left), F.col("n_a"), F.col("n_b"), percent)
+def most_shared() -> Column:
+    """Upper bound of two sets' intersection: shingles below both pools' ends that only one pool has are not shared."""
+    end = F.least("last_a", "last_b")
+    both = F.size(F.array_intersect("pool_a", "pool_b"))
+    return F.least(*(F.col(f"n_{s}") - (F.size(F.filter(f"pool_{s}", lambda x: x <= end)) - both) for s in "ab"))
 
 
 class Comparison:
-    """Distances of pairs of sets; a set is built from its text the first time a pair asks for it."""
+    """Distances of pairs of sets; a set is built from its text the first time that its pool can't decide a pair."""
 
-    def __init__(self, docs: DataFrame, sets: DataFrame, frequent: np.ndarray, width: int, percent: int) -> None:
-        self.docs, self.sets, self.frequent, self.width, self.percent = docs, sets, frequent, width, percent
+    def __init__(self, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> None:
+        self.docs, self.sets, self.width, self.percent = docs, sets, width, percent
         self.built: DataFrame | None = None
 
     def build(self, wanted: DataFrame) -> None:
-        """Adds the full sets of the nodes ``wanted`` that are not built yet."""
         if self.built is not None:
             wanted = wanted.join(self.built.select("node"), "node", "left_anti")
-        width, frequent = self.width, self.frequent
+        width = self.width
         texts = self.docs.join(wanted.join(self.sets.select("node", "least", "digest", "n"), "node"), F.col("key").eqNullSafe(F.col("least")))
 
         def full(texts: list) -> list[tuple]:
             found = [shingles(t, width) for t in texts]
-            return [(ordered(f, frequent).astype(np.int64), set_digest(f)) for f in found]
+            return [(f.astype(np.int64), set_digest(f)) for f in found]
 
         made = map_column(texts, "text", "full array<long>, found_digest binary", full, ["node", "n", "digest"])
-        made = materialize(made.where("digest = found_digest").select("node", "n", "full").dropDuplicates(["node"]), "sets")
+        made = materialize(made.where("digest = found_digest").select("node", "n", "full"), "sets")
         self.built = made if self.built is None else self.built.unionByName(made)
 
     def distances(self, pairs: DataFrame) -> DataFrame:
-        """a, b, distance, linked."""
-        pairs = materialize(pairs, "pairs")
-        self.build(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        """a, b, linked, distance; a pair that the pools rule out gets the least distance that they allow."""
+        far = lambda inter: 1 - inter / (F.col("n_a") + F.col("n_b") - inter)
+        may = lambda inter: linked(inter, F.col("n_a"), F.col("n_b"), self.percent)
+        bounds = sides(pairs, self.sets, "n", "pool", "last").select("a", "b", "n_a", "n_b", most_shared().alias("most"))
+        bounds = materialize(bounds.withColumn("open", may(F.col("most"))), "bounds")
+        asked = bounds.where("open").select("a", "b")
+        self.build(asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).distinct())
         inter = F.size(F.array_intersect("full_a", "full_b"))
-        both = sides(pairs, self.built, "full").select("a", "b", "n_a", "n_b", inter.alias("inter"))
-        far = 1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))
-        return materialize(both.select("a", "b", far.alias("distance"), linked(F.col("inter"), F.col("n_a"), F.col("n_b"), self.percent).alias("linked")), "distances")
+        exact = sides(asked, self.built, "n", "full").select("a", "b", "n_a", "n_b", inter.alias("inter"))
+        exact = exact.select("a", "b", may(F.col("inter")).alias("linked"), far(F.col("inter")).alias("distance")).distinct()
+        ruled = bounds.where("NOT open").select("a", "b", F.lit(False).alias("linked"), far(F.col("most")).alias("distance"))
+        return materialize(exact.unionByName(ruled), "distances")
 
 
 def all_pairs(regions: DataFrame, percent: int) -> DataFrame:
-    """a < b of each region whose sizes allow a link."""
-    left = regions.select("region", F.col("node").alias("a"), F.col("n").alias("na"))
-    right = regions.select("region", F.col("node").alias("b"), F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    """a < b of each region that are not known to be linked and whose sizes allow a link."""
+    left = regions.select("region", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = regions.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return left.join(right, "region").where(fits).select("a", "b").distinct()
 
 
-def region_links(regions: DataFrame, sets: DataFrame, compare: Comparison, percent: int) -> DataFrame:
+def rare_regions(sets: DataFrame) -> DataFrame:
+    """region (a shingle), node, n: each set in the regions of the rarest of its pool that another pool has too."""
+    posts = sets.select(F.explode("pool").alias("region"), "node")
+    shared = posts.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
+    several = materialize(posts.join(shared, "region"), "shared")
+    sized = several.join(sets.select("node", "n", F.size("pool").alias("p"), "n_regions"), "node")
+    ranked = sized.selectExpr("region", "node", "n", "n_regions - p + count(*) OVER (PARTITION BY node) AS room",
+                              "row_number() OVER (PARTITION BY node ORDER BY c, region) AS place")
+    return ranked.where("place <= room").select("region", "node", "n")  # the pool's other shingles come before: none has them
+
+
+def region_links(regions: DataFrame, compare: Comparison, percent: int) -> DataFrame:
     """Links (a, b) between nodes of the same region, up to those that follow from others."""
     threshold = 1 - percent / 100
     found: DataFrame | None = None
     active = regions.withColumn("rest", F.lit(True))
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS):
         sizes = active.groupBy("region").agg(
             F.count("*").alias("members"), F.min(F.when(F.col("rest"), F.col("node"))).alias("pivot"),
             F.bit_xor(F.xxhash64("node", "rest")).alias("x"), F.bit_xor(F.xxhash64("rest", "node")).alias("y")).where("members > 1")
         # regions of the same sets ask the same question once
         sizes = sizes.groupBy("members", "pivot", "x", "y").agg(F.min("region").alias("region")).select("region", "members", "pivot")
-        active = materialize(active.join(sizes, "region"), "regions")
-        small = active if turn == ROUNDS else active.where(F.col("members") <= REGION)
-        large = active.where(F.col("members") > REGION)
-        pairs = sides(all_pairs(small, percent), sets, "prefix").where(prefix_allows(percent)).select("a", "b")
-        stars = large.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        far = compare.distances(pairs.unionByName(stars).distinct())
+        active = materialize(active.join(sizes, "region").where("node <> pivot").select(
+            "region", "members", "node", "n", "rest", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "regions")
+        far = compare.distances(active.select("a", "b").distinct())
         fresh = far.where("linked").select("a", "b")
         found = fresh if found is None else materialize(found.unionByName(fresh), "found")
-        if turn == ROUNDS or large.isEmpty():
-            return found
-        a, b = F.least("node", "pivot"), F.greatest("node", "pivot")
-        placed = large.where("node <> pivot").join(far.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "distance", "linked"),
-                                                   (a == F.col("fa")) & (b == F.col("fb")))
-        placed = materialize(placed.select("region", "node", "n", "distance", (~F.col("linked") & F.col("rest")).alias("rest")), "placed")
+        placed = materialize(active.join(far, ["a", "b"]).select(
+            "region", "members", "node", "n", "distance", (~F.col("linked") & F.col("rest")).alias("rest")), "placed")
         nearest = placed.where("rest").groupBy("region").agg(F.min("distance").alias("nearest"))
-        ring = placed.join(nearest, "region").where(F.col("rest") | (F.col("distance") + threshold + 1e-9 >= F.col("nearest")))
-        roots = components(found)
-        known = ring.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = known.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
-        active = known.join(open_, "region").select("region", "node", "n", "rest")
-    raise AssertionError
+        ring = placed.join(nearest, "region").where(F.col("rest") | (F.col("distance") <= 2 * threshold + 1e-9) & (
+            F.col("distance") + threshold + 1e-9 >= F.col("nearest")))
+        known = ring.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        undecided = known.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
+        known = materialize(known.join(undecided, "region"), "open")
+        small = known if turn == ROUNDS - 1 else known.where(F.col("members") <= REGION)
+        fresh = compare.distances(all_pairs(small, percent)).where("linked").select("a", "b")
+        found = materialize(found.unionByName(fresh), "found")
+        active = known.where(F.col("members") > REGION).select("region", "node", "n", "rest")
+        if turn == ROUNDS - 1 or active.isEmpty():
+            break
+    return found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -179,24 +179,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     that has an order; rows of one key are linked only by their texts. Sets are compared by 62-bit shingle hashes.
     """
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    frequent = frequent_shingles(docs, width)
 
     def sketch(texts: list) -> list[tuple]:
         rows = []
         for t in texts:
             found = shingles(t, width)
             n = len(found)
-            rows.append((n, set_digest(found), ordered(found, frequent)[:n - (percent * n + 99) // 100 + 1].astype(np.int64) if n else None))
+            size, n_regions = pool_sizes(n, percent)
+            rows.append((n, set_digest(found), found[:size].astype(np.int64) if n else None, n_regions))
         return rows
 
-    base = materialize(map_column(docs, "text", "n int, digest binary, prefix array<long>", sketch, ["key"]), "sketch")
+    base = materialize(map_column(docs, "text", "n int, digest binary, pool array<long>, n_regions int", sketch, ["key"]), "sketch")
     sets = base.where("n > 0").groupBy("digest").agg(
-        F.min("key").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "classes")
-    posts = sets.select(F.explode("prefix").alias("region"), "node", "n")
-    shared = posts.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region")
-    regions = materialize(posts.join(shared, "region"), "regions")
-    links = region_links(regions, sets, Comparison(docs, sets, frequent, width, percent), percent)
+        F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "pool", "n_regions")))
+    sets = materialize(sets.withColumns({"node": F.monotonically_increasing_id(), "last": F.array_max("pool")}), "classes")
+    links = region_links(rare_regions(sets), Comparison(docs, sets, width, percent), percent)
     rooted = sets.select("digest", "node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     classes = materialize(rooted.join(named, "root").select(F.col("digest").alias("of"), "component"), "components")
