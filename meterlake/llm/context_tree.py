@@ -20,9 +20,11 @@ from meterlake.session import materialize
 from .common import remainder, utf8
 
 DEPTH = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 #: Bytes whose strings are counted or looked up at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: Strings gathered from slices before equal ones are added up.
+GATHERED = 1 << 20
 END = b"\n"
 
 
@@ -157,14 +159,19 @@ def block_strings(table: pa.Table, depth: int) -> pa.Table:
             words[w] = words.get(w, 0) + (not out)
         words[b""] = words.get(b"", 0) + (not out)  # the end
         plains.append(plain(found))
+    del texts
     codes, counts = [], []
     for part in (False, True):
         mine = [t for t, out in zip(plains, held, strict=True) if out == part]
         for run in slices(mine):
+            # an unseen text adds its strings with a count of 0
             c, n = np.unique(string_codes([mine[i] for i in run], depth)[0], return_counts=True) if run else (np.empty(0, np.int64), np.empty(0, np.int64))
             codes.append(c)
             counts.append(n * (not part))
+            if sum(map(len, codes[1:])) > GATHERED:
+                codes, counts = ([x] for x in counted(codes, counts))
     strings, n = counted(codes, counts)
+    del plains, codes, counts
     empty, nothing = len(words), len(strings)
     block = table.column("block")[0].as_py()
     return pa.table({
