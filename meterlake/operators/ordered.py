@@ -147,7 +147,7 @@ def earliest_within(samples: DataFrame, key: Sequence[str], at_ms: str, lookback
 
 
 def rank_desc(df: DataFrame, value: str, name: str = "rank", steps: int = 256, keys: Sequence[str] = ()) -> DataFrame:
-    """Competition rank by ``value`` (a whole number, largest first) over the whole table, or per ``keys``.
+    """Competition rank by ``value`` (a whole number, largest first) over the whole table, or per ``keys``; NULL for a NULL value.
 
     One window would sort every row of a board in one task. Equal values are first collapsed to
     one row with a count; these are ranked inside value bands (``steps`` bands for each doubling),
@@ -163,7 +163,7 @@ def rank_desc(df: DataFrame, value: str, name: str = "rank", steps: int = 256, k
     ranked = counts.withColumn("__within", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(
         above_band, [*keys, "__band"]
     ).select(*keys, F.col("__value").alias(value), (F.col("__above") + F.col("__within") + 1).alias(name))
-    return df.join(ranked, [*keys, value]).select(*df.columns, name)
+    return df.join(ranked, [*keys, value], "left").select(*df.columns, name)
 
 
 def _band(value: Column, steps: int) -> Column:

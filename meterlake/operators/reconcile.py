@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.columns import TOKEN_COLUMNS, total_tokens
 
 DAILY_KEY = ("handle", "date", "tool", "model", "origin")
-MAX_SCOPE_MODELS = 100
-MAX_TOMBSTONES = 5000
 
 
 def upsert_daily(current: DataFrame, incoming: DataFrame, keys: Sequence[str] = DAILY_KEY) -> DataFrame:
@@ -108,13 +106,22 @@ def differing_scopes(left: DataFrame, right: DataFrame) -> DataFrame:
     ).filter("known AND differs").select("handle", "date")
 
 
-def tombstones(candidates: DataFrame, corrected: DataFrame, run_status: DataFrame) -> DataFrame:
-    """Replay dates the corrected read does not have, for accounts whose reads both succeeded; 5,000 per account."""
+def tombstones(candidates: DataFrame, corrected: DataFrame, run_status: DataFrame, max_dates: int | None = None) -> DataFrame:
+    """Replay dates the corrected read does not have, for accounts whose reads both succeeded.
+
+    ``max_dates`` limits an account's dates to its first ones; by default none is left out.
+    """
     open_dates = candidates.select("handle", "date").join(
         run_status.filter("native_ok AND replay_ok"), "handle", "left_semi"
     ).distinct().join(corrected.select("handle", "date").distinct(), ["handle", "date"], "left_anti")
-    ranked = open_dates.withColumn("n", F.row_number().over(W.partitionBy("handle").orderBy("date")))
-    return ranked.filter(F.col("n") <= MAX_TOMBSTONES).select("handle", "date")
+    return _first_dates(open_dates, max_dates).select("handle", "date")
+
+
+def _first_dates(scopes: DataFrame, most: int | None) -> DataFrame:
+    if most is None:
+        return scopes
+    ranked = scopes.withColumn("n", F.row_number().over(W.partitionBy("handle").orderBy("date")))
+    return ranked.filter(F.col("n") <= most).drop("n")
 
 
 def changed_scopes(legacy: DataFrame, corrected: DataFrame, dead: DataFrame) -> DataFrame:
@@ -122,24 +129,25 @@ def changed_scopes(legacy: DataFrame, corrected: DataFrame, dead: DataFrame) ->
     return dead.select("handle", "date").union(differing_scopes(legacy, corrected)).distinct()
 
 
-def correction_proof(legacy: DataFrame, changed: DataFrame, dead: DataFrame, whole_payload: DataFrame | None = None
-                     ) -> tuple[DataFrame, DataFrame]:
+def correction_proof(legacy: DataFrame, changed: DataFrame, dead: DataFrame, whole_payload: DataFrame | None = None,
+                     max_models: int | None = None, max_dates: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(prior scopes as arrays, proved tombstones).
 
-    A scope over 100 models gives no proof; an account whose payload was capped or lost a row gives none
+    With ``max_models`` a scope of more models gives no proof, with ``max_dates`` an account's later scopes give none;
+    both are off by default. An account whose payload was capped or lost a row gives none
     either (``whole_payload`` lists the accounts that may prove).
     """
     rows = _scope_rows(legacy).join(changed, ["handle", "date"], "left_semi")
     if whole_payload is not None:
         rows = rows.join(whole_payload.select("handle"), "handle", "left_semi")
-    small = rows.groupBy("handle", "date").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= MAX_SCOPE_MODELS)
+    if max_models is not None:
+        small = rows.groupBy("handle", "date").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_models)
+        rows = rows.join(small.select("handle", "date"), ["handle", "date"], "left_semi")
     scopes = (
-        rows.join(small.select("handle", "date"), ["handle", "date"], "left_semi")
-        .groupBy("handle", "date")
+        rows.groupBy("handle", "date")
         .agg(F.sort_array(F.collect_list(F.struct("model", *TOKEN_COLUMNS))).alias("rows"))
     )
-    ranked = scopes.withColumn("n", F.row_number().over(W.partitionBy("handle").orderBy("date")))
-    scopes = ranked.filter(F.col("n") <= MAX_TOMBSTONES).drop("n")
+    scopes = _first_dates(scopes, max_dates)
     proved = dead.join(scopes.select("handle", "date"), ["handle", "date"], "left_semi")
     return scopes, proved
 

@@ -569,7 +569,7 @@ def plan_usage(spark, sf):
     per = load(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     row = F.struct(F.when(F.col("user_id") % 5 != 0, F.col("n")).alias("numRequests"), F.when(F.col("user_id") % 3 != 0, 500).alias("maxRequestUsage"))
     docs = per.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", row)))).alias("m")).select(
-        "user_id", F.concat(F.lit('{"startOfMonth":"2024-01-31T00:00:00.000Z",'), F.substring("m", 2, 100_000)).alias("value"))
+        "user_id", F.concat(F.lit('{"startOfMonth":"2024-01-31T00:00:00.000Z",'), F.expr("substring(m, 2)")).alias("value"))
     out = parse_plan_usage(docs)
     return out.select("user_id", "used", "request_limit", F.floor(F.col("plan_percent") * 10 + 0.5).cast("long").alias("permille"), F.to_date("renews_at").alias("renews"))
 

@@ -230,23 +230,19 @@ def daily_leader_query(spark, sf):
     return daily_leader(board).select("handle", "rank", "today_tokens")
 
 
-_ISLANDS_SQL = f"""WITH {USAGE_SQL}, d AS (SELECT DISTINCT handle, date FROM usage WHERE tool = 'click'),
+_ISLANDS_SQL = f"""WITH {USAGE_SQL}, d AS (SELECT DISTINCT handle, date FROM usage),
 n AS (SELECT *, date - CAST(row_number() OVER (PARTITION BY handle ORDER BY date) AS INTEGER) AS g FROM d),
 i AS (SELECT handle, g, count(*) AS days, max(date) AS last_day FROM n GROUP BY ALL)"""
 
 
-def _clicks(spark, sf):
-    return usage(spark, sf).filter("tool = 'click'")
-
-
 @query("current_streak", f"{_ISLANDS_SQL} SELECT handle, days AS streak_days FROM i WHERE last_day = {_DAY}")
 def current_streak_query(spark, sf):
-    return current_streak(_clicks(spark, sf), TODAY)
+    return current_streak(usage(spark, sf), TODAY)
 
 
 @query("longest_streak", f"{_ISLANDS_SQL} SELECT handle, max(days) AS longest_streak_days FROM i GROUP BY handle")
 def longest_streak_query(spark, sf):
-    return longest_streak(_clicks(spark, sf))
+    return longest_streak(usage(spark, sf))
 
 
 @query("spark7d", f"""WITH s AS ({_series_sql(7, "handle")}) SELECT handle, string_agg(CAST(tokens AS VARCHAR), ',' ORDER BY date) AS spark FROM s GROUP BY handle""")

@@ -310,11 +310,11 @@ _LABEL_SQL = r"""CASE WHEN length(s) BETWEEN 1 AND 64 AND regexp_full_match(s, '
   ELSE 'agent-' || substr(sha256('agent' || chr(0) || s), 1, 12) END"""
 
 
-@query("label_pseudonyms", rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE regexp_replace(substr(text, 1, 40), '^\s+|\s+$', '', 'g') END AS s FROM documents)
+@query("label_pseudonyms", rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS s FROM documents)
 SELECT doc_id, {_LABEL_SQL} AS label, 'local-' || substr(sha256('session' || chr(0) || CAST(doc_id AS VARCHAR)), 1, 24) AS session FROM d""")
 def label_pseudonyms(spark, sf):
     d = load(spark, sf, "documents")
-    s = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.substring("text", 1, 40))
+    s = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.col("text"))
     return d.select("doc_id", machine_label(s, "agent", 64).alias("label"), session_pseudonym("doc_id").alias("session"))
 
 

@@ -34,7 +34,9 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys=DAILY
     """
     try:
         table = spark.read.schema(incoming.schema).parquet(path)
-    except AnalysisException:  # no table yet
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         write_days(incoming, path)
         return
     days = incoming.select("date").distinct()

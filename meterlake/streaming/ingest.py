@@ -39,7 +39,9 @@ def number_lines(batch: DataFrame) -> DataFrame:
 def _table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
     try:
         return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
