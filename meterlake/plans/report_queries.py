@@ -330,6 +330,18 @@ def org_top_members(spark, sf):
     return org_top(daily(spark, sf), membership(spark, sf), "handle", 3)
 
 
+@query("org_top_tools", f"""WITH {DAILY_SQL}, {MEMBERSHIP_SQL}, s AS (SELECT org, tool AS name, CAST(sum(tokens) AS BIGINT) AS tokens FROM daily JOIN membership USING (handle) GROUP BY ALL)
+SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY org ORDER BY tokens DESC, name) <= 5""")
+def org_top_tools(spark, sf):
+    return org_top(daily(spark, sf), membership(spark, sf), "tool", 5)
+
+
+@query("org_top_models", f"""WITH {DAILY_SQL}, {MEMBERSHIP_SQL}, s AS (SELECT org, model AS name, CAST(sum(tokens) AS BIGINT) AS tokens FROM daily JOIN membership USING (handle) GROUP BY ALL)
+SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY org ORDER BY tokens DESC, name) <= 5""")
+def org_top_models(spark, sf):
+    return org_top(daily(spark, sf), membership(spark, sf), "model", 5)
+
+
 @query("org_suppression", f"""WITH {DAILY_SQL}, {MEMBERSHIP_SQL}, o AS (SELECT org, count(*) AS members, CAST(coalesce(sum(t), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(c), 0) AS BIGINT) AS cost_micro
   FROM membership LEFT JOIN (SELECT handle, sum(tokens) AS t, sum(cost_micro) AS c FROM daily GROUP BY handle) USING (handle) GROUP BY org)
 SELECT org, members, members < 60 AND org < 'M' AS aggregates_hidden, CASE WHEN members < 60 AND org < 'M' THEN 0 ELSE tokens END AS tokens,

@@ -118,3 +118,8 @@ def test_wide_caps_are_exact(spark):
     kept = top_per_group(df, ["g"], [F.desc("v"), F.asc("id")], 1200)
     plain = df.withColumn("n", F.row_number().over(W.partitionBy("g").orderBy(F.desc("v"), "id"))).filter("n <= 1200").drop("n")
     assert rows(kept) == rows(plain)
+
+
+def test_rank_keeps_null_values(spark):
+    df = spark.createDataFrame([("a", 5), ("b", None), ("c", 7)], "k string, v long")
+    assert {(r.k, r["rank"]) for r in rank_desc(df, "v").collect()} == {("a", 2), ("b", None), ("c", 1)}
