@@ -1,19 +1,23 @@
 """Exact near-duplicate join on word shingles in the metric space of Jaccard distances.
 
-Pivots cut the space into regions. The first pivots are the single shingles. A set's pool is its least shingle hashes;
-two linked sets share many of their pools, so each lies in the regions of the rarest of its pool only, and passages
-that many documents have make no regions. Every region is then cut around one of its sets: those within the threshold
-of the pivot are linked to it; the rest form the next region, and of the linked ones only those stay beside them whose
-distance to the pivot is by the triangle inequality near enough to some of the rest. Regions whose sets are all linked
-are done; small ones are compared in full.
+Pivots cut the space into regions. The first pivots are the single shingles, ordered from rare to common by counts over
+all documents. A set lies in the regions of its first shingles only: linked sets share so much that the first shingle
+that they have in common stands early in both, and in the smaller one earlier still, so passages that many documents
+have make hardly any regions. Every region is then cut around one of its sets: those within the threshold of the pivot
+are linked to it; the rest form the next region, and of the linked ones only those stay beside them whose distance to
+the pivot is by the triangle inequality near enough to some of the rest. Regions whose sets are all linked are done;
+small ones are compared in full.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.session import materialize
@@ -25,8 +29,11 @@ WIDTH = 3
 #: Links join sets whose intersection is at least this many hundredths of their union.
 PERCENT = 90
 REGION = 16
-ROUNDS = 3
-MASK = np.uint64((1 << 62) - 1)
+ROUNDS = 4
+#: Cells in which shingles are counted; the table of their classes has a byte a cell, whatever the input.
+CELLS = 1 << 20
+HASH_BITS = 56
+MASK = np.uint64((1 << HASH_BITS) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,8 +42,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The set of a text as sorted 62-bit hashes; of fewer than ``width`` words, the whole sequence is one shingle."""
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """A hash for each shingle of a text, in text order; of fewer than ``width`` words, the whole sequence is one."""
     import xxhash
 
     words = utf8(text).lower().split()  # bytes: lower() changes A-Z alone, split() knows the six spaces alone
@@ -47,18 +54,42 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     n, run = len(words) - width + 1, np.full(len(words) - width + 1, width, np.uint64)
     for k in range(width):
         run = mixed(run * np.uint64(0x9E3779B97F4A7C15) + one[k:k + n])
-    return np.unique(run & MASK)
+    return run & MASK
+
+
+def shingles(text: str | None, width: int, classes: np.ndarray) -> np.ndarray:
+    """The set of a text, sorted: the shingles' hashes below the class that ``classes`` has for them, rare ones first."""
+    run = shingle_hashes(text, width)
+    return np.unique(classes[run & np.uint64(len(classes) - 1)].astype(np.uint64) << np.uint64(HASH_BITS) | run)
 
 
 def pool_sizes(n: int, percent: int) -> tuple[int, int]:
-    """Shingles of the pool of a set of ``n``, and how many regions it lies in.
+    """Where the first shingle that a set of ``n`` shares with a linked one may stand: places in its pool, and early ones.
 
-    A linked partner lacks at most ``n - ceil(percent n / 100)`` of a set. A pool with ``spare + 1`` more than that shares
-    at least ``spare + 1`` shingles with the partner's, so all but ``spare`` of a pool meet all but ``spare`` of the other.
+    They share ``percent n / 100`` or more, so fewer than the pool's come before. If the other set is no smaller, they
+    share ``2 percent n / (100 + percent)`` or more, so the shared one is early.
     """
-    lacking = n - (percent * n + 99) // 100
-    spare = 6 * n // 100
-    return min(n, lacking + 1 + spare), lacking + 1
+    return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def shingle_classes(docs: DataFrame, width: int, cells: int = CELLS) -> np.ndarray:
+    """Binary logarithm of the number of shingles of all texts in each cell of their hash."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(cells, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                at, n = np.unique(shingle_hashes(text, width) & np.uint64(cells - 1), return_counts=True)
+                found[at] += n
+        at = np.flatnonzero(found)
+        for k in range(0, len(at), 1 << 16):
+            part = at[k:k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(found[part])], names=["cell", "n"])
+
+    sums = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    table = sums.select("cell", F.floor(F.log2("n")).cast("tinyint").alias("class")).toPandas()
+    classes = np.zeros(cells, np.uint8)
+    classes[table["cell"]] = table["class"]
+    return classes
 
 
 def set_digest(found: np.ndarray) -> bytes | None:
@@ -86,18 +117,18 @@ def most_shared() -> Column:
 class Comparison:
     """Distances of pairs of sets; a set is built from its text the first time that its pool can't decide a pair."""
 
-    def __init__(self, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> None:
-        self.docs, self.sets, self.width, self.percent = docs, sets, width, percent
+    def __init__(self, docs: DataFrame, sets: DataFrame, width: int, percent: int, classes: Broadcast) -> None:
+        self.docs, self.sets, self.width, self.percent, self.classes = docs, sets, width, percent, classes
         self.built: DataFrame | None = None
 
     def build(self, wanted: DataFrame) -> None:
         if self.built is not None:
             wanted = wanted.join(self.built.select("node"), "node", "left_anti")
-        width = self.width
+        width, classes = self.width, self.classes
         texts = self.docs.join(wanted.join(self.sets.select("node", "least", "digest", "n"), "node"), F.col("key").eqNullSafe(F.col("least")))
 
         def full(texts: list) -> list[tuple]:
-            found = [shingles(t, width) for t in texts]
+            found = [shingles(t, width, classes.value) for t in texts]
             return [(f.astype(np.int64), set_digest(f)) for f in found]
 
         made = map_column(texts, "text", "full array<long>, found_digest binary", full, ["node", "n", "digest"])
@@ -120,22 +151,28 @@ class Comparison:
 
 
 def all_pairs(regions: DataFrame, percent: int) -> DataFrame:
-    """a < b of each region that are not known to be linked and whose sizes allow a link."""
-    left = regions.select("region", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = regions.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return left.join(right, "region").where(fits).select("a", "b").distinct()
+    """a < b of each region that are not known to be linked, whose sizes allow a link and of which the smaller is early."""
+    left = regions.where("early").select("region", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    right = regions.select("region", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    larger = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
+    fits = larger & (F.col("rx") != F.col("ry")) & (100 * F.col("nx") >= percent * F.col("ny"))
+    return left.join(right, "region").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def rare_regions(sets: DataFrame) -> DataFrame:
-    """region (a shingle), node, n: each set in the regions of the rarest of its pool that another pool has too."""
-    posts = sets.select(F.explode("pool").alias("region"), "node")
-    shared = posts.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
-    several = materialize(posts.join(shared, "region"), "shared")
-    sized = several.join(sets.select("node", "n", F.size("pool").alias("p"), "n_regions"), "node")
-    ranked = sized.selectExpr("region", "node", "n", "n_regions - p + count(*) OVER (PARTITION BY node) AS room",
-                              "row_number() OVER (PARTITION BY node ORDER BY c, region) AS place")
-    return ranked.where("place <= room").select("region", "node", "n")  # the pool's other shingles come before: none has them
+    """region (a shingle), node, n, place, early: each set in the regions of its pool where a link may be found first.
+
+    Regions of the same sets become one, in which a set is early if it is so in one of them.
+    """
+    posts = sets.select("node", "n", "n_early", F.posexplode("pool").alias("place", "region")).select(
+        "region", "node", "n", "place", (F.col("place") < F.col("n_early")).alias("early"))
+    shared = posts.groupBy("region").agg(
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        F.bool_or("early").alias("any")).where("members > 1 AND any")
+    one = shared.select("region", F.min("region").over(Window.partitionBy("members", "x", "y")).alias("first"))
+    several = posts.join(one, "region")
+    return several.groupBy(F.col("first").alias("region"), "node").agg(
+        F.first("n").alias("n"), F.min("place").alias("place"), F.bool_or("early").alias("early"))
 
 
 def region_links(regions: DataFrame, compare: Comparison, percent: int) -> DataFrame:
@@ -145,17 +182,18 @@ def region_links(regions: DataFrame, compare: Comparison, percent: int) -> DataF
     active = regions.withColumn("rest", F.lit(True))
     for turn in range(ROUNDS):
         sizes = active.groupBy("region").agg(
-            F.count("*").alias("members"), F.min(F.when(F.col("rest"), F.col("node"))).alias("pivot"),
-            F.bit_xor(F.xxhash64("node", "rest")).alias("x"), F.bit_xor(F.xxhash64("rest", "node")).alias("y")).where("members > 1")
+            F.count("*").alias("members"), F.min(F.when(F.col("rest"), F.struct("place", "node"))).getField("node").alias("pivot"),
+            F.bit_xor(F.xxhash64("node", "rest", "early")).alias("x"), F.bit_xor(F.xxhash64("early", "rest", "node")).alias("y"),
+            F.bool_or("early").alias("any")).where("members > 1 AND any")
         # regions of the same sets ask the same question once
         sizes = sizes.groupBy("members", "pivot", "x", "y").agg(F.min("region").alias("region")).select("region", "members", "pivot")
         active = materialize(active.join(sizes, "region").where("node <> pivot").select(
-            "region", "members", "node", "n", "rest", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "regions")
+            "region", "members", "node", "n", "place", "early", "rest", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "regions")
         far = compare.distances(active.select("a", "b").distinct())
         fresh = far.where("linked").select("a", "b")
         found = fresh if found is None else materialize(found.unionByName(fresh), "found")
         placed = materialize(active.join(far, ["a", "b"]).select(
-            "region", "members", "node", "n", "distance", (~F.col("linked") & F.col("rest")).alias("rest")), "placed")
+            "region", "members", "node", "n", "place", "early", "distance", (~F.col("linked") & F.col("rest")).alias("rest")), "placed")
         nearest = placed.where("rest").groupBy("region").agg(F.min("distance").alias("nearest"))
         ring = placed.join(nearest, "region").where(F.col("rest") | (F.col("distance") <= 2 * threshold + 1e-9) & (
             F.col("distance") + threshold + 1e-9 >= F.col("nearest")))
@@ -165,7 +203,7 @@ def region_links(regions: DataFrame, compare: Comparison, percent: int) -> DataF
         small = known if turn == ROUNDS - 1 else known.where(F.col("members") <= REGION)
         fresh = compare.distances(all_pairs(small, percent)).where("linked").select("a", "b")
         found = materialize(found.unionByName(fresh), "found")
-        active = known.where(F.col("members") > REGION).select("region", "node", "n", "rest")
+        active = known.where(F.col("members") > REGION).select("region", "node", "n", "place", "early", "rest")
         if turn == ROUNDS - 1 or active.isEmpty():
             break
     return found
@@ -176,24 +214,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Two rows are linked when their shingle sets overlap in ``percent`` hundredths of the union; equal sets always are.
     A null text, or one without words, has an empty set and is linked with nothing. Keys may repeat or be of any type
-    that has an order; rows of one key are linked only by their texts. Sets are compared by 62-bit shingle hashes.
+    that has an order; rows of one key are linked only by their texts. Sets are compared by 56-bit shingle hashes.
     """
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    classes = docs.sparkSession.sparkContext.broadcast(shingle_classes(docs, width))
 
     def sketch(texts: list) -> list[tuple]:
         rows = []
         for t in texts:
-            found = shingles(t, width)
+            found = shingles(t, width, classes.value)
             n = len(found)
-            size, n_regions = pool_sizes(n, percent)
-            rows.append((n, set_digest(found), found[:size].astype(np.int64) if n else None, n_regions))
+            size, early = pool_sizes(n, percent)
+            rows.append((n, set_digest(found), found[:size].astype(np.int64) if n else None, early))
         return rows
 
-    base = materialize(map_column(docs, "text", "n int, digest binary, pool array<long>, n_regions int", sketch, ["key"]), "sketch")
+    base = materialize(map_column(docs, "text", "n int, digest binary, pool array<long>, n_early int", sketch, ["key"]), "sketch")
     sets = base.where("n > 0").groupBy("digest").agg(
-        F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "pool", "n_regions")))
+        F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "pool", "n_early")))
     sets = materialize(sets.withColumns({"node": F.monotonically_increasing_id(), "last": F.array_max("pool")}), "classes")
-    links = region_links(rare_regions(sets), Comparison(docs, sets, width, percent), percent)
+    links = region_links(rare_regions(sets), Comparison(docs, sets, width, percent, classes), percent)
     rooted = sets.select("digest", "node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     classes = materialize(rooted.join(named, "root").select(F.col("digest").alias("of"), "component"), "components")
