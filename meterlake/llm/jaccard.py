@@ -86,9 +86,9 @@ def shingle_classes(docs: DataFrame, width: int, cells: int = CELLS) -> np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(found[part])], names=["cell", "n"])
 
     sums = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = sums.select("cell", F.floor(F.log2("n")).cast("tinyint").alias("class")).toPandas()
+    table = sums.select("cell", F.floor(F.log2("n")).cast("tinyint").alias("class")).toArrow()  # five bytes a cell
     classes = np.zeros(cells, np.uint8)
-    classes[table["cell"]] = table["class"]
+    classes[table.column("cell").to_numpy()] = table.column("class").to_numpy()
     return classes
 
 
