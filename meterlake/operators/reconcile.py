@@ -93,8 +93,23 @@ def _scope_rows(df: DataFrame) -> DataFrame:
     return df.groupBy("handle", "date", "model").agg(*[F.sum(c).alias(c) for c in TOKEN_COLUMNS])
 
 
-def differing_scopes(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(handle, date) of ``left`` whose model rows differ from ``right``.
+def correctable(rows: DataFrame, tool: str | None) -> Column:
+    """Whether a row may be corrected: of ``tool`` (None: any), from the tool's own logs and not verified.
+
+    A table without the column ``tool``, ``origin`` or ``verified`` holds such rows only.
+    """
+    rules = {"origin": F.col("origin") == "cli", "verified": ~F.coalesce("verified", F.lit(False))}
+    if tool is not None:
+        rules["tool"] = F.col("tool") == tool
+    holds = F.lit(True)
+    for column, rule in rules.items():
+        if column in rows.columns:
+            holds = holds & F.coalesce(rule, F.lit(False))
+    return holds
+
+
+def differing_scopes(left: DataFrame, right: DataFrame, either: bool = False) -> DataFrame:
+    """(handle, date) of ``left``, or with ``either`` of one of both, whose model rows differ from ``right``.
 
     Rows meet by full outer join on the model, so no day is gathered into one array.
     """
@@ -103,7 +118,7 @@ def differing_scopes(left: DataFrame, right: DataFrame) -> DataFrame:
     met = a.join(b, ["handle", "date", "model"], "full_outer")
     return met.groupBy("handle", "date").agg(
         F.bool_or(F.col("l").isNotNull()).alias("known"), F.bool_or(~F.col("l").eqNullSafe(F.col("r"))).alias("differs")
-    ).filter("known AND differs").select("handle", "date")
+    ).filter("differs" if either else "known AND differs").select("handle", "date")
 
 
 def tombstones(candidates: DataFrame, corrected: DataFrame, run_status: DataFrame, max_dates: int | None = None) -> DataFrame:
@@ -152,18 +167,22 @@ def correction_proof(legacy: DataFrame, changed: DataFrame, dead: DataFrame, who
     return scopes, proved
 
 
-def apply_correction(stored: DataFrame, prior: DataFrame, corrected: DataFrame, devices: DataFrame) -> DataFrame:
+def apply_correction(stored: DataFrame, prior: DataFrame, corrected: DataFrame, devices: DataFrame, tool: str | None = None) -> DataFrame:
     """Replaces a stored scope by the corrected rows, only where the stored rows equal the prior ones
     and the account has exactly one confirmed device.
 
     ``stored``, ``prior`` and ``corrected`` hold (handle, date, model, counters…), ``devices(handle, device_id, confirmed)``.
+    A scope is what is ``correctable`` of an account's day; its other rows always stay.
     """
+    own = "correctable_row"
+    stored = stored.withColumn(own, correctable(stored, tool))
+    prior, corrected = (df.filter(correctable(df, tool)) for df in (prior, corrected))
     single = devices.filter("confirmed").groupBy("handle").agg(F.count_distinct("device_id").alias("n")).filter("n = 1")
     scopes = prior.select("handle", "date").distinct()
-    of_scope = stored.join(scopes, ["handle", "date"], "left_semi")
-    changed = differing_scopes(of_scope, prior).union(differing_scopes(prior, of_scope)).distinct()
+    of_scope = stored.filter(own).join(scopes, ["handle", "date"], "left_semi")
+    changed = differing_scopes(of_scope, prior, either=True)
     accepted = scopes.join(changed, ["handle", "date"], "left_anti").join(single, "handle", "left_semi")
-    kept = stored.join(accepted, ["handle", "date"], "left_anti")
+    kept = stored.join(accepted.withColumn(own, F.lit(True)), ["handle", "date", own], "left_anti").drop(own).select(*[c for c in stored.columns if c != own])
     fresh = corrected.join(accepted, ["handle", "date"], "left_semi")
     return kept.unionByName(fresh, allowMissingColumns=True)
 

@@ -163,6 +163,24 @@ def apply_correction_query(spark, sf):
     return apply_correction(legacy, prior, corrected, devices).select("handle", "date", "model", "input_tokens")
 
 
+@query("correct_mixed_tools", f"""WITH {DAILY_SQL}, st AS (SELECT handle, date, tool, model, input_tokens,
+  tool = 'click' AND NOT (model = 'gpt-5' AND day(date) % 6 = 0) AND day(date) % 7 <> 0 AS own FROM daily)
+SELECT handle, date, tool, model, input_tokens FROM st WHERE NOT own OR day(date) = 8 OR CAST(handle AS BIGINT) % 2 <> 0
+UNION ALL SELECT handle, date, tool, model, input_tokens - 1 FROM st
+WHERE own AND day(date) <> 8 AND CAST(handle AS BIGINT) % 2 = 0 AND day(date) % 5 <> 0""")
+def correct_mixed_tools(spark, sf):
+    """One tool's rows are corrected among those of others, of another origin and verified ones; proofs of the eighth are out of date."""
+    stored = daily(spark, sf).select(*_KEYS, *TOKEN_COLUMNS).withColumns({
+        "origin": F.when((F.col("model") == "gpt-5") & (F.day("date") % 6 == 0), "web").otherwise("cli"), "verified": F.day("date") % 7 == 0})
+    one_less = lambda n: stored.withColumn("input_tokens", F.col("input_tokens") + n)
+    prior = one_less(F.when(F.day("date") == 8, 1).otherwise(0))
+    corrected = one_less(F.lit(-1)).filter(F.day("date") % 5 != 0)
+    devices = usage(spark, sf).select("handle").distinct().select(
+        "handle", F.explode(F.when(_account() % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))).alias("device_id"),
+        F.lit(True).alias("confirmed"))
+    return apply_correction(stored, prior, corrected, devices, "click").select(*_KEYS, "input_tokens")
+
+
 @query("restate_days", f"""WITH {DAILY_SQL}, t AS (SELECT handle, date, tool, model, tokens FROM daily WHERE date < DATE '2024-01-28'),
 b AS (SELECT handle, date, tool, model, tokens + CASE WHEN tokens % 2 = 0 THEN -5 ELSE 5 END AS tokens FROM daily WHERE date >= DATE '2024-01-15')
 SELECT handle, date, tool, model, CASE WHEN b.tokens IS NULL OR (t.tokens IS NOT NULL AND CAST(handle AS BIGINT) % 3 <> 0 AND t.tokens > b.tokens) THEN t.tokens ELSE b.tokens END AS tokens

@@ -9,7 +9,7 @@ from ..operators.ordered import time_chunk
 from ..session import shared_path
 from ..streaming.alerts import stream_alerts, stream_forecast, use_rocksdb
 from ..streaming.ingest import changed_only
-from ..streaming.windows import stream_hourly, stream_rate, stream_sessions
+from ..streaming.windows import publish_windows, read_windows, stream_hourly, stream_rate, stream_sessions
 from .adapter import ORACLES, TOTAL_SQL, USAGE_SQL, load, query, usage
 from .limit_queries import SAMPLES_SQL, _PREV, samples
 
@@ -36,29 +36,32 @@ def live_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.floor(F.col("value") * 100) + F.floor(F.col("value") * 10) + k * 101).cast("long").alias("tokens"), k.alias("cost_micro"))
 
 
-_LAST = "(SELECT max(ts) FROM usage)"
+def drain_windows(stream: DataFrame, windows, name: str) -> DataFrame:
+    """Runs a stream's windows over everything there is and adds up what its micro-batches published."""
+    spark, sink = stream.sparkSession, shared_path(stream.sparkSession, name)
+    publish_windows(stream, windows, sink, shared_path(spark, name + "-state")).trigger(availableNow=True).start().awaitTermination()
+    return read_windows(spark, sink, windows(stream).schema)
 
 
-@query("stream_hourly", f"""WITH {USAGE_SQL} SELECT epoch_us(date_trunc('hour', ts)) // 1000 AS start_ms, CAST(sum{TOTAL_SQL} AS BIGINT) AS tokens, CAST(sum(k) AS BIGINT) AS cost_micro FROM usage
-WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_LAST} - INTERVAL 2 HOUR GROUP BY 1""")
+@query("stream_hourly", f"""WITH {USAGE_SQL} SELECT epoch_us(date_trunc('hour', ts)) // 1000 AS start_ms, CAST(sum{TOTAL_SQL} AS BIGINT) AS tokens, CAST(sum(k) AS BIGINT) AS cost_micro FROM usage GROUP BY 1""")
 def stream_hourly_query(spark, sf):
-    out = drain(stream_hourly(live_usage(spark, sf)), "hourly")
+    out = drain_windows(live_usage(spark, sf), lambda rows: stream_hourly(rows, None), "hourly")
     return out.select(F.unix_millis("start_time").alias("start_ms"), "tokens", "cost_micro")
 
 
 @query("stream_rate", f"""WITH {USAGE_SQL}, w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) + to_minutes(5 * CAST(i AS INTEGER)) AS until, * FROM usage, range(1, 13) r(i))
-SELECT epoch_us(until) // 1000 AS until_ms, CAST(sum{TOTAL_SQL} AS BIGINT) AS tokens FROM w WHERE until <= {_LAST} - INTERVAL 10 MINUTE GROUP BY 1""")
+SELECT epoch_us(until) // 1000 AS until_ms, CAST(sum{TOTAL_SQL} AS BIGINT) AS tokens FROM w GROUP BY 1""")
 def stream_rate_query(spark, sf):
-    out = drain(stream_rate(live_usage(spark, sf), keys=()), "rate")
+    out = drain_windows(live_usage(spark, sf), lambda rows: stream_rate(rows, None, ()), "rate")
     return out.select(F.unix_millis("until").alias("until_ms"), "tokens")
 
 
 @query("stream_sessions", f"""WITH {USAGE_SQL}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY handle ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM usage),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY handle ORDER BY ts) AS n FROM g),
 r AS (SELECT handle, min(ts) AS st, max(ts) + INTERVAL 30 MINUTE AS en, CAST(sum{TOTAL_SQL} AS BIGINT) AS tokens FROM s GROUP BY handle, n)
-SELECT handle, epoch_us(st) // 1000 AS start_ms, tokens FROM r WHERE en <= {_LAST} - INTERVAL 1 HOUR""")
+SELECT handle, epoch_us(st) // 1000 AS start_ms, tokens FROM r""")
 def stream_sessions_query(spark, sf):
-    out = drain(stream_sessions(live_usage(spark, sf)), "sessions")
+    out = drain_windows(live_usage(spark, sf), lambda rows: stream_sessions(rows, delay=None), "sessions")
     return out.select("handle", F.unix_millis("started").alias("start_ms"), "tokens")
 
 

@@ -84,7 +84,21 @@ def test_corrections_replace_only_proved_scopes(spark):
 def test_a_scope_over_100_models_gives_no_proof(spark):
     legacy = scope(spark, *[("a", D1, f"m{i}", 1) for i in range(101)], ("a", D2, "m", 1))
     dead = spark.createDataFrame([("a", D1), ("a", D2)], "handle string, date date")
-    assert rows(correction_proof(legacy, dead, dead)[1], F.day("date")) == [(2,)]
+    assert rows(correction_proof(legacy, dead, dead, max_models=100)[1], F.day("date")) == [(2,)]
+    assert rows(correction_proof(legacy, dead, dead)[1], F.day("date")) == [(1,), (2,)]
+
+
+def test_corrections_leave_other_rows_of_the_day(spark):
+    fields = f"handle string, date date, tool string, origin string, verified boolean, model string, {COUNTERS}"
+
+    def day(*data):
+        return spark.createDataFrame([("a", D1, t, o, v, "m", n, 0, 0, 0) for t, o, v, n in data], fields)
+
+    stored = day(("x", "cli", False, 10), ("y", "cli", False, 20), ("x", "web", False, 30), ("x", "cli", True, 40))
+    devices = spark.createDataFrame([("a", "d1", True)], "handle string, device_id string, confirmed boolean")
+    for prior in (stored, stored.filter("tool = 'x'")):
+        after = apply_correction(stored, prior, day(("x", "cli", False, 4)), devices, "x")
+        assert sorted(r.input_tokens for r in after.collect()) == [4, 20, 30, 40]
 
 
 def test_restated_days(spark):

@@ -14,6 +14,7 @@ from meterlake.plans.adapter import price_dim
 from meterlake.sources.transcripts import parse_requests, read_requests
 from meterlake.streaming.alerts import stream_alerts, stream_limits, use_rocksdb
 from meterlake.streaming.ingest import live_daily, live_requests, publish_changes, stream_logs, stream_requests
+from meterlake.streaming.windows import publish_windows, read_windows, stream_hourly, stream_rate, stream_sessions
 from test_sources import message, write
 
 SAMPLE = "key string, at timestamp, id long, percent double, reset_at timestamp"
@@ -102,3 +103,18 @@ def test_only_changed_snapshots_are_published(spark, tmp_path):
     publish(3, a=1, b=2)
     publish(4, a=2)
     assert rows(spark.read.parquet(path + "/log"), "handle", "tokens", F.minute("generated_at")) == [("a", 1, 1), ("a", 2, 4), ("b", 1, 1), ("b", 2, 2)]
+
+
+def test_windows_hold_open_hours_and_late_rows(spark, tmp_path):
+    schema = "handle string, ts timestamp, tokens long, cost_micro long"
+    at = lambda hour, minute: datetime(2026, 6, 1, hour, minute)
+    batches = [[("a", at(9, 0), 1, 1), ("a", at(12, 0), 2, 2)], [("a", at(9, 20), 4, 4), ("a", at(12, 10), 8, 8)]]  # 9:20 comes late
+    for name, windows in (("hours", lambda df: stream_hourly(df, None)), ("rates", lambda df: stream_rate(df, None)), ("sessions", lambda df: stream_sessions(df, delay=None))):
+        source = str(tmp_path / name / "in")
+        whole = spark.createDataFrame(sum(batches, []), schema)
+        for part in batches:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(schema).parquet(source)
+            publish_windows(stream, windows, str(tmp_path / name / "out"), str(tmp_path / name / "state")).trigger(availableNow=True).start().awaitTermination()
+        got = read_windows(spark, str(tmp_path / name / "out"), windows(whole).schema)
+        assert got.columns == windows(whole).columns and rows(got) == rows(windows(whole))
