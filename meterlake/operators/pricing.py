@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType
 
 from ..functions.columns import TOKEN_COLUMNS, micro_cost, share_of
 from ..functions.labels import key_candidates
+from ..session import materialize
 from ..sources.prices import RATES, override_prices
 
+#: Resolved models, of some 100 bytes each, that are sent to every executor at most.
+BROADCAST_MODELS = 50_000
+
 # Family tiers, first match on the raw model wins; rates in USD per 1M tokens
 # (input, output, cache write, cache read).
 FAMILY_TIERS = (
@@ -63,14 +68,28 @@ def resolve_prices(models: DataFrame, price_dim: DataFrame, live: DataFrame | No
     ).select("model", "price_key", "price_via", "p.*")
 
 
-def attach_cost(df: DataFrame, resolved: DataFrame, name: str = "cost_micro") -> DataFrame:
+def with_rates(rows: DataFrame, resolved: DataFrame, most_models: int = BROADCAST_MODELS, salts: int = 64) -> DataFrame:
+    """Adds the rates of each row's model, NULL for an unknown one, without a task for each model.
+
+    The resolved models are written and counted. Up to ``most_models`` are sent to the rows; more meet them by a shuffle
+    in which a hash of the row spreads each model over ``salts`` tasks.
+    """
+    rates = materialize(resolved.select("model", *RATES), "rates")
+    if rates.count() <= most_models:
+        return rows.join(F.broadcast(rates), "model", "left")
+    plain = [f.name for f in rows.schema.fields if not isinstance(f.dataType, MapType)]
+    salted = rows.withColumn("rate_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    spread = rates.withColumn("rate_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, ["model", "rate_salt"], "left").drop("rate_salt")
+
+
+def attach_cost(df: DataFrame, resolved: DataFrame, name: str = "cost_micro", raw: bool = False) -> DataFrame:
     """Adds the estimated cost of each row; unknown models cost 0.
 
-    No broadcast is forced: Spark broadcasts the resolved models when it measures them small and
-    otherwise joins by shuffle with skew splitting.
+    ``raw`` says that the rows are not folded to models yet; those keep their partitions (``with_rates``).
     """
-    priced = df.join(resolved.select("model", *RATES), "model", "left").withColumn(name, micro_cost())
-    return priced.drop(*RATES)
+    priced = with_rates(df, resolved) if raw else df.join(resolved.select("model", *RATES), "model", "left")
+    return priced.withColumn(name, micro_cost()).drop(*RATES)
 
 
 def cache_efficiency(df: DataFrame, resolved: DataFrame, keys: list[str]) -> DataFrame:

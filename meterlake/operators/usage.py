@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import TOKEN_COLUMNS, micro_cost, round_half_up_micro, total_tokens
-from ..sources.prices import RATES
-from .pricing import attach_cost
+from .pricing import attach_cost, with_rates
 
 
 def nonzero_usage(df: DataFrame, with_cost: bool = True) -> DataFrame:
@@ -42,7 +41,7 @@ def priced_per_request(requests: DataFrame, resolved: DataFrame, keys: tuple[str
 
     A ``stored_micro`` column, where present and set, stands in for the estimate.
     """
-    priced = requests.join(resolved.select("model", *RATES), "model", "left")
+    priced = with_rates(requests, resolved)
     estimate = micro_cost()
     cost = F.coalesce(F.col("stored_micro"), estimate) if "stored_micro" in requests.columns else estimate
     buckets = priced.withColumn("cost_micro", cost).groupBy(*keys, "date", "model").agg(

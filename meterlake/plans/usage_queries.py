@@ -98,7 +98,7 @@ priced AS (SELECT u.*, {TOTAL_SQL} AS tokens, {COST_SQL} AS cost_micro FROM usag
 
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = usage(spark, sf_dir)
-    return attach_cost(u, resolve_prices(u, price_dim(spark)))
+    return attach_cost(u, resolve_prices(u, price_dim(spark)), raw=True)
 
 
 @query("cost_estimate", f"WITH {PRICED_SQL} SELECT event_id, model, cost_micro FROM priced")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.reconcile import DAILY_KEY, upsert_daily
 from ..session import materialize
 
 
 def write_days(df: DataFrame, path: str, partition: str = "date") -> None:
-    """Replaces only the day partitions present in ``df``. One shuffle by day keeps files few."""
-    (df.repartition(partition, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite")
+    """Replaces only the day partitions present in ``df``. Rows are gathered by day, and large days split by size."""
+    (df.hint("rebalance", partition).write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
 
 

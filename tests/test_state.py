@@ -9,7 +9,7 @@ from meterlake.functions.columns import cost_usd, epoch_to_ts, iso_to_ts, plausi
 from meterlake.functions.display import compact_tokens, countdown_text, percent_text, severity, usd_text
 from meterlake.functions.labels import key_candidates, machine_label, model_key, screen_registry, session_label, session_name
 from meterlake.operators.integrity import moderation_rollup, request_checks
-from meterlake.operators.pricing import attach_cost, resolve_prices
+from meterlake.operators.pricing import attach_cost, resolve_prices, with_rates
 from meterlake.operators.reconcile import (apply_correction, changed_scopes, correction_proof, merge_rollup, reconcile_agent,
                                            reconcile_requests, restate_days, tombstones)
 from meterlake.operators.sanitize import sanitize_blocks, sanitize_daily, sanitize_sessions
@@ -194,6 +194,8 @@ def test_model_keys_and_prices(spark):
     assert rows(attach_cost(models, resolved), "model", "cost_micro") == [
         ("claude-opus-4-8-high-thinking", 5_500_000), ("claude-opus-99", 5_500_000), ("gpt-5-2025-08-07", 1_375_000), ("o3", 1_375_000), ("qwen", 480_000), ("who", 0), (None, 0)]
     assert dict(rows(resolved.filter("model IS NOT NULL"), "model", "price_via"))["claude-opus-99"] == "family"
+    sent, spread = with_rates(models, resolved), with_rates(models, resolved, most_models=0)
+    assert sent.columns == spread.columns and rows(sent) == rows(spread) and sent.count() == 7
 
 
 def test_display_columns(spark):
