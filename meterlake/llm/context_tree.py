@@ -79,9 +79,9 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
 
 
-def decisions(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each code's last byte the eight nodes (1 and the bits decided so far) and bits."""
-    byte, k = (codes & 255)[:, None], np.arange(8)
+def decision(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each code's last byte the node (1 and the ``k`` bits decided before) and the bit of its decision ``k``."""
+    byte = codes & 255
     return (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
 
 
@@ -107,23 +107,25 @@ class Level:
         return p, total > 0
 
 
-def lower_levels(codes: np.ndarray, counts: np.ndarray, depth: int, top: int = 2) -> tuple[list[tuple[Level, np.ndarray]], np.ndarray]:
-    """Levels from ``depth`` up to ``top`` of the strings of one context of ``top`` bytes, with each decision's node; the bits."""
-    prefix, bit = decisions(codes)
+def lower_levels(codes: np.ndarray, counts: np.ndarray, depth: int, k: int, top: int = 2) -> list[tuple[Level, np.ndarray]]:
+    """Levels from ``depth`` up to ``top`` of decision ``k`` in the strings of one context of ``top`` bytes, with each string's node.
+
+    The nodes of different decisions are never related, so one decision at a time takes an eighth of the memory.
+    """
+    prefix, bit = decision(codes, k)
     levels: list[tuple[Level, np.ndarray]] = []
     for d in range(depth, top - 1, -1):
         context = (codes >> 8) & ((1 << (8 * d)) - 1)
-        nodes, at = np.unique(((context << 8)[:, None] | prefix).ravel(), return_inverse=True)
-        weights = np.repeat(counts, 8).astype(float)
-        ones = np.bincount(at, weights * bit.ravel(), len(nodes))
-        zeros = np.bincount(at, weights * (1 - bit.ravel()), len(nodes))
+        nodes, at = np.unique((context << 8) | prefix, return_inverse=True)
+        ones = np.bincount(at, counts * bit, len(nodes))
+        zeros = np.bincount(at, counts * (1 - bit), len(nodes))
         children = None
         if levels:
             child = levels[-1][0]
             parent = np.searchsorted(nodes, child.nodes & ((1 << (8 * (d + 1))) - 1))
             children = np.bincount(parent, child.log_pw, len(nodes))
-        levels.append((Level(nodes, zeros, ones, children), at.reshape(bit.shape)))
-    return levels, bit
+        levels.append((Level(nodes, zeros, ones, children), at.astype(np.int32)))
+    return levels
 
 
 def upper_levels(nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_pw: np.ndarray) -> tuple[Level, Level]:
@@ -138,14 +140,16 @@ def upper_levels(nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_pw:
 
 def code_lengths(codes: np.ndarray, counts: np.ndarray, depth: int, one: Level, zero: Level) -> np.ndarray:
     """log10 of the mixture's probability of each code's last byte after the bytes before."""
-    levels, bit = lower_levels(codes, counts, depth)
-    p = seen = None
-    for level, at in levels:
-        p, seen = level.predict(at, bit, p, seen)
-    prefix, _ = decisions(codes)
-    p, seen = one.predict(((codes >> 8) & 255)[:, None] << 8 | prefix, bit, p, seen)
-    p, seen = zero.predict(prefix, bit, p, seen)
-    return np.log10(np.where(seen, p, 0.5)).sum(axis=1)
+    total = np.zeros(len(codes))
+    for k in range(8):
+        prefix, bit = decision(codes, k)
+        p = seen = None
+        for level, at in lower_levels(codes, counts, depth, k):
+            p, seen = level.predict(at, bit, p, seen)
+        p, seen = one.predict(((codes >> 8) & 255) << 8 | prefix, bit, p, seen)
+        p, seen = zero.predict(prefix, bit, p, seen)
+        total += np.log10(np.where(seen, p, 0.5))
+    return total
 
 
 def block_strings(table: pa.Table, depth: int) -> pa.Table:
@@ -214,9 +218,10 @@ def string_values(strings: DataFrame, depth: int) -> DataFrame:
     paired = strings.withColumn("pair", F.shiftright("string", 8).bitwiseAND(F.lit(65535)))
 
     def lower(table: pa.Table) -> pa.Table:
-        levels, _ = lower_levels(table.column("string").to_numpy(), table.column("n").to_numpy(), depth)
-        top = levels[-1][0]
-        return pa.table({"node": top.nodes & 65535, "zeros": top.zeros, "ones": top.ones, "log_pw": top.log_pw})
+        codes, counts = table.column("string").to_numpy(), table.column("n").to_numpy()
+        tops = [lower_levels(codes, counts, depth, k)[-1][0] for k in range(8)]
+        fields = {c: np.concatenate([getattr(top, c) for top in tops]) for c in ("nodes", "zeros", "ones", "log_pw")}
+        return pa.table({"node": fields.pop("nodes") & 65535, **fields})
 
     sums = paired.groupBy("pair").applyInArrow(lower, "node long, zeros double, ones double, log_pw double").groupBy("node").agg(
         F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_pw").alias("log_pw")).toPandas()  # 65,536 rows at most

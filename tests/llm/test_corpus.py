@@ -240,9 +240,10 @@ def test_context_tree_sums_to_one():
     parts = {}
     for pair in np.unique((every >> 8) & 65535):
         mine = ((every >> 8) & 65535) == pair
-        top = context_tree.lower_levels(every[mine], n[mine], 3)[0][-1][0]
-        for node, *v in zip(top.nodes & 65535, top.zeros, top.ones, top.log_pw, strict=True):
-            parts[node] = np.add(parts.get(node, np.zeros(3)), v)
+        for k in range(8):
+            top = context_tree.lower_levels(every[mine], n[mine], 3, k)[-1][0]
+            for node, *v in zip(top.nodes & 65535, top.zeros, top.ones, top.log_pw, strict=True):
+                parts[node] = np.add(parts.get(node, np.zeros(3)), v)
     one, zero = context_tree.upper_levels(np.array(list(parts)), *np.array(list(parts.values())).T)
     mine = ((every >> 8) & 65535) == (context >> 8) & 65535
     p = 10 ** context_tree.code_lengths(every[mine], n[mine], 3, one, zero)
