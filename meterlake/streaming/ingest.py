@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from ..operators.dedupe import dedupe_requests
-from ..operators.ordered import previous
+from ..operators.ordered import previous, running_sum
 from ..operators.usage import daily_usage
 from ..session import materialize
+from ..sources.lines import PLACE
 from ..sources.sinks import write_days
 
 
@@ -36,6 +37,20 @@ def number_lines(batch: DataFrame) -> DataFrame:
     return batch.select("file", "chunk", F.monotonically_increasing_id().alias("ord"), "value")
 
 
+def stable_keys(batch: DataFrame) -> DataFrame:
+    """Request records whose keys do not depend on how the files were split into tasks.
+
+    A record without an id is keyed by its file, its content and its number among equal records of the file. The file
+    source hands over whole files, so a repeated micro-batch gives the same keys.
+    """
+    parsed = materialize(batch, "parsed")
+    content = [c for c in parsed.columns if c not in (*PLACE, "key")]
+    nameless = parsed.filter("NOT has_real_id").withColumn("__content", F.sha2(F.to_json(F.struct(*content)), 256))
+    numbered = running_sum(nameless, ["file", "__content"], "chunk", ["ord"], F.lit(1), "__number")
+    key = F.concat_ws("|", F.lit("synthetic"), "file", "__content", F.col("__number").cast("string"))
+    return parsed.filter("has_real_id").unionByName(numbered.withColumn("key", key).select(parsed.columns))
+
+
 def _table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
     try:
         return spark.read.schema(like.schema).parquet(path)
@@ -97,11 +112,12 @@ def stream_requests(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], r
                     span_days: int | None = None) -> DataStreamWriter:
     """A writer that keeps the request table and its daily rows up to date with each micro-batch.
 
-    Merging is idempotent (largest copy wins), so a batch replayed after a failure changes nothing.
+    Merging is idempotent (largest copy wins, keys do not depend on task splits), so a batch replayed after a
+    failure changes nothing.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        days = merge_requests(parse(number_lines(batch)), requests_path, span_days)
+        days = merge_requests(stable_keys(parse(number_lines(batch))), requests_path, span_days)
         restate_daily(batch.sparkSession, requests_path, daily_path, days, resolve, keys)
 
     return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
@@ -119,22 +135,23 @@ def changed_against(df: DataFrame, published: DataFrame | None, keys: Sequence[s
     return hashed.join(published.select(*keys, "content_hash"), [*keys, "content_hash"], "left_anti")
 
 
-def publish_changes(snapshot: DataFrame, path: str, keys: Sequence[str], ignore: Sequence[str] = ("generated_at",)) -> None:
-    """Appends changed snapshots to ``path/log`` and keeps the last hash of each key in ``path/last``."""
-    spark = snapshot.sparkSession
-    changed = materialize(changed_against(snapshot, _last(spark, path, keys, snapshot), keys, ignore), "changed")
-    if changed.isEmpty():
-        return
-    changed.write.mode("append").parquet(f"{path}/log")
-    last = _last(spark, path, keys, snapshot)
-    fresh = changed.select(*keys, "content_hash")
-    if last is not None:
-        fresh = last.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
-    materialize(fresh, "last").write.mode("overwrite").parquet(f"{path}/last")
-
+def publish_changes(snapshot: DataFrame, path: str, keys: Sequence[str], ignore: Sequence[str] = ("generated_at",), batch: int | None = None) -> None:
+    """Writes changed snapshots to ``path/log``, partitioned by batch; without a number, the batch follows the last one.
 
-def _last(spark: SparkSession, path: str, keys: Sequence[str], snapshot: DataFrame) -> DataFrame | None:
-    return _table(spark, f"{path}/last", snapshot.select(*keys, F.lit(0).cast("long").alias("content_hash")))
+    What was last published is read from the log's earlier batches, and a batch replaces its own partition only. So a
+    batch that is repeated after a failure publishes the same rows, once.
+    """
+    spark, log = snapshot.sparkSession, f"{path}/log"
+    hashed = snapshot.withColumn("content_hash", content_hash(snapshot, ignore)).withColumn("batch", F.lit(0).cast("long"))
+    stored = _table(spark, log, hashed)
+    if batch is None:
+        last = stored.agg(F.max("batch")).first()[0] if stored is not None else None
+        batch = 0 if last is None else last + 1
+    published = None
+    if stored is not None:
+        published = stored.filter(F.col("batch") < batch).groupBy(*keys).agg(F.max_by("content_hash", "batch").alias("content_hash"))
+    changed = changed_against(snapshot, published, keys, ignore).withColumn("batch", F.lit(batch).cast("long"))
+    write_days(materialize(changed, "changed"), log, "batch")
 
 
 def changed_only(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str], ignore: Sequence[str] = ("generated_at",)) -> DataFrame:
@@ -148,7 +165,7 @@ def changed_only(df: DataFrame, keys: Sequence[str], chunk: Column, order: Seque
 def write_snapshots(stream: DataFrame, summarise: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: Sequence[str]) -> DataStreamWriter:
     """Publishes the summary of each micro-batch only where it changed."""
 
-    def publish(batch: DataFrame, _: int) -> None:
-        publish_changes(summarise(batch), path, keys)
+    def publish(batch: DataFrame, number: int) -> None:
+        publish_changes(summarise(batch), path, keys, batch=number)
 
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)

@@ -13,7 +13,7 @@ from meterlake.operators.usage import daily_usage
 from meterlake.plans.adapter import price_dim
 from meterlake.sources.transcripts import parse_requests, read_requests
 from meterlake.streaming.alerts import stream_alerts, stream_limits, use_rocksdb
-from meterlake.streaming.ingest import live_daily, live_requests, publish_changes, stream_logs, stream_requests
+from meterlake.streaming.ingest import live_daily, live_requests, number_lines, publish_changes, stable_keys, stream_logs, stream_requests, write_snapshots
 from meterlake.streaming.windows import publish_windows, read_windows, stream_hourly, stream_rate, stream_sessions
 from test_sources import message, write
 
@@ -105,6 +105,40 @@ def test_only_changed_snapshots_are_published(spark, tmp_path):
     assert rows(spark.read.parquet(path + "/log"), "handle", "tokens", F.minute("generated_at")) == [("a", 1, 1), ("a", 2, 4), ("b", 1, 1), ("b", 2, 2)]
 
 
+def test_a_repeated_batch_publishes_once(spark, tmp_path):
+    path = str(tmp_path / "published")
+    frame = lambda **totals: spark.createDataFrame(list(totals.items()), "handle string, tokens long")
+    for number, totals in ((0, {"a": 1, "b": 1}), (1, {"a": 2, "b": 1}), (1, {"a": 2, "b": 1}), (2, {"a": 1}), (2, {"a": 1})):
+        publish_changes(frame(**totals), path, ["handle"], batch=number)
+    assert rows(spark.read.parquet(path + "/log"), "handle", "tokens", "batch") == [("a", 1, 0), ("a", 1, 2), ("a", 2, 1), ("b", 1, 0)]
+
+
+def test_snapshots_of_a_stream(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ([("a", 1), ("b", 5)], [("a", 1), ("b", 6)], [("a", 3)]):
+        spark.createDataFrame(part, "handle string, tokens long").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("handle string, tokens long").parquet(source)
+        summary = lambda batch: batch.groupBy("handle").agg(F.sum("tokens").alias("tokens"))
+        write_snapshots(stream, summary, path, str(tmp_path / "state"), ["handle"]).trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(path + "/log"), "handle", "tokens") == [("a", 1), ("a", 3), ("b", 5), ("b", 6)]
+
+
+def test_keys_of_lines_without_ids_do_not_follow_the_splits(spark, tmp_path):
+    for name in "123":
+        write(tmp_path / f"{name}.jsonl", [message(None, None, output_tokens=i % 2 + 1) for i in range(4)] + [message("m", "r")])
+    found = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("128", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            text = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path))
+            lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("chunk"), "value")
+            found.append(rows(stable_keys(parse_requests(number_lines(lines), NOW)), "key", "output_tokens"))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] and len({k for k, _ in found[0] if k.startswith("synthetic")}) == 12
+
+
 def test_windows_hold_open_hours_and_late_rows(spark, tmp_path):
     schema = "handle string, ts timestamp, tokens long, cost_micro long"
     at = lambda hour, minute: datetime(2026, 6, 1, hour, minute)
