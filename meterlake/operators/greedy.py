@@ -101,110 +101,155 @@ def coalesce_bursts(events: DataFrame, delay_ms: int, keys: Sequence[str] = ("ha
     return parts.groupBy(*keys, "opened_ms").agg(F.sum("events").alias("events"))
 
 
-def throttle_next(t: np.ndarray, first: np.ndarray, other: np.ndarray, start: int, synced: int | None) -> tuple[int, int]:
-    """(place, value) of the first moment from ``start`` whose value is not ``synced``; place ``len(t)`` if none."""
-    place = start
-    while place < len(t):
-        if synced is None or first[place] != synced:
-            return place, int(first[place])
-        if other[place] >= 0:
-            return place, int(other[place])
-        place += 1
-    return place, -1
-
-
-def throttle(observations: DataFrame, interval_ms: int, keys: Sequence[str] = ("handle",)) -> DataFrame:
+def differing(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place (and the end) the first place from there with a positive value, and the first after that with another one."""
+    n = len(v)
+    places = np.flatnonzero(v > 0)
+    starts = np.append(np.flatnonzero(np.append(True, np.diff(v[places]) != 0)), len(places)) if len(places) else np.array([0])
+    run = np.searchsorted(starts, np.arange(len(places)), side="right")
+    other = np.full(n + 1, n)
+    other[places] = np.append(places, n)[starts[run]] if len(places) else places
+    positive = np.append(places, n)[np.searchsorted(places, np.arange(n + 1))]
+    return positive, other
+
+
+def throttle_flights(t: np.ndarray, v: np.ndarray, at: np.ndarray, value: np.ndarray, interval: int, end: int) -> tuple[np.ndarray, ...]:
+    """Follows emissions made at ``at`` of ``value`` while each next one comes exactly one interval later.
+
+    Result: the moment at which the next emission is made instead (-1: none), and the due time and last value when
+    the flight ends. The due time is ``NEVER`` if it passed within the chunk with nothing to send.
+    """
+    positive, other = differing(v)
+    due, value, landed, flying = at + interval, value.copy(), np.full(len(at), -1), np.ones(len(at), bool)
+    while True:
+        i = np.flatnonzero(flying & (due < end))
+        if not len(i):
+            return landed, due, value
+        after = np.searchsorted(t, due[i], side="right")
+        pending = v[after - 1]
+        sends = (pending > 0) & (pending != value[i])
+        on, off, after = i[sends], i[~sends], after[~sends]
+        value[on], due[on] = pending[sends], due[on] + interval
+        j = positive[after]
+        j = np.where((j < len(t)) & (np.append(v, 0)[j] == value[off]), other[j], j)
+        landed[off], due[off], flying[off] = np.where(j < len(t), j, -1), NEVER, False
+
+
+def throttle_run(t: np.ndarray, v: np.ndarray, due: int, synced: int, carry: int, interval: int, end: float) -> tuple[list[int], list[int]]:
+    """Emissions before ``end``, one after the other, of a chunk that is entered with these values."""
+    at, out = [], []
+    while due < end:
+        place = int(np.searchsorted(t, due, side="right"))
+        value, moment = int(v[place - 1]) if place else carry, due
+        if value <= 0 or value == synced:
+            while place < len(t) and (v[place] <= 0 or v[place] == synced):
+                place += 1
+            if place == len(t):
+                break
+            moment, value = int(t[place]), int(v[place])
+        at.append(moment)
+        out.append(value)
+        synced, due = value, moment + interval
+    return at, out
+
+
+def throttle_summary(t: np.ndarray, v: np.ndarray, interval: int, end: int) -> dict[str, list]:
+    """How a chunk is left, for each way to enter it.
+
+    ``at, value, due, synced``: moments at which the first emission may be made, and the exit then. ``since, leap, to``: the
+    first emission may also fall due between moments; from ``since`` on it leaves the chunk ``leap`` intervals later or, where
+    ``leap`` is 0, as ``due, synced`` number ``to``. ``late_at, late``: the values of the chunk's last interval.
+    """
+    landed, due, synced = throttle_flights(t, v, t, v, interval, end)
+    for i in range(len(t) - 1, -1, -1):
+        if landed[i] >= 0:
+            due[i], synced[i] = due[landed[i]], synced[landed[i]]
+    # first emissions at any instant of the first interval: outcomes change only where a later value does, or at the end
+    since = np.unique(t[0] + (np.append(t, end) - t[0]) % interval)
+    where, out_due, out_synced = throttle_flights(t, v, since, v[np.searchsorted(t, since, side="right") - 1], interval, end)
+    leap = np.where(out_due == NEVER, 0, (out_due - since) // interval)
+    fixed = leap == 0
+    out_due, out_synced = (np.where(where >= 0, x[where], y) for x, y in ((due, out_due), (synced, out_synced)))
+    exits, to = np.unique(np.stack([out_due[fixed], out_synced[fixed]]), axis=1, return_inverse=True)
+    number = np.zeros(len(since), np.int64)
+    number[fixed] = to.ravel()
+    keep = np.append(True, (leap[1:] != leap[:-1]) | (number[1:] != number[:-1]))
+    # moments of the first interval, and of those beyond the first positive one and the next with another value
+    early = int(np.searchsorted(t, t[0] + interval, side="right"))
+    positive, other = differing(v)
+    beyond = [int(j) for j in (positive[early], other[positive[early]]) if j < len(t)]
+    entry = [*range(early), *beyond]
+    late = max(int(np.searchsorted(t, end - interval, side="right")) - 1, 0)
+    return {"at": t[entry].tolist(), "value": v[entry].tolist(), "due": due[entry].tolist() + exits[0].tolist(), "synced": synced[entry].tolist() + exits[1].tolist(),
+            "since": since[keep].tolist(), "leap": leap[keep].tolist(), "to": (number[keep] + len(entry)).tolist(),
+            "late_at": t[late:].tolist(), "late": v[late:].tolist()}
+
+
+def throttle_exit(chunk: dict[str, np.ndarray], due: int, synced: int, carry: int, interval: int, end: int) -> tuple[int, int]:
+    """The due time and last value with which a chunk is left, from those with which it is entered."""
+    at, value = chunk["at"], chunk["value"]
+    if due < at[0] and carry > 0 and carry != synced:
+        due, synced = due + interval, carry
+    if due >= end:
+        return due, synced
+    place = int(np.searchsorted(at, due, side="right"))
+    if place and value[place - 1] > 0 and value[place - 1] != synced:
+        piece = int(np.searchsorted(chunk["since"], due, side="right")) - 1
+        if chunk["leap"][piece]:
+            due += int(chunk["leap"][piece]) * interval
+            return due, int(chunk["late"][np.searchsorted(chunk["late_at"], due - interval, side="right") - 1])
+        place = int(chunk["to"][piece])
+    else:
+        while place < len(at) and (value[place] <= 0 or value[place] == synced):
+            place += 1
+        if place == len(at):
+            return due, synced
+    return int(chunk["due"][place]), int(chunk["synced"][place])
+
+
+def throttle(observations: DataFrame, interval_ms: int, keys: Sequence[str] = ("handle",), until_ms: int | None = None) -> DataFrame:
     """At most one emission per interval, of the newest value, never the value emitted before.
 
-    ``observations(keys, at_ms, id, tokens)``; values of zero or less are never emitted. Result:
-    (keys, at_ms, tokens).
+    ``observations(keys, at_ms, id, tokens)``; of one instant the largest id is the newest. The first value goes out at
+    once. What comes within an interval waits for its end, when the newest value goes out, also after the last
+    observation (up to ``until_ms``). A value of zero or less empties the wait; NULL is no observation.
+    Result: (keys, at_ms, tokens).
     """
     keys = list(keys)
     width = interval_ms * CHUNK_WINDOWS
-    values = observations.filter("tokens > 0").groupBy(*keys, F.col("at_ms").alias("t"), F.col("tokens").alias("v")).agg(F.min("id").alias("id"))
-    lead = values.groupBy(*keys, "t").agg(F.min(F.struct("id", "v")).alias("lead"))
-    # per moment: its first value, and the first one that differs from it
-    moments = (
-        values.join(lead, [*keys, "t"]).groupBy(*keys, "t").agg(
-            F.min("lead.v").alias("first"), F.coalesce(F.min_by("v", F.when(F.col("v") != F.col("lead.v"), F.col("id"))), F.lit(-1)).alias("other"))
-        .withColumn("other", F.when(F.col("other") == F.col("first"), -1).otherwise(F.col("other")).cast("long"))
-        .withColumn("chunk", F.floor(F.col("t") / width).cast("long"))
-    )
-
-    def run(pdf: pd.DataFrame, last: int, synced: int | None) -> tuple[list[int], list[int]]:
-        t, first, other = (pdf[c].to_numpy() for c in ("t", "first", "other"))
-        at, out = [], []
-        place = int(np.searchsorted(t, last + interval_ms, side="left")) if last != NEVER else 0
-        while place < len(t):
-            place, value = throttle_next(t, first, other, place, synced)
-            if place == len(t):
-                break
-            at.append(int(t[place]))
-            out.append(value)
-            synced = value
-            place = int(np.searchsorted(t, t[place] + interval_ms, side="left"))
-        return at, out
+    moments = observations.filter("tokens IS NOT NULL").groupBy(*keys, F.col("at_ms").alias("t")).agg(
+        F.greatest(F.max_by("tokens", "id"), F.lit(0)).cast("long").alias("v")).withColumn("chunk", F.floor(F.col("t") / width).cast("long"))
+    parts = ("at", "value", "due", "synced", "since", "leap", "to", "late_at", "late")
 
     def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-        """How the chunk is left when its first emission is a given moment and value, for each that can be first."""
-        pdf = pdf.sort_values("t").reset_index(drop=True)
-        t, first, other = (pdf[c].to_numpy() for c in ("t", "first", "other"))
+        pdf = pdf.sort_values("t")
         chunk = int(pdf["chunk"].iat[0])
-        last = min(int(np.searchsorted(t, chunk * width + interval_ms, side="right")) + 1, len(t))
-        memo: dict[tuple[int, int], tuple[int, int]] = {}
-
-        def end_of(place: int, value: int) -> tuple[int, int]:
-            path = []
-            while (place, value) not in memo:
-                path.append((place, value))
-                following, v = throttle_next(t, first, other, int(np.searchsorted(t, t[place] + interval_ms, side="left")), value)
-                if following == len(t):
-                    memo[(place, value)] = (int(t[place]), value)
-                    break
-                place, value = following, v
-            result = memo[(place, value)]
-            for step in path:
-                memo[step] = result
-            return result
-
-        rows = []
-        for place in range(last):
-            for value in (int(first[place]), int(other[place])):
-                if value >= 0:
-                    rows.append((int(t[place]), value, *end_of(place, value)))
-        # a chunk whose early moments all hold the entry's value is entered later: the next differing moment
-        place, value = throttle_next(t, first, other, last, int(first[last - 1]))
-        if place < len(t):
-            rows.append((int(t[place]), value, *end_of(place, value)))
-        at, val, end_at, end_val = (list(c) for c in zip(*rows))
-        row = _repeat(pdf, keys, 1)
-        return pd.DataFrame({**row, "chunk": [chunk], "at": [at], "value": [val], "end_at": [end_at], "end_value": [end_val]})
+        made = throttle_summary(pdf["t"].to_numpy(), pdf["v"].to_numpy(), interval_ms, (chunk + 1) * width)
+        return pd.DataFrame({**_repeat(pdf, keys, 1), "chunk": [chunk], "carry": [int(pdf["v"].iat[-1])], **{c: [made[c]] for c in parts}})
 
     borders = moments.groupBy(*keys, "chunk").applyInPandas(
-        leave, _schema(moments, keys, "chunk long, at array<long>, value array<long>, end_at array<long>, end_value array<long>"))
+        leave, _schema(moments, keys, "chunk long, carry long, " + ", ".join(f"{c} array<long>" for c in parts)))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        last, synced, entries, values_ = NEVER, None, [], []
-        for at, value, end_at, end_value in zip(pdf["at"], pdf["value"], pdf["end_at"], pdf["end_value"]):
-            entries.append(last)
-            values_.append(-1 if synced is None else synced)
-            start = int(np.searchsorted(np.asarray(at), last + interval_ms, side="left")) if last != NEVER else 0
-            for i in range(start, len(at)):
-                if value[i] != synced:
-                    last, synced = int(end_at[i]), int(end_value[i])
-                    break
-        return pd.DataFrame({**_repeat(pdf, keys), "chunk": pdf["chunk"].tolist(), "last": entries, "synced": values_})
-
-    entered = borders.groupBy(*keys).applyInPandas(walk, _schema(moments, keys, "chunk long, last long, synced long"))
+        state, entries = (NEVER, 0, 0), []
+        for row in pdf[["chunk", "carry", *parts]].to_dict("records"):
+            entries.append(state)
+            state = (*throttle_exit(row, *state, interval_ms, (row["chunk"] + 1) * width), row["carry"])
+        due, synced, carry = zip(*entries)
+        final = [False] * (len(entries) - 1) + [True]
+        return pd.DataFrame({**_repeat(pdf, keys), "chunk": pdf["chunk"].tolist(), "due": due, "synced": synced, "carry": carry, "final": final})
+
+    entered = borders.groupBy(*keys).applyInPandas(walk, _schema(moments, keys, "chunk long, due long, synced long, carry long, final boolean"))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        synced = int(pdf["synced"].iat[0])
-        at, out = run(pdf, int(pdf["last"].iat[0]), None if synced < 0 else synced)
+        end = float("inf") if pdf["final"].iat[0] else (int(pdf["chunk"].iat[0]) + 1) * width
+        at, out = throttle_run(pdf["t"].to_numpy(), pdf["v"].to_numpy(), *(int(pdf[c].iat[0]) for c in ("due", "synced", "carry")), interval_ms, end)
         if not at:
             return pd.DataFrame()
         return pd.DataFrame({**_repeat(pdf, keys, len(at)), "at_ms": at, "tokens": out})
 
     placed = moments.join(entered, [*keys, "chunk"])
-    return placed.groupBy(*keys, "chunk").applyInPandas(settle, _schema(moments, keys, "at_ms long, tokens long"))
+    sent = placed.groupBy(*keys, "chunk").applyInPandas(settle, _schema(moments, keys, "at_ms long, tokens long"))
+    return sent if until_ms is None else sent.filter(F.col("at_ms") <= until_ms)

@@ -140,11 +140,13 @@ def burst_windows(spark, sf):
     return coalesce_bursts(s, 14_400_000)
 
 
-@query("throttled_sync", f"""WITH RECURSIVE {SAMPLES_SQL}, e AS (SELECT handle, ms, id, CAST(floor(value / 5) AS BIGINT) AS v FROM s WHERE floor(value / 5) > 0),
-w(handle, ms, v) AS (SELECT handle, arg_min(ms, ms), arg_min(v, (ms, id)) FROM e GROUP BY handle UNION ALL
-  SELECT w.handle, n.r.ms, n.r.v FROM w, LATERAL (SELECT min({{'ms': e.ms, 'id': e.id, 'v': e.v}}) AS r FROM e WHERE e.handle = w.handle AND e.ms >= w.ms + 3600000 AND e.v <> w.v) n WHERE w.ms IS NOT NULL AND n.r IS NOT NULL)
-SELECT handle, ms AS at_ms, v AS tokens FROM w WHERE ms IS NOT NULL""")
+@query("throttled_sync", f"""WITH RECURSIVE {SAMPLES_SQL}, m AS (SELECT handle, ms, arg_max(CAST(floor(value / 5) AS BIGINT), id) AS v FROM s GROUP BY ALL),
+e AS (SELECT handle, ms, v, coalesce(lead(ms) OVER (PARTITION BY handle ORDER BY ms), 9000000000000000) AS until FROM m),
+w(handle, ms, v) AS (SELECT handle, min(ms), arg_min(v, ms) FROM e WHERE v > 0 GROUP BY handle UNION ALL
+  SELECT w.handle, n.r.ms, n.r.v FROM w, LATERAL (SELECT min({{'ms': greatest(e.ms, w.ms + 3600000), 'v': e.v}}) AS r FROM e
+    WHERE e.handle = w.handle AND e.until > w.ms + 3600000 AND e.v > 0 AND e.v <> w.v) n WHERE n.r IS NOT NULL)
+SELECT handle, ms AS at_ms, v AS tokens FROM w""")
 def throttled_sync(spark, sf):
-    """At most one upload an hour, of the newest value, skipping the value uploaded before."""
+    """At most one upload an hour, of the newest value, skipping the value uploaded before; what waits goes out when the hour ends."""
     s = samples(spark, sf).select("handle", F.unix_millis("at").alias("at_ms"), "id", F.floor(F.col("value") / 5).cast("long").alias("tokens"))
     return throttle(s, 3_600_000)

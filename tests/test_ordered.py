@@ -3,12 +3,13 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window as W, functions as F
 
 from conftest import rows
 from meterlake.operators.dedupe import dedupe_requests, dedupe_sessions, merge_blocks, merge_daily
-from meterlake.operators.greedy import coalesce_bursts, throttle
+from meterlake.operators.greedy import NEVER, coalesce_bursts, throttle, throttle_exit, throttle_run, throttle_summary
 from meterlake.operators.ordered import Scan, _band, earliest_within, rank_desc, scan
 from meterlake.operators.reports import top_per_group
 
@@ -70,26 +71,68 @@ def test_bursts_equal_a_sequential_walk(spark, times, delay):
 
 
 def throttled(data, interval):
-    out, last, synced = [], None, None
-    for t, _, v in sorted(data):
-        if v > 0 and v != synced and (last is None or t - last >= interval):
-            out.append(("a", t, v))
-            last, synced = t, v
+    """The throttle, asked each millisecond."""
+    out, last, synced, pending, seen = [], None, None, 0, sorted(data)
+    for now in range(seen[0][0], seen[-1][0] + interval + 1) if seen else ():
+        while seen and seen[0][0] == now:
+            pending = max(seen.pop(0)[2], 0)
+        if pending > 0 and pending != synced and (last is None or now - last >= interval):
+            out.append(("a", now, pending))
+            last, synced = now, pending
     return out
 
 
+def throttle_of(spark, data, interval, **options):
+    df = spark.createDataFrame([("a", *r) for r in data], "handle string, at_ms long, id long, tokens long")
+    return rows(throttle(df, interval, **options))
+
+
+def as_rows(found):
+    return sorted(found, key=lambda r: tuple((False, str(x)) for x in r))
+
+
 @quick
-@given(st.lists(st.tuples(st.integers(0, 2000), st.integers(0, 5)), max_size=60), st.integers(1, 40))
+@given(st.lists(st.tuples(st.integers(0, 2000), st.integers(-1, 5)), max_size=60), st.integers(1, 40))
 def test_throttle_equals_a_sequential_walk(spark, data, interval):
     numbered = [(t, i, v) for i, (t, v) in enumerate(data)]
-    df = spark.createDataFrame([("a", *r) for r in numbered], "handle string, at_ms long, id long, tokens long")
-    assert rows(throttle(df, interval)) == sorted(throttled(numbered, interval), key=lambda r: tuple((False, str(x)) for x in r))
+    assert throttle_of(spark, numbered, interval) == as_rows(throttled(numbered, interval))
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 400), st.integers(-1, 4)), min_size=1, max_size=60), st.integers(1, 40), st.sampled_from([1, 2, 5, 32]))
+def test_throttle_chunks_chain(data, interval, windows):
+    numbered = [(t, i, v) for i, (t, v) in enumerate(data)]
+    moments = {t: max(v, 0) for t, _, v in sorted(numbered)}
+    width, state, out = interval * windows, (NEVER, 0, 0), []
+    chunks = sorted({t // width for t in moments})
+    for chunk in chunks:
+        t = np.array(sorted(m for m in moments if m // width == chunk))
+        v, end = np.array([moments[m] for m in t]), (chunk + 1) * width
+        out += zip(*throttle_run(t, v, *state, interval, float("inf") if chunk == chunks[-1] else end))
+        summary = {k: np.array(x) for k, x in throttle_summary(t, v, interval, end).items()}
+        state = (*throttle_exit(summary, *state, interval, end), int(v[-1]))
+    assert [("a", *r) for r in out] == throttled(numbered, interval)
+
+
+def test_throttle_sends_the_newest_value_when_the_interval_ends(spark):
+    assert throttle_of(spark, [(0, 1, 100), (5, 2, 200), (29, 3, 300), (60, 4, 400)], 30) == [("a", 0, 100), ("a", 30, 300), ("a", 60, 400)]
+    assert throttle_of(spark, [(0, 1, 100), (10, 2, 200), (20, 3, 300)], 1000) == [("a", 0, 100), ("a", 1000, 300)]
+    assert throttle_of(spark, [(0, 1, 100), (10, 2, 200)], 1000, until_ms=999) == [("a", 0, 100)]
+    assert throttle_of(spark, [(0, 1, 0), (0, 3, 50), (0, 2, 40), (9, 4, 50), (70, 5, 50), (71, 6, None)], 30) == [("a", 0, 50)]
+
+
+def test_throttle_of_many_keys(spark):
+    pick = random.Random(5)
+    data = {f"k{k}": [(pick.randint(0, 2000), i, pick.choice([-1, 0, 1, 2, 3, 5])) for i in range(pick.randint(1, 60))] for k in range(60)}
+    data["silent"] = [(1, 1, 0), (900, 2, -4)]
+    df = spark.createDataFrame([(k, *r) for k, d in data.items() for r in d], "handle string, at_ms long, id long, tokens long")
+    assert sorted(map(tuple, throttle(df, 7).collect())) == sorted((k, t, v) for k, d in data.items() for _, t, v in throttled(d, 7))
+    assert throttle(df.filter("handle = 'silent'"), 7).count() == 0
 
 
 def test_throttle_skips_long_runs_of_the_synced_value(spark):
     data = [(t, t, 7) for t in range(0, 5000, 3)] + [(5000, 5000, 8), (5001, 5001, 7), (9999, 9999, 8)]
-    df = spark.createDataFrame([("a", *r) for r in data], "handle string, at_ms long, id long, tokens long")
-    assert rows(throttle(df, 10)) == sorted(throttled(data, 10), key=lambda r: tuple((False, str(x)) for x in r))
+    assert throttle_of(spark, data, 10) == as_rows(throttled(data, 10))
 
 
 TOKENS = "input_tokens long, output_tokens long, cache_creation_tokens long, cache_read_tokens long"
