@@ -1,7 +1,8 @@
 """Log readers on small files."""
 
 import json
-from datetime import datetime
+import os
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from meterlake.operators.usage import daily_usage, generation_daily, hour_blocks
 from meterlake.plans.adapter import price_dim
 from meterlake.sources.devdata import read_generations
 from meterlake.sources.limit_samples import parse_usage_limits
+from meterlake.sources.lines import read_lines
 from meterlake.sources.manifest import changed_files, deleted_files, list_files, next_manifest
 from meterlake.sources.paged import complete_batches, open_pages, parse_plan_usage, read_page_events, read_pages
 from meterlake.sources.prices import active_price_dim, build_price_dim
@@ -344,3 +346,13 @@ def test_incremental_scan(spark, tmp_path):
     assert names(deleted_files(listing, manifest)) == ["c.jsonl"]
     assert names(changed_files(listing, manifest, 4)) == ["a.jsonl", "b.jsonl"]
     assert names(changed_files(listing, manifest, 4, max_bytes=3)) == ["a.jsonl"]
+
+
+def test_older_files_stay_unopened(spark, tmp_path):
+    for name, second in (("old", 0), ("edge", 3600), ("new", 7200)):
+        write(tmp_path / f"{name}.jsonl", [name])
+        os.utime(tmp_path / f"{name}.jsonl", (1_780_000_000 + second,) * 2)
+    since = datetime.fromtimestamp(1_780_000_000 + 3000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
+    found = read_lines(spark, str(tmp_path), modified_after=since)
+    assert sorted(r.value for r in found.collect()) == ["edge", "new"]
+    assert read_lines(spark, str(tmp_path)).count() == 3
