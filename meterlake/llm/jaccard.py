@@ -5,8 +5,8 @@ all documents. A set lies in the regions of its first shingles only: linked sets
 that they have in common stands early in both, and in the smaller one earlier still, so passages that many documents
 have make hardly any regions. Every region is then cut around one of its sets: those within the threshold of the pivot
 are linked to it; the rest form the next region, and of the linked ones only those stay beside them whose distance to
-the pivot is by the triangle inequality near enough to some of the rest. Regions whose sets are all linked are done;
-small ones are compared in full.
+the pivot is by the triangle inequality near enough to a set that is not linked to the same pivot. Regions whose sets are
+all of one component are done; small ones are compared in full.
 """
 
 from __future__ import annotations
@@ -179,31 +179,33 @@ def region_links(regions: DataFrame, compare: Comparison, percent: int) -> DataF
     """Links (a, b) between nodes of the same region, up to those that follow from others."""
     threshold = 1 - percent / 100
     found: DataFrame | None = None
-    active = regions.withColumn("rest", F.lit(True))
+    active = regions.withColumn("owner", F.lit(-1))  # the turn whose pivot the set is linked to, -1 for the rest
     for turn in range(ROUNDS):
         sizes = active.groupBy("region").agg(
-            F.count("*").alias("members"), F.min(F.when(F.col("rest"), F.struct("place", "node"))).getField("node").alias("pivot"),
-            F.bit_xor(F.xxhash64("node", "rest", "early")).alias("x"), F.bit_xor(F.xxhash64("early", "rest", "node")).alias("y"),
+            F.count("*").alias("members"), F.min(F.struct(F.col("owner") >= 0, "place", "node")).getField("node").alias("pivot"),
+            F.bit_xor(F.xxhash64("node", "owner", "early")).alias("x"), F.bit_xor(F.xxhash64("early", "owner", "node")).alias("y"),
             F.bool_or("early").alias("any")).where("members > 1 AND any")
         # regions of the same sets ask the same question once
         sizes = sizes.groupBy("members", "pivot", "x", "y").agg(F.min("region").alias("region")).select("region", "members", "pivot")
         active = materialize(active.join(sizes, "region").where("node <> pivot").select(
-            "region", "members", "node", "n", "place", "early", "rest", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "regions")
+            "region", "members", "node", "n", "place", "early", "owner", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "regions")
         far = compare.distances(active.select("a", "b").distinct())
         fresh = far.where("linked").select("a", "b")
         found = fresh if found is None else materialize(found.unionByName(fresh), "found")
         placed = materialize(active.join(far, ["a", "b"]).select(
-            "region", "members", "node", "n", "place", "early", "distance", (~F.col("linked") & F.col("rest")).alias("rest")), "placed")
-        nearest = placed.where("rest").groupBy("region").agg(F.min("distance").alias("nearest"))
-        ring = placed.join(nearest, "region").where(F.col("rest") | (F.col("distance") <= 2 * threshold + 1e-9) & (
-            F.col("distance") + threshold + 1e-9 >= F.col("nearest")))
+            "region", "members", "node", "n", "place", "early", "distance",
+            F.when(F.col("linked") & (F.col("owner") < 0), turn).otherwise(F.col("owner")).alias("owner")), "placed")
+        others = placed.groupBy(F.col("region").alias("of"), F.col("owner").alias("other")).agg(F.min("distance").alias("nearest"))
+        near = (F.col("region") == F.col("of")) & (F.col("owner") != F.col("other")) & (F.col("distance") <= 2 * threshold + 1e-9) & (
+            F.col("distance") + threshold + 1e-9 >= F.col("nearest"))
+        ring = placed.where("owner < 0").unionByName(placed.where("owner >= 0").join(others, near, "left_semi"))
         known = ring.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
         undecided = known.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
         known = materialize(known.join(undecided, "region"), "open")
         small = known if turn == ROUNDS - 1 else known.where(F.col("members") <= REGION)
         fresh = compare.distances(all_pairs(small, percent)).where("linked").select("a", "b")
         found = materialize(found.unionByName(fresh), "found")
-        active = known.where(F.col("members") > REGION).select("region", "node", "n", "place", "early", "rest")
+        active = known.where(F.col("members") > REGION).select("region", "node", "n", "place", "early", "owner")
         if turn == ROUNDS - 1 or active.isEmpty():
             break
     return found

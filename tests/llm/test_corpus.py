@@ -85,6 +85,62 @@ def test_jaccard_against_all_pairs(docs):
     assert len({c for _, c in got.values()}) < len(got)
 
 
+def components_by_brute_force(sets, percent):
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def check_sets(spark, sets, percent=90):
+    """Sets of words, as texts with shingles of one word."""
+    rows = [(i, " ".join(sorted(s))) for i, s in enumerate(sets)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1, percent=percent).collect()
+    assert {r.key: r.component for r in got} == components_by_brute_force(dict(enumerate(sets)), percent)
+
+
+def by_hash(stem, n):
+    return sorted((f"{stem}{i}" for i in range(n)), key=lambda w: int(jaccard.shingle_hashes(w, 1)[0]))
+
+
+def test_jaccard_chain_between_two_pivots(spark):
+    """The one link between two large groups joins a set near the first pivot with one near the second."""
+    core = by_hash("c", 200)
+    a, b = {f"a{i}" for i in range(10)}, {f"b{i}" for i in range(10)}
+    p0, p1 = {*core} - {*core[-10:]} | a, {*core} - {*core[-20:-10]} | b
+    x1, x2 = {*core, "x1"} | a, {*core, "x2"} | b
+    groups = [p - {core[100 + i]} for p in (p0, p1) for i in range(13)]
+    sets = [p0, p1, x1, x2, *groups]
+    assert set(components_by_brute_force(dict(enumerate(sets)), 90).values()) == {0}
+    check_sets(spark, sets)
+
+
+def test_jaccard_versions(spark):
+    """Random walks of versions round several bases, in regions of well over 16 sets."""
+    rng = random.Random(7)
+    sets = []
+    for family in range(2):
+        base = [f"f{family}w{i}" for i in range(110)]
+        heads = [{*base}]
+        for step in range(45):
+            at = {*rng.choice(heads)}
+            for w in rng.sample(sorted(at & {*base}), min(rng.randint(1, 6), len(at & {*base}))):
+                at.remove(w)
+            at |= {w for w in rng.sample(base, rng.randint(0, 5))} | ({f"n{family}{step}"} if step % 3 == 0 else set())
+            heads.append(at)
+        sets += heads
+    check_sets(spark, sets, 80)
+
+
 def test_one_of_each_keeps_columns(docs):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() < docs.count()
