@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +138,7 @@ class Comparison:
         self.built = made if self.built is None else self.built.unionByName(made)
 
     def distances(self, pairs: DataFrame) -> DataFrame:
-        """a, b, linked, distance; a pair that the pools rule out gets the least distance that they allow."""
+        """a, b, linked, lo, hi: equal bounds of the distance, or for a pair that the pools rule out the least that they allow and 1."""
         far = lambda inter: 1 - inter / (F.col("n_a") + F.col("n_b") - inter)
         may = lambda inter: linked(inter, F.col("n_a"), F.col("n_b"), self.percent)
         bounds = sides(pairs, self.sets, "n", "pool", "last").select("a", "b", "n_a", "n_b", most_shared().alias("most"))
@@ -145,17 +147,26 @@ class Comparison:
         self.build(asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).distinct())
         inter = F.size(F.array_intersect("full_a", "full_b"))
         exact = sides(asked, self.built, "n", "full").select("a", "b", "n_a", "n_b", inter.alias("inter"))
-        exact = exact.select("a", "b", may(F.col("inter")).alias("linked"), far(F.col("inter")).alias("distance")).distinct()
-        ruled = bounds.where("NOT open").select("a", "b", F.lit(False).alias("linked"), far(F.col("most")).alias("distance"))
+        exact = exact.select("a", "b", may(F.col("inter")).alias("linked"), far(F.col("inter")).alias("lo"), far(F.col("inter")).alias("hi")).distinct()
+        ruled = bounds.where("NOT open").select("a", "b", F.lit(False).alias("linked"), far(F.col("most")).alias("lo"), F.lit(1.0).alias("hi"))
         return materialize(exact.unionByName(ruled), "distances")
 
 
-def all_pairs(regions: DataFrame, percent: int) -> DataFrame:
-    """a < b of each region that are not known to be linked, whose sizes allow a link and of which the smaller is early."""
-    left = regions.where("early").select("region", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    right = regions.select("region", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+def meets(turns: int, percent: int, x: str, y: str) -> Column:
+    """Whether the bounds of two sets' distances to the pivots of all turns allow a link by the triangle inequality.
+
+    Only an exact distance has an upper bound below 1, so a lower bound alone rules nothing out from above.
+    """
+    reach = 1 - percent / 100 + 1e-9
+    return reduce(and_, (F.get(f"lo{a}", F.lit(k)) <= F.get(f"hi{b}", F.lit(k)) + reach for k in range(turns) for a, b in ((x, y), (y, x))))
+
+
+def all_pairs(regions: DataFrame, turns: int, percent: int) -> DataFrame:
+    """a < b of each region that may be linked by their distances and sizes, are not known to be, and of which the smaller is early."""
+    left = regions.where("early").select("region", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"))
+    right = regions.select("region", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"))
     larger = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
-    fits = larger & (F.col("rx") != F.col("ry")) & (100 * F.col("nx") >= percent * F.col("ny"))
+    fits = larger & (F.col("rx") != F.col("ry")) & (100 * F.col("nx") >= percent * F.col("ny")) & meets(turns, percent, "_x", "_y")
     return left.join(right, "region").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -177,9 +188,10 @@ def rare_regions(sets: DataFrame) -> DataFrame:
 
 def region_links(regions: DataFrame, compare: Comparison, percent: int) -> DataFrame:
     """Links (a, b) between nodes of the same region, up to those that follow from others."""
-    threshold = 1 - percent / 100
     found: DataFrame | None = None
-    active = regions.withColumn("owner", F.lit(-1))  # the turn whose pivot the set is linked to, -1 for the rest
+    none = F.array().cast("array<double>")
+    # owner: the turn whose pivot the set is linked to, -1 for the rest; lo and hi: bounds of its distance to each turn's pivot
+    active = regions.withColumns({"owner": F.lit(-1), "lo": none, "hi": none})
     for turn in range(ROUNDS):
         sizes = active.groupBy("region").agg(
             F.count("*").alias("members"), F.min(F.struct(F.col("owner") >= 0, "place", "node")).getField("node").alias("pivot"),
@@ -188,24 +200,25 @@ def region_links(regions: DataFrame, compare: Comparison, percent: int) -> DataF
         # regions of the same sets ask the same question once
         sizes = sizes.groupBy("members", "pivot", "x", "y").agg(F.min("region").alias("region")).select("region", "members", "pivot")
         active = materialize(active.join(sizes, "region").where("node <> pivot").select(
-            "region", "members", "node", "n", "place", "early", "owner", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "regions")
+            "region", "members", "node", "n", "place", "early", "owner", F.col("lo").alias("lo_past"), F.col("hi").alias("hi_past"), F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "regions")
         far = compare.distances(active.select("a", "b").distinct())
         fresh = far.where("linked").select("a", "b")
         found = fresh if found is None else materialize(found.unionByName(fresh), "found")
         placed = materialize(active.join(far, ["a", "b"]).select(
-            "region", "members", "node", "n", "place", "early", "distance",
-            F.when(F.col("linked") & (F.col("owner") < 0), turn).otherwise(F.col("owner")).alias("owner")), "placed")
-        others = placed.groupBy(F.col("region").alias("of"), F.col("owner").alias("other")).agg(F.min("distance").alias("nearest"))
-        near = (F.col("region") == F.col("of")) & (F.col("owner") != F.col("other")) & (F.col("distance") <= 2 * threshold + 1e-9) & (
-            F.col("distance") + threshold + 1e-9 >= F.col("nearest"))
+            "region", "members", "node", "n", "place", "early", F.array_append("lo_past", F.col("lo")).alias("lo"),
+            F.array_append("hi_past", F.col("hi")).alias("hi"), F.when(F.col("linked") & (F.col("owner") < 0), turn).otherwise(F.col("owner")).alias("owner")), "placed")
+        others = placed.groupBy(F.col("region").alias("of"), F.col("owner").alias("other")).agg(
+            F.array(*(F.min(F.get("lo", F.lit(k))) for k in range(turn + 1))).alias("lo_other"),
+            F.array(*(F.max(F.get("hi", F.lit(k))) for k in range(turn + 1))).alias("hi_other"))
+        near = (F.col("region") == F.col("of")) & (F.col("owner") != F.col("other")) & meets(turn + 1, percent, "", "_other")
         ring = placed.where("owner < 0").unionByName(placed.where("owner >= 0").join(others, near, "left_semi"))
         known = ring.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
         undecided = known.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
         known = materialize(known.join(undecided, "region"), "open")
         small = known if turn == ROUNDS - 1 else known.where(F.col("members") <= REGION)
-        fresh = compare.distances(all_pairs(small, percent)).where("linked").select("a", "b")
+        fresh = compare.distances(all_pairs(small, turn + 1, percent)).where("linked").select("a", "b")
         found = materialize(found.unionByName(fresh), "found")
-        active = known.where(F.col("members") > REGION).select("region", "node", "n", "place", "early", "owner")
+        active = known.where(F.col("members") > REGION).select("region", "node", "n", "place", "early", "owner", "lo", "hi")
         if turn == ROUNDS - 1 or active.isEmpty():
             break
     return found

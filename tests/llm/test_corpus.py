@@ -141,6 +141,18 @@ def test_jaccard_versions(spark):
     check_sets(spark, sets, 80)
 
 
+def test_jaccard_far_pivot_keeps_linked_sets(spark):
+    """A large set that shares only the region's shingle is a pivot between those of two linked sets."""
+    core = by_hash("w", 100)
+    x, y = {*core} - {*core[-4:]} | {f"x{i}" for i in range(3)}, {*core} - {*core[-8:]} | {f"y{i}" for i in range(3)}
+    wide = {f"q{i}" for i in range(293)}
+    groups = [{*core, f"v{i}", f"u{i}"} for i in range(20)]
+    others = [wide | {f"o{k}p{i}" for i in range(100)} for k in range(70)]
+    sets = [{*core}, x, y, wide | {*core[:7], "one"}, *groups, *others]
+    assert components_by_brute_force(dict(enumerate(sets)), 90)[2] == 0
+    check_sets(spark, sets)
+
+
 def test_one_of_each_keeps_columns(docs):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() < docs.count()
