@@ -260,9 +260,9 @@ def op8(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The row of the least doc_id of each component; rows without words all stay."""
     rows = materialize(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
     keyed = rows.select(F.struct(F.col("row.doc_id").alias("doc_id"), "at").alias("key"), F.col("row.text").alias("text"))
-    stays = near_duplicates(keyed, "key").where("key = component").select(F.col("key.at").alias("at"))
+    stays = near_duplicates(keyed, "key", width=width, percent=percent).where("key = component").select(F.col("key.at").alias("at"))
     return rows.join(stays, "at", "left_semi").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

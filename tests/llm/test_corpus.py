@@ -9,6 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from meterlake.llm import context_tree, html_text, jaccard, mixing, motion_jpeg, packing, quality_rules, sharding, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, source string, key string, n_words int"
@@ -158,6 +159,22 @@ def test_one_of_each_keeps_columns(docs):
     assert kept.columns == docs.columns and kept.count() < docs.count()
 
 
+def test_pipeline_near_copies(spark):
+    """Five words and 0.8: copies with a fiftieth of the words changed, or a sixth more text at the end."""
+    rng = random.Random(4)
+    texts = []
+    for i in range(8):
+        text = [f"t{i}w{rng.randrange(500)}" for _ in range(200)]
+        changed = [*text]
+        for k in (40, 90, 140):
+            changed[k] = "changed"
+        texts += [" ".join(t) for t in (text, changed, [*text, *(f"t{i}n{k}" for k in range(34))], [*text, *(f"t{i}m{k}" for k in range(70))])]
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert kept == set(components_by_brute_force(sets, 80).values()) and len(kept) == 16
+
+
 def test_mix_meets_targets(docs):
     got = mixing.op6(docs).collect()
     assert sum(r.size for r in got) == sum(len(words(r.text)) for r in docs.collect())
