@@ -1,8 +1,10 @@
 """Sharding by a minimax contiguous partition.
 
 Equal texts form a group; groups are ordered by a hash of the text and those of one hash cell are atomic. The smallest
-capacity for which a greedy walk over the cells needs no more than the wanted shards is found by binary search, and
-the cells are cut there. Law ``bytes``: shard sizes are as near equal as whole groups allow.
+capacity for which a greedy walk over the cells needs no more than the wanted shards is found by binary search. A cell
+that alone sets the capacity gets a shard for itself and the search goes on over the stretches beside it; else the cells
+are cut within the capacity as near equal parts as they allow. Law ``bytes``: shard sizes are as near equal as whole,
+contiguous groups allow.
 """
 
 from __future__ import annotations
@@ -36,18 +38,65 @@ def cuts_for(capacity: int, ends: np.ndarray, shards: int) -> list[int] | None:
         start, base = stop, int(ends[stop - 1])
 
 
-def minimax_cuts(sizes: np.ndarray, shards: int) -> list[int]:
-    """The greedy cuts at the smallest feasible capacity for the ordered ``sizes``."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    low, high = max(-(-total // shards), int(sizes.max(initial=0))), total
+def least_capacity(parts: list[np.ndarray], shards: int) -> tuple[int, list[int]]:
+    """The least capacity at which ``shards`` hold all parts, none of which shares a shard with another, and what each needs."""
+    ends = [np.cumsum(p) for p in parts]
+
+    def needs(capacity: int) -> list[int] | None:
+        found = [cuts_for(capacity, e, shards) for e in ends]
+        return None if any(c is None for c in found) or sum(map(len, found)) + len(found) > shards else [len(c) + 1 for c in found]
+
+    total = sum(int(e[-1]) for e in ends)
+    low, high = max(-(-total // shards), *(int(p.max()) for p in parts)), total
     while low < high:
         middle = (low + high) // 2
-        if cuts_for(middle, ends, shards) is None:
+        if needs(middle) is None:
             low = middle + 1
         else:
             high = middle
-    return cuts_for(low, ends, shards) or []
+    return low, needs(low)
+
+
+def even_cuts(sizes: np.ndarray, shards: int, capacity: int) -> list[int]:
+    """Cuts into ``shards`` of at most ``capacity``, each as near as it may be to an equal part of what is left."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    first = [len(sizes)]  # the least start from which so many shards reach the end
+    for _ in range(shards - 1):
+        first.append(int(np.searchsorted(ends, ends[first[-1]] - capacity)))
+    cuts, start = [], 0
+    for left in range(shards - 1, 0, -1):
+        goal = ends[start] + (ends[-1] - ends[start]) / (left + 1)
+        at = int(np.searchsorted(ends, goal))
+        at -= at > start and goal - ends[at - 1] < ends[at] - goal
+        last = int(np.searchsorted(ends, ends[start] + capacity, "right")) - 1
+        start = int(min(max(at, start, first[left]), last))
+        cuts.append(start)
+    return cuts
+
+
+def minimax_cuts(sizes: np.ndarray, shards: int) -> list[int]:
+    """Cuts of the ordered ``sizes`` at the smallest feasible capacity, the other shards as near equal as that leaves them.
+
+    Cells that alone set the capacity get a shard each; the stretches between them are cut at the capacity that is left.
+    """
+    parts, alone, left, shares = [(0, len(sizes))] if sizes.any() else [], [], shards, []
+    while parts:
+        capacity, shares = least_capacity([sizes[a:b] for a, b in parts], left)
+        a, b = max(parts, key=lambda p: int(sizes[slice(*p)].max()))
+        hot = a + int(sizes[a:b].argmax())
+        if capacity > sizes[hot]:
+            break
+        alone.append(hot)
+        left -= 1
+        parts = [p for q in parts for p in (((a, hot), (hot + 1, b)) if q == (a, b) else (q,)) if sizes[slice(*p)].any()]
+    if parts and not alone:
+        return even_cuts(sizes, shards, capacity)
+    for _ in range(left - sum(shares) if parts else 0):  # what is to spare goes where most lies in a shard
+        k = max(range(len(shares)), key=lambda k: int(sizes[slice(*parts[k])].sum()) / shares[k])
+        shares[k] += 1
+    starts = [*alone, *(a for a, _ in parts)]
+    inner = [a + c for (a, b), k in zip(parts, shares if parts else [], strict=True) for c in minimax_cuts(sizes[a:b], k)]
+    return sorted([*sorted(starts)[1:], *inner])
 
 
 def sharded(docs: DataFrame, text: str = "text", shards: int = SHARDS, carry: list[str] | None = None) -> DataFrame:

@@ -208,6 +208,31 @@ def test_smallest_capacity():
         assert most == 0 or sharding.cuts_for(most - 1, np.cumsum(sizes), 5) is None or most <= int(sizes.max())
 
 
+def test_shards_beside_a_hot_group():
+    rng = np.random.default_rng(9)
+    for parts in (3, 20):
+        for hot in (0, 777, 4000, 9999):
+            sizes = rng.integers(0, 60, 10_000)
+            sizes[hot] = sizes.sum() // (parts - 1)
+            cuts = sharding.minimax_cuts(sizes, 40)
+            shards = np.array([p.sum() for p in np.split(sizes, cuts)])
+            other = np.delete(shards, shards.argmax())
+            assert len(shards) == 40 and shards.max() == sizes[hot] and other.max() <= 1.15 * other.min()
+    sizes = rng.integers(0, 60, 10_000)
+    sizes[[3000, 6000]] = sizes.sum()  # two groups of a third
+    other = np.sort([p.sum() for p in np.split(sizes, sharding.minimax_cuts(sizes, 40))])[:-2]
+    assert len(other) == 38 and other.max() <= 1.15 * other.min()
+
+
+def test_shards_of_few_cells():
+    rng = np.random.default_rng(8)
+    for n in range(60):
+        sizes = rng.integers(0, 9, n) ** 3
+        cuts = sharding.minimax_cuts(sizes, 7)
+        most = max(int(p.sum()) for p in np.split(sizes, cuts))
+        assert len(cuts) < 7 and cuts == sorted(cuts) and (most == 0 or sharding.cuts_for(most - 1, np.cumsum(sizes), 7) is None or most == sizes.max())
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
