@@ -17,8 +17,6 @@ from .common import lower_ascii
 #: verdict, host, start of the path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 ORDER = 4
-#: Strings that the models hold at most, by count; a longer context that was dropped falls back to its end.
-NODES = 40_000
 #: Share of accepted held-out URLs that the threshold lets through.
 KEEP = 0.98
 START = "\x02"
@@ -43,13 +41,16 @@ def rule_of(rules: list[tuple[str, str, str]]) -> Column:
 def strings(text: str, order: int) -> Column:
     """All runs of up to ``order + 1`` characters that end at a character of ``text``, as (depth, s)."""
     ends = F.sequence(F.lit(2), F.length(text))
-    runs = [F.transform(F.filter(ends, lambda i, d=d: i > d), lambda i, d=d: F.struct(F.lit(d).alias("depth"), F.substring(text, i - d, F.lit(d + 1)).alias("s")))
-            for d in range(order + 1)]
+
+    def of(d: int) -> Column:  # no default arguments in the lambdas: a second one is the element's index
+        return F.transform(F.filter(ends, lambda i: i > d), lambda i: F.struct(F.lit(d).alias("depth"), F.substring(text, i - d, F.lit(d + 1)).alias("s")))
+
+    runs = [of(d) for d in range(order + 1)]
     return F.when(F.length(text) > 1, F.concat(*runs))
 
 
-def char_models(urls: DataFrame, order: int, nodes: int) -> DataFrame:
-    """s, ratio: log of P(last character of s | the ones before) of accepted over rejected, for the kept strings.
+def char_models(urls: DataFrame, order: int) -> DataFrame:
+    """s, ratio: log of P(last character of s | the ones before) of accepted over rejected, for all strings seen.
 
     Witten-Bell: each context mixes its counts with the next shorter context in proportion to the number of different
     characters seen after it; the shortest mixes with 1/256.
@@ -71,24 +72,26 @@ def char_models(urls: DataFrame, order: int, nodes: int) -> DataFrame:
         p = {f"p_{v}": F.when(F.col(f"sum_{v}") > 0, (F.col(v) + F.col(f"kinds_{v}") * F.col(f"below_{v}")) / (F.col(f"sum_{v}") + F.col(f"kinds_{v}")))
              .otherwise(F.col(f"below_{v}")) for v in ("yes", "no")}
         level = materialize(at.withColumns(p).select("s", "yes", "no", "p_yes", "p_no"), "level")
-        ratio = level.select("s", (F.col("yes") + F.col("no")).alias("n"), F.log(F.col("p_yes") / F.col("p_no")).alias("ratio"))
+        ratio = level.select("s", F.log(F.col("p_yes") / F.col("p_no")).alias("ratio"))
         kept = ratio if depth == 0 else kept.unionByName(ratio)
-    return kept.orderBy(F.desc("n"), "s").limit(nodes).select("s", "ratio")
+    return kept
 
 
 def url_scores(urls: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """at, score: the mean over the characters of ``text`` of the ratio at the longest context that the model holds."""
-    spots = urls.select("at", "text", F.explode(F.sequence(F.lit(2), F.length("text"))).alias("i")).where("length(text) > 1")
-    found = []
-    for d in range(order, -1, -1):
-        side = F.broadcast(model.where(F.length("s") == d + 1).select(F.col("s").alias(f"s{d}"), F.col("ratio").alias(f"r{d}")))
-        spots = spots.join(side, F.when(F.col("i") > d, F.substring("text", F.col("i") - d, F.lit(d + 1))) == F.col(f"s{d}"), "left")
-        found.append(F.col(f"r{d}"))
-    return spots.groupBy("at").agg(F.avg(F.coalesce(*found, F.lit(0.0))).alias("score"))
+    """at, score: the mean over the characters of ``text`` of the ratio at the longest context that the model holds.
+
+    The model is met once for each different run of ``order + 1`` characters, by shuffled joins with its ends.
+    """
+    spots = urls.where("length(text) > 1").select("at", "text", F.explode(F.sequence(F.lit(2), F.length("text"))).alias("i"))
+    spots = spots.select("at", F.substring("text", F.greatest(F.col("i") - order, F.lit(1)), F.least("i", F.lit(order + 1))).alias("run"))
+    ends = spots.select("run").distinct().select(
+        "run", F.explode(F.transform(F.sequence(F.lit(1), F.length("run")), lambda n: F.right("run", n))).alias("s"))
+    longest = ends.join(model, "s").groupBy("run").agg(F.max_by("ratio", F.length("s")).alias("ratio"))
+    return spots.join(longest, "run", "left").groupBy("at").agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("score"))
 
 
 def judged_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, order: int = ORDER,
-                nodes: int = NODES, keep: float = KEEP) -> DataFrame:
+                keep: float = KEEP) -> DataFrame:
     """key, host, path, rule, verdict and score (null where a rule decides).
 
     A null URL and one without ``://`` have an empty host and path, which no rule fits; the models judge the URL's text
@@ -101,7 +104,7 @@ def judged_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     base = materialize(ruled.select("key", "host", "path", "at", "found.rule", F.col("found.verdict").alias("ruled"), text.alias("text"),
                                     (F.pmod(F.xxhash64("url", F.lit(3)), F.lit(5)) == 0).alias("held")), "urls")
     known = base.where("ruled IS NOT NULL").select("text", "held", (F.col("ruled") == "allow").alias("accepted"), "at")
-    model = materialize(char_models(known.where("NOT held"), order, nodes), "model")
+    model = materialize(char_models(known.where("NOT held"), order), "model")
     trial = url_scores(known.where("held AND accepted").select("at", "text"), model, order)
     found = trial.agg(F.percentile_approx("score", F.lit(1 - keep), F.lit(10_000)).alias("t")).first().t
     threshold = min(found or 0.0, 0.0)  # what the accepted model fits better is never blocked

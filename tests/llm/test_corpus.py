@@ -302,6 +302,40 @@ def test_urls(spark):
     assert got[3].verdict == "allow" and got[4].verdict == "block" and {r.verdict for r in got.values()} <= {"allow", "block"}
 
 
+def test_urls_keep_rare_strings(spark):
+    """Few rejected URLs beside many different accepted ones: their long strings still tell."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    urls = [f"http://h.com/{''.join(rng.choices(letters, k=60))}" for _ in range(1500)]
+    urls += [f"http://h.net/es/{''.join(rng.choices(['qzxkv', 'vjqzw'], k=8))}" for _ in range(12)]
+    asked = [f"http://h.org/{'qzxkvvjqzw' * 6}", f"http://h.org/{''.join(rng.choices(letters, k=60))}"]
+    rows = list(enumerate([*urls, *asked]))
+    got = {r.key: r.score for r in url_filter.judged_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    held = dict(spark.createDataFrame(rows, "id long, url string").selectExpr("id", "pmod(xxhash64(url, 3), 5) = 0").collect())
+    kinds = {True: [], False: []}
+    for i, u in rows[:-2]:
+        if not held[i]:
+            kinds[".com" in u].append("\x02" + u[7:])
+    counts = {yes: Counter(t[i - d:i + 1] for t in texts for i in range(1, len(t)) for d in range(5) if i >= d) for yes, texts in kinds.items()}
+    after = {yes: {} for yes in kinds}
+    for yes, c in counts.items():
+        for s, n in c.items():
+            after[yes].setdefault(s[:-1], []).append(n)
+
+    def p(yes, s):
+        below = p(yes, s[1:]) if len(s) > 1 else 1 / 256
+        seen = after[yes].get(s[:-1], [])
+        seen = seen if len(s) > 1 else [n for x, n in counts[yes].items() if len(x) == 1]
+        return (counts[yes][s] + len(seen) * below) / (sum(seen) + len(seen)) if seen else below
+
+    for key in (len(urls), len(urls) + 1):
+        t, ratios = "\x02" + rows[key][1][7:], []
+        for i in range(1, len(t)):
+            s = next((t[i - d:i + 1] for d in range(4, -1, -1) if i >= d and any(t[i - d:i + 1] in c for c in counts.values())), None)
+            ratios.append(np.log(p(True, s) / p(False, s)) if s else 0)
+        assert abs(got[key] - np.mean(ratios)) < 1e-9
+
+
 def test_html():
     page = ("<html><head><title>t</title><script>var a='</p>'</script></head><body><nav>Menu</nav><article><h1>Head &amp; more</h1><p>One\n two<br>three"
             "<p>Four <b>bold</b></p><div class='ad'>buy</div><form>send</form></article><div id='comments'>nice</div><footer>end</footer></body></html>")
