@@ -3,7 +3,9 @@
 Markup is stripped so that each block element is a line. The text lengths of neighbouring lines are summed over a
 sliding window; where the sum surges above the page's level a run of content begins, where it dives to nothing it
 ends. Lines outside the page's main element or inside menus, headers, footers, asides, notices, adverts, forms,
-scripts, styles and comments have no length, so they are the valleys between the runs.
+scripts, styles and comments have no length, so they are the valleys between the runs. Inside the main element a class
+or id marks an element as such only if its text looks like it; short runs count as content if they lie in the element
+that encloses the longest one.
 """
 
 from __future__ import annotations
@@ -24,25 +26,51 @@ NOISE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banne
                    r"sidebar|widget|related|share|sharing|social|comments?|replies|disqus|newsletter|subscribe|signup|footer|header|masthead)(?:$|[\s_-])")
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 WHITE = re.compile(r"\s+")
+#: Names that layouts also give to text: only links make an element of such a name noise.
+LAYOUT = re.compile(r"(?i)(?:^|[\s_-])(?:header|masthead|widget|banner|notice)(?:$|[\s_-])")
+#: Lines of fewer characters are short.
+SHORT = 80
 WINDOW = 3
 
 
+class Named:
+    """An element of the main element whose class or id names noise: is its text links or short lines?"""
+
+    def __init__(self, layout: bool) -> None:
+        self.layout, self.chars, self.links, self.longest, self.heads = layout, 0, 0, 0, False
+
+    def add(self, text: str, links: int, head: bool) -> None:
+        self.chars, self.links, self.longest, self.heads = self.chars + len(text), self.links + links, max(self.longest, len(text)), self.heads or head
+
+    def noise(self) -> bool:
+        return 2 * self.links >= self.chars or not (self.layout or self.heads) and self.longest < SHORT
+
+
 class Lines(HTMLParser):
-    """``lines``: (text, is it possible content, is it a heading) of each block, in page order."""
+    """``lines``: (text, is it possible content, is it in the main element, its enclosing elements, the named ones of them) of each block, in page order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool]] = []
-        self.lines: list[tuple[str, bool, bool]] = []
+        self.path: list[int] = []
+        self.named: list[Named | None] = []
+        self.lines: list[tuple[str, bool, bool, tuple[int, ...], tuple[Named, ...]]] = []
         self.parts: list[str] = []
-        self.mains = 0
+        self.links = self.seen = self.mains = 0
 
     def flush(self) -> None:
         text = WHITE.sub(" ", "".join(self.parts)).strip()
-        self.parts = []
+        links, self.parts, self.links = min(self.links, len(text)), [], 0
         if text:
             noise, main = (self.open[-1][1], self.open[-1][2]) if self.open else (False, False)
-            self.lines.append((text, not noise, main))
+            named = tuple(n for n in self.named if n)
+            if not noise:
+                for n in named:
+                    n.add(text, links, any(tag in ("h1", "h2") for tag, *_ in self.open))
+            self.lines.append((text, not noise, main, tuple(self.path), named))
+
+    def shut(self, k: int) -> None:
+        del self.open[k:], self.path[k:], self.named[k:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS or tag in SKIPPED:
@@ -50,17 +78,23 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         if tag in ("p", "li") and self.open and self.open[-1][0] == tag:
-            self.open.pop()
+            self.shut(len(self.open) - 1)
         found = dict(attrs)
-        noise = (self.open[-1][1] if self.open else False) or tag in SKIPPED and not (tag == "header" and self.open and self.open[-1][2])
+        inside = self.open[-1][2] if self.open else False
+        noise = (self.open[-1][1] if self.open else False) or tag in SKIPPED and not (tag == "header" and inside)
         marks = f"{found.get('class') or ''} {found.get('id') or ''}"
-        noise = noise or tag not in ("html", "body", "article", "main") and bool(NOISE.search(marks)) or found.get("role") in NOISE_ROLES
+        named = tag not in ("html", "body", "article", "main") and bool(NOISE.search(marks))
+        layout = named and not NOISE.search(LAYOUT.sub("  ", LAYOUT.sub("  ", marks)))
+        judged = named and (inside or layout)  # by its text, when the page is read
+        noise = noise or named and not judged or found.get("role") in NOISE_ROLES
         noise = noise or "hidden" in found or found.get("aria-hidden") == "true"
-        inside = self.open[-1][2] if self.open else False
         main = inside or tag in ("article", "main") or found.get("role") == "main"
         if main and not noise and not inside:
             self.mains += 1
         self.open.append((tag, noise, main))
+        self.seen += 1
+        self.path.append(self.seen)
+        self.named.append(Named(layout) if judged else None)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -71,21 +105,22 @@ class Lines(HTMLParser):
             self.flush()
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                del self.open[k:]
+                self.shut(k)
                 return
             if self.open[k][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
                 return
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if any(tag == "a" for tag, *_ in self.open):
+            self.links += len(WHITE.sub(" ", data))
 
 
 def content_runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     """Surge and dive points of the line-block distribution: (first line, line after the last) of each run.
 
     The block of line i is lines i to i + window - 1. A run begins at the first line with text of a block whose sum is
-    above nothing; it ends where ``window`` lines in a row have no text. The runs that hold less than a fifth of the
-    longest run's text are not content.
+    above nothing; it ends where ``window`` lines in a row have no text.
     """
     runs, start, i, n = [], None, 0, len(lengths)
     sums = [sum(lengths[k:k + window]) for k in range(n)]
@@ -98,8 +133,23 @@ def content_runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, in
         i += 1
     if start is not None:
         runs.append((start, n))
+    return runs
+
+
+def content_lines(lengths: list[int], paths: list[tuple[int, ...]]) -> list[int]:
+    """The lines of the runs, but of one with less than a fifth of the longest run's text only those in the same container.
+
+    The container is the deepest element that encloses the blocks of all lines of the longest run.
+    """
+    runs = content_runs(lengths)
     weight = [sum(lengths[a:b]) for a, b in runs]
-    return [r for r, w in zip(runs, weight, strict=True) if 5 * w >= max(weight)]
+    if not runs:
+        return []
+    a, b = runs[weight.index(max(weight))]
+    around = [paths[i][:-1] for i in range(a, b) if lengths[i]]
+    depth = next((k for k, ids in enumerate(zip(*around)) if len(set(ids)) > 1), min(map(len, around)))
+    home = around[0][:depth]
+    return [i for (a, b), w in zip(runs, weight, strict=True) for i in range(a, b) if lengths[i] and (5 * w >= max(weight) or paths[i][:depth] == home)]
 
 
 def main_text(html: str | None) -> str:
@@ -118,12 +168,13 @@ def main_text(html: str | None) -> str:
         return WHITE.sub(" ", unescape(re.sub(r"<[^>]*>", " ", html))).strip()
     page.flush()
     lines = page.lines
-    counts = [len(text) if content and (main or not page.mains) else 0 for text, content, main in lines]
+    counts = [len(text) if content and (main or not page.mains) and not any(n.noise() for n in named) else 0
+              for text, content, main, _, named in lines]
     if page.mains:  # the element itself marks surge and dive
-        runs = content_runs(counts, window=len(counts) + 1)
+        kept = [i for i, n in enumerate(counts) if n]
     else:
-        runs = content_runs(counts)
-    return " ".join(lines[i][0] for a, b in runs for i in range(a, b) if counts[i])
+        kept = content_lines(counts, [path for *_, path, _ in lines])
+    return " ".join(lines[i][0] for i in kept)
 
 
 def extracted(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -345,6 +345,18 @@ def test_html():
     assert [html_text.main_text(x) for x in (None, "", "<p>", "plain")] == ["", "", "", "plain"]
 
 
+def test_html_keeps_article_text():
+    long, close = "A long paragraph of the article. " * 20, "The closing words of the article. " * 4
+    advert = "<div class='ad'><p>Buy</p><p>now</p><p>here</p></div>"
+    page = f"<body><div class='menu'><p>a</p><p>b</p><p>c</p></div><div>{f'<p>{long}</p>' * 5}{advert}<p>{close}</p></div>" + (
+        f"<div class='related'><p>a</p><p>b</p><p>c</p></div><div><p>{close}</p></div></body>")
+    assert html_text.main_text(page) == " ".join([long.strip()] * 5 + [close.strip()])
+    page = (f"<article><div class='entry-header'><h1>Title</h1></div><div class='elementor-widget'><p>Short.</p><p>{long}</p></div>"
+            f"<div class='post has-sidebar'><p>{close}</p></div><div class='share'><a href='/'>Mail</a> <a href='/'>Post</a></div>"
+            f"<div class='widget'><ul><li><a href='/'>More of it</a></li></ul></div><div class='ad'>buy</div></article>")
+    assert html_text.main_text(page) == f"Title Short. {long.strip()} {close.strip()}"
+
+
 def test_media_round_trip(docs):
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in motion_jpeg.op10(docs).collect():
