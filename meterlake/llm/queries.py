@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_tree, html_text, jaccard, mixing, motion_jpeg, packing, quality_rules, sharding, toxicity, url_filter
+from . import byte_pairs, context_tree, html_text, jaccard, mixing, motion_jpeg, packing, quality_rules, sharding, spelling, toxicity, url_filter, walsh
 from .common import table
 
 QUERIES = {
@@ -16,5 +16,8 @@ QUERIES = {
     "op8_jaccard_join": lambda spark, d: jaccard.op8(table(spark, d, "documents")),
     "op9_html_text": lambda spark, d: html_text.op9(table(spark, d, "pages")),
     "op10_motion_jpeg": lambda spark, d: motion_jpeg.op10(table(spark, d, "documents")),
+    "op11_spelling_variants": lambda spark, d: spelling.op11(table(spark, d, "documents")),
+    "op12_byte_pairs": lambda spark, d: byte_pairs.op12(table(spark, d, "documents")),
+    "op13_walsh_clusters": lambda spark, d: walsh.op13(table(spark, d, "embeddings")),
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_walsh_clusters": walsh.SQL}
