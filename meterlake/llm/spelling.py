@@ -1,17 +1,18 @@
 """Spelling variants: words one edit apart, found by pivotal grams.
 
 Bigrams are ordered from rare to common over the vocabulary. A word's prefix are its three rarest bigrams, with all others
-as common as the third. Of the prefix, dynamic programming chooses two disjoint bigrams of the least total frequency: the
+as common as the third. Of the prefix, dynamic programming chooses two disjoint bigrams that are expected to meet the fewest words: the
 pivots. One edit spoils one pivot at most, so of two near words the one whose prefix ends sooner keeps a pivot in the
 prefix of the other. Where it stands there is limited: the edit lies behind the first pivot or before the second, so
 either the words agree up to the first pivot's end, or from the second pivot's start on. Pivots therefore meet the
-prefixes by bigram, place, length and a hash of the side that must agree. What meets is verified.
+prefixes by place, length and a hash of the letters that must agree, the bigram included. What meets is verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,12 @@ LETTERS = "[A-Za-zÀ-ÿ]"
 SHORTEST, FEWEST, TIMES = 7, 2, 10
 #: Every run whose hash this divides loses a letter.
 SPOILED = 31
-#: Pivots for one edit, and bigrams of a prefix: one edit spoils two bigrams at most.
-PIVOTS, PREFIX = 2, 3
+#: Bigrams of a prefix: one edit spoils two at most, and of three some two are disjoint.
+PREFIX = 3
+RARER = 0.2
+#: Letters of words that are verified where they meet.
+SHORT = 64
 PRIME, BASE = (1 << 61) - 1, 1_000_003
-SIDES = "side int, gram int, place int, length int, shared long"
 
 
 def spoiled_runs(docs: DataFrame, key: str, text: str, shortest: int = SHORTEST) -> DataFrame:
@@ -53,27 +56,17 @@ def gram_counts(words: DataFrame) -> dict[str, int]:
     return {r.gram: r.n for r in grams.groupBy("gram").agg(F.count("*").alias("n")).collect()}
 
 
-def disjoint(places: list[int], weights: list[int], wanted: int = PIVOTS) -> list[int]:
-    """``wanted`` places (of ascending ``places``) that are two or more apart, of the least total weight."""
-    n = len(places)
-    # best[m][i]: least weight of m disjoint bigrams among the first i; the last of them is taken[m][i]
-    best = [[0] * (n + 1)] + [[-1] * (n + 1) for _ in range(wanted)]
-    taken = [[-1] * (n + 1) for _ in range(wanted + 1)]
-    fits = 0  # bigrams that end before the i-th begins
-    for i in range(1, n + 1):
-        while places[fits] + 2 <= places[i - 1]:
+def disjoint(places: list[int], firsts: list[float], lasts: list[float]) -> tuple[int, int]:
+    """The two of ascending ``places`` that are two or more apart with the least sum of one's ``firsts`` and a later one's ``lasts``."""
+    # least[i]: the cheapest first pivot among the places up to the i-th
+    least, best, fits = [0] * len(places), None, 0
+    for i, place in enumerate(places):
+        least[i] = i if not i or firsts[i] < firsts[least[i - 1]] else least[i - 1]
+        while places[fits] + 2 <= place:
             fits += 1
-        for m in range(1, wanted + 1):
-            best[m][i], taken[m][i] = best[m][i - 1], taken[m][i - 1]
-            below = best[m - 1][fits]
-            if below >= 0 and (best[m][i] < 0 or below + weights[i - 1] < best[m][i]):
-                best[m][i], taken[m][i] = below + weights[i - 1], i - 1
-    chosen, i = [], n
-    for m in range(wanted, 0, -1):
-        last = taken[m][i]
-        chosen.append(places[last])
-        i = next(k for k in range(last, -1, -1) if not k or places[k - 1] + 2 <= places[last])
-    return chosen[::-1]
+        if fits and (best is None or firsts[least[fits - 1]] + lasts[i] < best[0]):
+            best = (firsts[least[fits - 1]] + lasts[i], places[least[fits - 1]], place)
+    return best[1:]
 
 
 def rolling(word: str) -> list[int]:
@@ -85,57 +78,80 @@ def rolling(word: str) -> list[int]:
     return out
 
 
-def selected(word: str, order: dict[str, int], counts: dict[str, int]) -> tuple[int, list[int], list[int]]:
-    """The prefix's last bigram by ``order``, the prefix's places and the pivots' places."""
+def selected(word: str, order: dict[str, int], counts: dict[str, int]) -> tuple[int, list[int], tuple[int, int]]:
+    """The prefix's last bigram by ``order``, the prefix's places and the pivots' places.
+
+    What a pivot would meet is taken as its bigram's count, less by ``RARER`` for each letter more that must agree.
+    """
     ranks = [order[word[i:i + 2]] for i in range(len(word) - 1)]
     last = sorted(ranks)[PREFIX - 1]
     prefix = [i for i, rank in enumerate(ranks) if rank <= last]
-    return last, prefix, disjoint(prefix, [counts[word[i:i + 2]] for i in prefix])
+    weights = [counts[word[i:i + 2]] for i in prefix]
+    end = len(word) - 2
+    return last, prefix, disjoint(prefix, [w * RARER ** i for w, i in zip(weights, prefix, strict=True)],
+                                  [w * RARER ** (end - i) for w, i in zip(weights, prefix, strict=True)])
+
+
+def meeting(side: int, place: int, length: int, shared: int) -> int:
+    """Hash of where a bigram stands and of the letters that must agree, it included."""
+    return (((shared * BASE + place) * BASE + length) * 2 + side) % PRIME
 
 
-def entries(word: str, order: dict[str, int], counts: dict[str, int]) -> tuple[int, list[tuple], list[tuple]]:
-    """The prefix's last bigram; where the pivots look, and under what the prefix is found: (side, gram, place, length, shared).
+def entries(word: str, order: dict[str, int], counts: dict[str, int]) -> tuple[int, list[int], list[int]]:
+    """The prefix's last bigram; where the pivots look, and under what the prefix is found.
 
     A place is counted from the word's beginning on side 0, from its end on side 1.
     """
     n = len(word)
     last, prefix, (first, second) = selected(word, order, counts)
     front, back = rolling(word), rolling(word[::-1])
-    left = lambda i: (0, order[word[i:i + 2]], i, front[i + 2])
-    right = lambda i: (1, order[word[i:i + 2]], n - i, back[n - i])
-    looks = [(s, g, p, length, h) for s, g, p, h in (left(first), right(second)) for length in (n - 1, n, n + 1)]
-    return last, looks, [(s, g, p, n, h) for i in prefix for s, g, p, h in (left(i), right(i))]
+    looks = [meeting(*at) for length in (n - 1, n, n + 1) for at in ((0, first, length, front[first + 2]), (1, n - second, length, back[n - second]))]
+    return last, looks, [meeting(*at) for i in prefix for at in ((0, i, n, front[i + 2]), (1, n - i, n, back[n - i]))]
+
+
+def letters(word: str) -> int:
+    """A bit for each letter (modulo 63) of the word."""
+    bits = 0
+    for c in set(word):
+        bits |= 1 << ord(c) % 63
+    return bits
 
 
 def near_words(words: DataFrame, counts: dict[str, int]) -> DataFrame:
     """a, b (ids): all pairs of words, each in both orders, that one inserted, deleted or replaced letter makes equal.
 
-    ``words`` has id and word, of four letters or more; ``counts`` are those of its bigrams.
+    ``words`` has id and word, of four letters or more; ``counts`` are those of its bigrams. Words of up to ``SHORT``
+    letters are verified where they meet, so that only near ones are kept; longer ones by their ids afterwards.
     """
     order = {g: i for i, g in enumerate(sorted(counts, key=lambda g: (counts[g], g)))}
-    fields = [("side", pa.int32()), ("gram", pa.int32()), ("place", pa.int32()), ("length", pa.int32()), ("shared", pa.int64())]
-    kind = pa.list_(pa.struct(fields))
+
+    def lists(values: list[list[int]]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, values)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter((x for v in values for x in v), np.int64, ends[-1])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                made = [entries(w, order, counts) for w in part.column("word").to_pylist()]
-                names = [f for f, _ in fields]
+                texts = part.column("word").to_pylist()
+                last, looks, found = zip(*(entries(w, order, counts) for w in texts), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([m[0] for m in made], pa.int32()), *(
-                        pa.array([[dict(zip(names, e, strict=True)) for e in m[j]] for m in made], kind) for j in (1, 2))],
-                    names=["id", "last", "looks", "found"])
-
-    schema = f"id long, last int, looks array<struct<{SIDES.replace(' ', ':')}>>, found array<struct<{SIDES.replace(' ', ':')}>>".replace(",:", ",")
-    made = materialize(words.select("id", "word").mapInArrow(run, schema), "grams")
-    on = ["side", "gram", "place", "length", "shared"]
-    looks = made.select(F.col("id").alias("a"), F.col("last").alias("last_a"), F.inline("looks"))
-    found = made.select(F.col("id").alias("b"), F.col("last").alias("last_b"), F.inline("found"))
-    met = looks.join(found, on).where("last_a <= last_b AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for side in "ab":
-        met = met.join(words.select(F.col("id").alias(side), F.col("word").alias(f"word_{side}")), side)
-    pairs = materialize(met.where(one_edit("word_a", "word_b")).select("a", "b"), "near")
+                    [part.column("id"), pa.array([w if len(w) <= SHORT else None for w in texts], pa.string()), pa.array(map(letters, texts), pa.int64()),
+                     pa.array(last, pa.int32()), lists(looks), lists(found)], names=["id", "short", "letters", "last", "looks", "found"])
+
+    made = materialize(words.select("id", "word").mapInArrow(
+        run, "id long, short string, letters long, last int, looks array<long>, found array<long>"), "grams")
+    side = lambda s, keys: made.select(F.explode(keys).alias("key"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "last", "letters", "short")))
+    near = one_edit("short_a", "short_b")
+    # one edit takes one letter out and brings one in at most
+    may = ("last_a <= last_b AND id_a <> id_b AND bit_count(letters_a ^ letters_b) <= 2")
+    met = side("a", "looks").join(side("b", "found"), "key").where(F.expr(may) & F.coalesce(near, F.lit(True)))
+    met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), near.isNotNull().alias("sure")).distinct()
+    met = materialize(met, "met")
+    asked = met.where("NOT sure")
+    for s in "ab":
+        asked = asked.join(words.select(F.col("id").alias(s), F.col("word").alias(f"word_{s}")), s)
+    pairs = met.where("sure").select("a", "b").unionByName(asked.where(one_edit("word_a", "word_b")).select("a", "b"))
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
