@@ -12,6 +12,7 @@ bytes have a tree of their own, so a match of n bytes takes n log n steps, howev
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,6 +30,10 @@ LONG = 128
 LEAVES, SLICE, REMEMBERED = 1 << 19, 1 << 20, 400_000
 
 
+#: A character that versions of Unicode may class differently.
+WIDE = re.compile("[^\x00-\xff]")
+
+
 class Ranks:
     """A rank file: the tokens by id, and the rank of each pair of tokens that is one together."""
 
@@ -67,6 +72,36 @@ def remembered(path: str) -> dict[str, bytes]:
     return {}
 
 
+@cache
+def stand_ins() -> dict[int, str]:
+    """For each character that the two libraries class differently, one that ``regex`` classes as ``tiktoken`` does.
+
+    They follow different versions of Unicode, and the matches are to be those of ``tiktoken``, which drops what its
+    pattern does not match: so one pass over all characters tells its letters, numbers and spaces.
+    """
+    import regex
+    import tiktoken
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    single = {bytes([b]): b for b in range(256)}
+    found: dict[str, str] = {}
+    theirs: dict[str, str] = {}
+    for kind, one in ((r"\p{L}", "\u0100"), (r"\p{N}", "\u00b2"), (r"\s", "\u2003")):
+        model = tiktoken.Encoding("classes", pat_str=kind, mergeable_ranks=single, special_tokens={})
+        theirs.update(dict.fromkeys(bytes(model.encode_ordinary(every)).decode(), one))
+        found.update(dict.fromkeys(regex.findall(kind, every), one))
+    return {ord(c): theirs.get(c, "\ue000") for c in {*found, *theirs} if found.get(c) != theirs.get(c)}
+
+
+def matches(text: str, cut) -> list[str]:
+    """The matches of the compiled pattern ``cut``, by the character classes of ``tiktoken``."""
+    if WIDE.search(text):
+        alike = text.translate(stand_ins())
+        if alike != text:
+            return [text[m.start():m.end()] for m in cut.finditer(alike)]
+    return cut.findall(text)
+
+
 def merge_long(word: bytes, ranks: Ranks) -> list[int]:
     """The ids of one match, by a tree in a list."""
     n, ids = len(word), ranks.ids
@@ -220,7 +255,7 @@ def encode_texts(texts: list[str | None], path: str, pattern: str) -> Iterator[b
 
     cut, ranks, known = regex.compile(pattern), ranks_of(path), remembered(path)
     for part in slices(texts):
-        pieces = [cut.findall(text) for text in part]
+        pieces = [matches(text, cut) for text in part]
         new = list(set().union(*pieces) - known.keys())
         if len(known) + len(new) > REMEMBERED:
             known.clear()

@@ -2,8 +2,9 @@
 
 The transform of whole numbers by signs alone is exact and keeps squared distances up to a known factor. Of a vector and
 the centroids, coefficient differences are added up from coarse to fine: what is summed so far, and the lengths of the
-vectors' rests, bound every distance from both sides, and a centroid whose lower bound is above another's upper bound is
-strictly worse and goes. The others are summed over all coefficients, so the nearest one is exact, ties included.
+vectors' rests, bound every distance from both sides; the centroid that leads early on is compared in full. A centroid
+whose lower bound is above another's upper bound is strictly worse and goes. The others are summed over all coefficients,
+so the nearest one is exact, ties included.
 
 The transform is linear: sums of transformed vectors are transformed sums, so rounds need the transformed vectors only.
 Each task adds up its vectors by cluster, and a round brings one row a centroid to the driver.
@@ -27,6 +28,8 @@ DIMS, CENTROIDS, ROUNDS, SCALE = 64, 16, 3, 64
 SEED = "1:"
 #: Scaled components may be this large, so that all sums of squares are exact in 64 bits.
 LARGEST = 1 << 24
+#: After so many coefficients the centroid that leads is compared in full, which bounds the nearest one's distance.
+LEADING = 8
 #: Vectors that are compared at once.
 BLOCK = 4096
 
@@ -65,6 +68,7 @@ def nearest(spectra: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.
     n, dims = spectra.shape
     so_far = np.zeros((n, len(centroids)), np.int64)
     open_ = np.ones(so_far.shape, bool)
+    reached = np.full(n, np.inf)
     start, compared = 0, 0
     while start < dims:
         end = max(1, 2 * start)
@@ -72,13 +76,18 @@ def nearest(spectra: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.
         gap = spectra[row, start:end] - centroids[c, start:end]
         so_far[row, c] += (gap * gap).sum(1)
         compared += gap.size
+        if end == LEADING:
+            leader = np.where(open_, so_far, np.iinfo(np.int64).max).argmin(1)
+            gap = spectra[:, end:] - centroids[leader, end:]
+            reached = (so_far[np.arange(n), leader] + (gap * gap).sum(1)) * (1 + 1e-9) + 1
+            compared += gap.size
         if end < dims:
             rest_v = np.sqrt((spectra[:, end:].astype(float) ** 2).sum(1))[:, None]
             rest_c = np.sqrt((centroids[:, end:].astype(float) ** 2).sum(1))[None, :]
             # widened by more than the rounding of these floats
             least = so_far + (rest_v - rest_c) ** 2 * (1 - 1e-9) - 1e-9 * (so_far + (rest_v + rest_c) ** 2) - 1
             most = so_far + (rest_v + rest_c) ** 2 * (1 + 1e-9) + 1e-9 * so_far + 1
-            open_ &= least <= np.where(open_, most, np.inf).min(1)[:, None]
+            open_ &= least <= np.minimum(reached, np.where(open_, most, np.inf).min(1))[:, None]
         start = end
     whole = np.where(open_, so_far, np.iinfo(np.int64).max)
     cluster = whole.argmin(1)
