@@ -11,8 +11,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.columns import instant
 from ..functions.limits import effective_percent, future_reset
-from .ordered import Scan, carry_last, earliest_within, previous, running_sum, scan, time_chunk
+from .ordered import CHUNK_SECONDS, Scan, carry_last, earliest_within, previous, running_sum, scan, time_chunk
 
 # Alert levels and the drop that counts as a reset.
 ALERT_LEVELS = (80, 95)
@@ -62,10 +63,11 @@ def forecast_hit(samples: DataFrame, keys: Sequence[str] = ("handle",), lookback
     return framed.withColumn("hit_ms", F.when(~alone, hit)).drop("oldest")
 
 
-def threshold_alerts(samples: DataFrame, keys: Sequence[str] = ("handle",), levels: Sequence[float] = ALERT_LEVELS) -> DataFrame:
+def threshold_alerts(samples: DataFrame, keys: Sequence[str] = ("handle",), levels: Sequence[float] = ALERT_LEVELS, carry: Sequence[str] = ()) -> DataFrame:
     """Rising edges over ``levels`` and resets (a drop of 30 or more, or a fall below the lowest level).
 
-    A reset hides thresholds; the first sample of a key gives nothing; non-finite samples are ignored.
+    A reset hides thresholds; the first sample of a key gives nothing; non-finite samples are ignored. Columns ``carry``
+    of the samples stay.
     """
     levels = sorted(levels)
     chunked = finite_samples(samples).withColumn("__chunk", time_chunk("at"))
@@ -75,7 +77,7 @@ def threshold_alerts(samples: DataFrame, keys: Sequence[str] = ("handle",), leve
     crossed = F.filter(F.array(*[F.when((before < x) & (now >= x), F.lit(int(x))) for x in levels]), lambda x: x.isNotNull())
     alerts = F.when(is_reset, F.array(F.struct(F.lit("reset").alias("kind"), F.lit(None).cast("int").alias("level")))).otherwise(
         F.transform(crossed, lambda x: F.struct(F.lit("threshold").alias("kind"), x.alias("level"))))
-    return edges.select(*keys, "at", "id", "percent", F.inline(alerts))
+    return edges.select(*keys, "at", "id", "percent", *carry, F.inline(alerts))
 
 
 def forecast_alarm(forecasts: DataFrame, keys: Sequence[str] = ("handle",), lead_minutes: int = LEAD_MINUTES) -> DataFrame:
@@ -94,6 +96,33 @@ def forecast_alarm(forecasts: DataFrame, keys: Sequence[str] = ("handle",), lead
     return due.groupBy(*keys, "segment").agg(first).select(*keys, "r.*")
 
 
+def limit_steps(samples: DataFrame, keys: Sequence[str] = ("handle",)) -> DataFrame:
+    """Adds ``next_at`` to present samples: when the key's next one comes, by (at, id).
+
+    Non-finite samples tell nothing, so what was known before them stays.
+    """
+    back = finite_samples(samples).withColumns({"__t": -F.unix_micros("at"), "__i": -F.col("id")})
+    chunked = back.withColumn("__chunk", F.floor(F.col("__t") / F.lit(CHUNK_SECONDS * 1_000_000)).cast("long"))
+    return previous(chunked, list(keys), "__chunk", ["__t", "__i"], F.col("at"), "next_at").drop("__t", "__i", "__chunk")
+
+
+def known_limits(steps: DataFrame, now: Column | datetime, keys: Sequence[str] = ("handle",)) -> DataFrame:
+    """(keys…, at, percent, reset_at): what is known of a limit until ``now``, a row each time that it changes.
+
+    ``steps(keys…, at, id, percent, reset_at, next_at)``. A sample that comes after its own reset reads 0; one whose
+    reset passes before the next sample gives a row of 0 at the reset.
+    """
+    clock = instant(now)
+    seen = steps.filter(F.col("at") <= clock)
+    # without a reset these are NULL, which is not true
+    late, passed = F.col("reset_at") <= F.col("at"), (F.col("reset_at") > F.col("at")) & (F.col("reset_at") <= clock)
+    zero = F.coalesce(passed & (F.col("next_at").isNull() | (F.col("next_at") > F.col("reset_at"))), F.lit(False))
+    none = F.lit(None).cast("timestamp")
+    own = F.struct("at", F.when(late, 0.0).otherwise(F.col("percent")).alias("percent"), F.when(late, none).otherwise(F.col("reset_at")).alias("reset_at"))
+    reset = F.struct(F.col("reset_at").alias("at"), F.lit(0.0).alias("percent"), none.alias("reset_at"))
+    return seen.select(*keys, F.inline(F.when(zero, F.array(own, reset)).otherwise(F.array(own))))
+
+
 def window_meter(samples: DataFrame, keys: Sequence[str] = ("handle",)) -> DataFrame:
     """Tokens in the current limit window from day totals ``(keys…, at, id, day_tokens, reset_at)``: ``meter``.
 

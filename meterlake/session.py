@@ -5,10 +5,14 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.folders import drop
+
 
 def build_session(app: str = "meterlake", master: str | None = None, shuffle_partitions: int | None = None,
                   **conf: str) -> SparkSession:
@@ -67,6 +71,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_PASSING: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside this block are dropped at its end, also after an error."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            drop(spark, path)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
@@ -75,5 +93,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if _PASSING:
+        _PASSING[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

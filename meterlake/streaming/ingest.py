@@ -15,9 +15,11 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from ..operators.dedupe import dedupe_requests
 from ..operators.ordered import previous, running_sum
 from ..operators.usage import daily_usage
-from ..session import materialize
+from ..session import materialize, passing
+from ..sources.folders import numbers
 from ..sources.lines import PLACE
 from ..sources.sinks import write_days
+from .latest import EVERY, Latest
 
 
 def stream_logs(spark: SparkSession, path: str, glob: str = "*.jsonl", files_per_trigger: int = 1000) -> DataFrame:
@@ -60,31 +62,31 @@ def _table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
         return None
 
 
-def merge_requests(batch: DataFrame, table_path: str, span_days: int | None = None) -> DataFrame:
+def merge_requests(batch: DataFrame, table_path: str, number: int, every: int = EVERY) -> DataFrame:
     """Merges request records into the request table by max-wins; returns the touched days.
 
-    Only days of the batch, and days that hold one of its keys, are rewritten. A key's copies may carry
-    different days: by default all days are searched for the batch's keys (two columns are read);
-    ``span_days`` limits the search where a writer guarantees that copies stay that close.
+    An index beside the table holds each key's day, so of the history only the batch's keys are looked up, and only days of
+    the batch, and days that hold one of its keys, are read and rewritten. Days are calendar days, so few enough to name.
     """
     spark = batch.sparkSession
     fresh = materialize(dedupe_requests(batch), "requests")
-    stored = _table(spark, table_path, fresh)
-    if stored is None:
-        write_days(fresh, table_path)
-        return fresh.select("date").distinct()
-    near = stored
-    if span_days is not None:
-        bounds = fresh.agg(F.date_sub(F.min("date"), span_days).alias("lo"), F.date_add(F.max("date"), span_days).alias("hi"))
-        near = stored.join(bounds, F.col("date").between(F.col("lo"), F.col("hi")), "left_semi")
-    known = near.select("key", "date").join(fresh.select("key"), "key", "left_semi").select("date")
-    days = materialize(fresh.select("date").union(known).distinct(), "days")
-    old = stored.join(days, "date", "left_semi")
-    merged = materialize(dedupe_requests(old.unionByName(fresh)), "merged")
+    index = key_days(spark, table_path, fresh, every)
+    known = index.rows(number, fresh.select("key"))
+    days = materialize(fresh.select("date").union(known.select("date")).distinct(), "days")
+    stored, merged = _table(spark, table_path, fresh), fresh
+    if stored is not None:
+        old = stored.filter(F.col("key").isNotNull() & F.col("date").isin([r.date for r in days.collect()]))
+        merged = materialize(dedupe_requests(old.unionByName(fresh)), "merged")
     replace_days(merged, days, table_path)
+    index.write(number, merged.join(fresh.select("key"), "key", "left_semi"))
     return days
 
 
+def key_days(spark: SparkSession, table_path: str, requests: DataFrame, every: int = EVERY) -> Latest:
+    """Which day of the request table holds a key."""
+    return Latest(spark, f"{table_path}-days", requests.select("key", "date").schema, ["key"], every=every)
+
+
 def replace_days(rows: DataFrame, days: DataFrame, table_path: str) -> None:
     """Replaces exactly ``days`` by ``rows``. A partition overwrite cannot leave a day empty, so a day without
     rows gets one row of NULLs, which the readers below drop."""
@@ -103,22 +105,22 @@ def live_daily(spark: SparkSession, table_path: str) -> DataFrame:
 def restate_daily(spark: SparkSession, requests_path: str, daily_path: str, days: DataFrame, resolve: Callable[[DataFrame], DataFrame],
                   keys: tuple[str, ...] = ()) -> None:
     """Recomputes the daily rows of the touched days from the request table."""
-    requests = live_requests(spark, requests_path).join(days, "date", "left_semi")
+    requests = live_requests(spark, requests_path).filter(F.col("date").isin([r.date for r in days.collect()]))
     replace_days(materialize(daily_usage(requests, resolve(requests), keys), "daily"), days, daily_path)
 
 
 def stream_requests(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], resolve: Callable[[DataFrame], DataFrame],
-                    requests_path: str, daily_path: str, checkpoint: str, keys: tuple[str, ...] = (),
-                    span_days: int | None = None) -> DataStreamWriter:
+                    requests_path: str, daily_path: str, checkpoint: str, keys: tuple[str, ...] = ()) -> DataStreamWriter:
     """A writer that keeps the request table and its daily rows up to date with each micro-batch.
 
     Merging is idempotent (largest copy wins, keys do not depend on task splits), so a batch replayed after a
     failure changes nothing.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        days = merge_requests(stable_keys(parse(number_lines(batch))), requests_path, span_days)
-        restate_daily(batch.sparkSession, requests_path, daily_path, days, resolve, keys)
+    def merge(batch: DataFrame, number: int) -> None:
+        with passing(batch.sparkSession):
+            days = merge_requests(stable_keys(parse(number_lines(batch))), requests_path, number)
+            restate_daily(batch.sparkSession, requests_path, daily_path, days, resolve, keys)
 
     return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
 
@@ -135,23 +137,24 @@ def changed_against(df: DataFrame, published: DataFrame | None, keys: Sequence[s
     return hashed.join(published.select(*keys, "content_hash"), [*keys, "content_hash"], "left_anti")
 
 
-def publish_changes(snapshot: DataFrame, path: str, keys: Sequence[str], ignore: Sequence[str] = ("generated_at",), batch: int | None = None) -> None:
+def publish_changes(snapshot: DataFrame, path: str, keys: Sequence[str], ignore: Sequence[str] = ("generated_at",), batch: int | None = None,
+                    every: int = EVERY) -> None:
     """Writes changed snapshots to ``path/log``, partitioned by batch; without a number, the batch follows the last one.
 
-    What was last published is read from the log's earlier batches, and a batch replaces its own partition only. So a
-    batch that is repeated after a failure publishes the same rows, once.
+    What was last published for a key is looked up in ``path/last``, whose log is compacted every so many batches. A batch
+    sees only what batches before it published and replaces its own partition, so one that is repeated after a failure
+    publishes the same rows, once. Keys must not be NULL.
     """
     spark, log = snapshot.sparkSession, f"{path}/log"
-    hashed = snapshot.withColumn("content_hash", content_hash(snapshot, ignore)).withColumn("batch", F.lit(0).cast("long"))
-    stored = _table(spark, log, hashed)
     if batch is None:
-        last = stored.agg(F.max("batch")).first()[0] if stored is not None else None
-        batch = 0 if last is None else last + 1
-    published = None
-    if stored is not None:
-        published = stored.filter(F.col("batch") < batch).groupBy(*keys).agg(F.max_by("content_hash", "batch").alias("content_hash"))
-    changed = changed_against(snapshot, published, keys, ignore).withColumn("batch", F.lit(batch).cast("long"))
-    write_days(materialize(changed, "changed"), log, "batch")
+        batch = max(numbers(spark, log, "batch"), default=-1) + 1
+    with passing(spark):
+        hashed = materialize(snapshot.withColumn("content_hash", content_hash(snapshot, ignore)), "snapshot")
+        last = Latest(spark, f"{path}/last", hashed.select(*keys, "content_hash").schema, keys, every=every)
+        changed = changed_against(hashed.drop("content_hash"), last.rows(batch, hashed.select(*keys)), keys, ignore)
+        changed = materialize(changed, "changed")
+        write_days(changed.withColumn("batch", F.lit(batch).cast("long")), log, "batch")
+        last.write(batch, changed)
 
 
 def changed_only(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str], ignore: Sequence[str] = ("generated_at",)) -> DataFrame:
@@ -162,10 +165,11 @@ def changed_only(df: DataFrame, keys: Sequence[str], chunk: Column, order: Seque
     return seen.filter(~F.col("content_hash").eqNullSafe(F.col("__before"))).drop("__before", "__chunk", "content_hash")
 
 
-def write_snapshots(stream: DataFrame, summarise: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: Sequence[str]) -> DataStreamWriter:
+def write_snapshots(stream: DataFrame, summarise: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: Sequence[str],
+                    every: int = EVERY) -> DataStreamWriter:
     """Publishes the summary of each micro-batch only where it changed."""
 
     def publish(batch: DataFrame, number: int) -> None:
-        publish_changes(summarise(batch), path, keys, batch=number)
+        publish_changes(summarise(batch), path, keys, batch=number, every=every)
 
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)

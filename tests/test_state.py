@@ -137,7 +137,7 @@ def test_upserts_rewrite_only_touched_days(spark, tmp_path):
 def test_submission_leaves_sessions_at_home(spark, tmp_path):
     d = daily(spark, ("a", D1, "t", "m", 1, 1))
     write_submission({"entries": d, "sessions": d, "tools": d.select("tool")}, str(tmp_path / "out"))
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["entries", "tools"]
+    assert sorted(p.name for p in (tmp_path / "out/versions/version=0").iterdir()) == ["entries", "tools"]
 
 
 def test_bad_rows_are_set_aside_one_by_one(spark):

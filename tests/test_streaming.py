@@ -1,8 +1,6 @@
-"""Streams on small files: batch equivalence, alerts across batches, timers, change-only publishing."""
+"""Streams on small files: batch equivalence and change-only publishing."""
 
-import json
-import time
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -12,20 +10,10 @@ from meterlake.operators.pricing import resolve_prices
 from meterlake.operators.usage import daily_usage
 from meterlake.plans.adapter import price_dim
 from meterlake.sources.transcripts import parse_requests, read_requests
-from meterlake.streaming.alerts import stream_alerts, stream_limits, use_rocksdb
 from meterlake.streaming.ingest import live_daily, live_requests, number_lines, publish_changes, stable_keys, stream_logs, stream_requests, write_snapshots
 from meterlake.streaming.windows import publish_windows, read_windows, stream_hourly, stream_rate, stream_sessions
 from test_sources import message, write
 
-SAMPLE = "key string, at timestamp, id long, percent double, reset_at timestamp"
-
-
-def drain(stream, tmp_path, name="out"):
-    sink, state = str(tmp_path / name), str(tmp_path / (name + "-state"))
-    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(sink)
-
-
 def test_live_requests_equal_the_batch_result(spark, tmp_path):
     logs, requests, daily = tmp_path / "logs", str(tmp_path / "requests"), str(tmp_path / "daily")
     resolve = lambda df: resolve_prices(df, price_dim(spark))
@@ -51,46 +39,6 @@ def test_live_requests_equal_the_batch_result(spark, tmp_path):
     assert rows(live_daily(spark, daily), *columns) == rows(expected, *columns)
 
 
-def test_alerts_keep_their_state_between_batches(spark, tmp_path):
-    use_rocksdb(spark)
-    src = tmp_path / "src"
-    base = datetime(2026, 8, 1)
-
-    def land(*data):
-        df = spark.createDataFrame([("a", base + timedelta(minutes=i), i, p, None) for i, p in data], SAMPLE)
-        df.coalesce(1).write.mode("append").parquet(str(src))
-
-    def run():
-        return drain(stream_alerts(spark.readStream.schema(SAMPLE).parquet(str(src)).drop("reset_at")), tmp_path)
-
-    land((1, 81.0), (0, 70.0))
-    assert rows(run(), "id", "kind", "level") == [(1, "threshold", 80)]
-    land((1, 81.0), (2, 96.0), (3, 97.0), (4, float("nan")), (5, 10.0))
-    land((6, 99.0))
-    assert rows(run(), "id", "kind", "level") == [(1, "threshold", 80), (2, "threshold", 95), (5, "reset", None), (6, "threshold", 80), (6, "threshold", 95)]
-
-
-def test_a_limit_reads_zero_at_its_reset(spark, tmp_path):
-    use_rocksdb(spark)
-    src, sink = tmp_path / "src", str(tmp_path / "sink")
-    reset = datetime.now().astimezone() + timedelta(seconds=20)
-    past = reset - timedelta(hours=5)
-    rows_ = [("a", past, 1, 80.0, reset), ("b", past, 1, 70.0, past), ("c", past, 1, 60.0, None)]
-    spark.createDataFrame(rows_, SAMPLE).coalesce(1).write.parquet(str(src))
-    stream = stream_limits(spark.readStream.schema(SAMPLE).parquet(str(src)))
-    query = (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "state"))
-             .outputMode("append").trigger(processingTime="1 second").start())
-    try:
-        deadline = time.time() + 90
-        got = []
-        while time.time() < deadline and ("a", 0.0) not in got:
-            time.sleep(2)
-            got = rows(spark.read.schema(stream.schema).parquet(sink), "key", "percent")
-    finally:
-        query.stop()
-    assert got == [("a", 0.0), ("a", 80.0), ("b", 0.0), ("c", 60.0)]
-
-
 def test_only_changed_snapshots_are_published(spark, tmp_path):
     path = str(tmp_path / "published")
 
