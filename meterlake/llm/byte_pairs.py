@@ -93,13 +93,34 @@ def stand_ins() -> dict[int, str]:
     return {ord(c): theirs.get(c, "\ue000") for c in {*found, *theirs} if found.get(c) != theirs.get(c)}
 
 
-def matches(text: str, cut) -> list[str]:
-    """The matches of the compiled pattern ``cut``, by the character classes of ``tiktoken``."""
-    if WIDE.search(text):
-        alike = text.translate(stand_ins())
-        if alike != text:
-            return [text[m.start():m.end()] for m in cut.finditer(alike)]
-    return cut.findall(text)
+@cache
+def patterns(pattern: str):
+    """The compiled pattern, and one for texts of the first 256 characters with its classes spelt out, which is faster."""
+    import regex
+
+    cut = regex.compile(pattern)
+    sets = {kind: "".join(re.escape(chr(c)) for c in range(256) if regex.match(kind, chr(c))) for kind in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside, spelt = [], False, True
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.S):
+        kind = sets.get(part)
+        if part in "[]":
+            inside = part == "["
+        elif kind is not None:
+            part = kind if inside else f"[{kind}]"
+        elif part == r"\S" and not inside:
+            part = f"[^{sets[chr(92) + 's']}]"
+        spelt &= not part.startswith((r"\p", r"\P", r"\S", r"\w", r"\W", r"\d", r"\D", r"\b", r"\B"))
+        out.append(part)
+    return cut, re.compile("".join(out)) if spelt else cut
+
+
+def matches(text: str, pattern: str) -> list[str]:
+    """The matches of the pattern, by the character classes of ``tiktoken``."""
+    cut, narrow = patterns(pattern)
+    if not WIDE.search(text):
+        return narrow.findall(text)
+    alike = text.translate(stand_ins())
+    return cut.findall(text) if alike == text else [text[m.start():m.end()] for m in cut.finditer(alike)]
 
 
 def merge_long(word: bytes, ranks: Ranks) -> list[int]:
@@ -251,11 +272,9 @@ def slices(texts: list[str | None]) -> Iterator[list[str]]:
 
 def encode_texts(texts: list[str | None], path: str, pattern: str) -> Iterator[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers."""
-    import regex
-
-    cut, ranks, known = regex.compile(pattern), ranks_of(path), remembered(path)
+    ranks, known = ranks_of(path), remembered(path)
     for part in slices(texts):
-        pieces = [matches(text, cut) for text in part]
+        pieces = [matches(text, pattern) for text in part]
         new = list(set().union(*pieces) - known.keys())
         if len(known) + len(new) > REMEMBERED:
             known.clear()
@@ -308,11 +327,17 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str | Non
     own_path = path or public_ranks()[0]
 
     def make(column: pa.Array) -> pa.Array:
-        tokens = dict(enumerate(ranks_of(own_path).tokens))
-        out = []
-        for found in column.to_pylist():
-            parts = None if found is None else [tokens.get(i) for i in found]
-            out.append(None if parts is None or None in parts else b"".join(parts))
+        ranks = ranks_of(own_path)
+        found = column.flatten().cast(pa.int64()).fill_null(-1).to_numpy()
+        held = np.array([t is not None for t in ranks.tokens])
+        known = (found >= 0) & (found < ranks.size)
+        known[known] = held[found[known]]
+        bad = np.concatenate([[0], np.cumsum(~known)])
+        out, start, token = [], 0, ranks.tokens.__getitem__
+        for n in column.value_lengths().to_pylist():
+            end = start + (n or 0)
+            out.append(None if n is None or bad[end] > bad[start] else b"".join(map(token, found[start:end].tolist())))
+            start = end
         return pa.array(out, pa.binary())
 
     return added(df, ids, to, T.BinaryType(), make)
