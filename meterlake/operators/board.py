@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import TOKEN_COLUMNS, total_tokens
+from ..session import materialize
 from .ordered import previous, rank_desc
 from .reports import as_day, day_series, tokens_sum
 
@@ -110,7 +111,7 @@ def rank_all(df: DataFrame, today: Column | date | str, metric: str = "tokens")
     source = total_tokens() if metric == "tokens" else F.col("cost_micro")
     day = as_day(today)
     windows = {"all_time": F.lit(True), "weekly": F.col("date").between(F.date_sub(day, 6), day), "daily": F.col("date") == day}
-    totals = df.groupBy("handle").agg(*[F.sum(F.when(test, source).otherwise(0)).alias(f"{n}_{value}") for n, test in windows.items()])
+    totals = materialize(df.groupBy("handle").agg(*[F.sum(F.when(test, source).otherwise(0)).alias(f"{n}_{value}") for n, test in windows.items()]), "totals")
     out = totals
     for name in windows:
         used = totals.filter(F.col(f"{name}_{value}") > 0).select("handle", F.col(f"{name}_{value}").alias("v"))
@@ -141,6 +142,7 @@ def context_rows(board: DataFrame, handle: str, n: int = 5) -> DataFrame:
     rest = [c for c in board.columns]
     ranked = board.groupBy(F.lower("handle").alias("__id")).agg(
         F.min_by(F.struct(*rest), F.struct("rank", "handle")).alias("r")).select("__id", "r.*")
+    ranked = materialize(ranked, "board")  # five looks at it follow
     own = ranked.filter(F.col("__id") == handle.lower()).select(F.struct("rank", "handle").alias("__at"))
     place = F.struct("rank", "handle")
     at = own.select("__at").scalar()

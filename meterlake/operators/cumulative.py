@@ -43,11 +43,10 @@ def mark_replay(tokens: DataFrame, meta: DataFrame) -> DataFrame:
     parent = tokens.select(F.col("file").alias("parent_file"), "k", F.struct(*COUNTERS).alias("p"))
     compared = child.join(parent, ["parent_file", "k"], "left")
     ends = compared.groupBy("file").agg(
-        F.min(F.when(~F.col("c").eqNullSafe(F.col("p")), F.col("k"))).alias("first_own"),
+        F.min(F.when(~F.col("c").eqNullSafe(F.col("p")), F.col("k"))).alias("first_own"), F.lit(True).alias("linked"),
     )
     return (
         tokens.join(ends, "file", "left")
-        .join(links.select("file", F.lit(True).alias("linked")), "file", "left")
         .withColumn(
             "replayed",
             F.coalesce(F.col("linked"), F.lit(False)) & (F.col("first_own").isNull() | (F.col("k") < F.col("first_own"))),

@@ -1,10 +1,10 @@
 """Greedy windows: burst coalescing and throttling.
 
 Where a window opens depends on where the one before it closed, so a frame cannot express them and a
-whole key must not sit in one task. Each key is cut into time chunks. A first pass works out, for the
-few ways a chunk can be entered, how it is left; a second pass walks the chunks of a key (their number
-follows the time range, not the rows); a third pass settles each chunk from its known entry.
-Rows are first folded to one per millisecond, which bounds a chunk by its length.
+whole key must not sit in one task. Rows are first folded to one per millisecond, and each key is cut into
+time chunks of at most ``CHUNK_ROWS`` of them. A first pass works out, for the few ways a chunk can be entered, how it
+is left. Bursts then compose these summaries in a tree, ``FAN`` neighbours at a time, until a key has few, and pass
+the entries down again; a throttle walks the chunks of a key. A last pass settles each chunk from its known entry.
 """
 
 from __future__ import annotations
@@ -15,7 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import materialize
+
 CHUNK_WINDOWS = 32
+#: Rows of a chunk, one a millisecond; a throttle's chunk holds two intervals at least.
+CHUNK_ROWS = 100_000
+#: Summaries that are composed in one task.
+FAN = 64
 NEVER = -(2**62)
 
 
@@ -47,15 +53,37 @@ def burst_exits(t: np.ndarray, delay: int) -> np.ndarray:
     return out
 
 
-def coalesce_bursts(events: DataFrame, delay_ms: int, keys: Sequence[str] = ("handle",), at: str = "at_ms") -> DataFrame:
+def through(pieces: Sequence[tuple[np.ndarray, np.ndarray]], entry: np.ndarray) -> np.ndarray:
+    """When the last window closes behind neighbouring chunks, for entries before which all is taken.
+
+    A piece (``upto``, ``leaves``) says how a chunk is left if its first event not taken is one up to ``upto``.
+    """
+    for upto, leaves in pieces:
+        place = np.searchsorted(upto, entry, side="left")
+        entry = np.where(place < len(upto), np.append(leaves, NEVER)[place], entry)
+    return entry
+
+
+def composed(pieces: Sequence[tuple[np.ndarray, np.ndarray]], latest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring chunks as one, for entries up to ``latest``."""
+    upto = np.concatenate([u for u, _ in pieces])
+    upto = upto[: int(np.searchsorted(upto, latest, side="right")) + 1]
+    leaves = through(pieces, upto)
+    keep = np.append(leaves[1:] != leaves[:-1], True)
+    return upto[keep], leaves[keep]
+
+
+def coalesce_bursts(events: DataFrame, delay_ms: int, keys: Sequence[str] = ("handle",), at: str = "at_ms",
+                    chunk_rows: int = CHUNK_ROWS, fan: int = FAN) -> DataFrame:
     """Bursts of events: a window opens at the first event and takes every event before its end.
 
     Result: (keys, opened_ms, events). The delay counts from the first event and is never extended.
     """
     keys = list(keys)
-    width = delay_ms * CHUNK_WINDOWS
+    width = min(delay_ms * CHUNK_WINDOWS, chunk_rows)
     moments = events.groupBy(*keys, F.col(at).alias("t")).agg(F.count(F.lit(1)).alias("n")).withColumn(
         "chunk", F.floor(F.col("t") / width).cast("long"))
+    summary = _schema(moments, keys, "node long, upto array<long>, leaves array<long>")
 
     def leave(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["t"].to_numpy())
@@ -64,22 +92,39 @@ def coalesce_bursts(events: DataFrame, delay_ms: int, keys: Sequence[str] = ("ha
         last = int(np.searchsorted(t, pdf["chunk"].iat[0] * width + delay_ms, side="right"))
         t, exits = t[: last + 1], exits[: last + 1]
         keep = np.append(exits[1:] != exits[:-1], True)
-        row = _repeat(pdf, keys, 1)
-        return pd.DataFrame({**row, "chunk": [pdf["chunk"].iat[0]], "upto": [t[keep].tolist()], "leaves": [exits[keep].tolist()]})
-
-    borders = moments.groupBy(*keys, "chunk").applyInPandas(leave, _schema(moments, keys, "chunk long, upto array<long>, leaves array<long>"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        entry, entries = NEVER, []
-        for upto, leaves in zip(pdf["upto"], pdf["leaves"]):
-            entries.append(entry)
-            place = int(np.searchsorted(np.asarray(upto), entry, side="left"))
-            if place < len(leaves):
-                entry = int(leaves[place])
-        return pd.DataFrame({**_repeat(pdf, keys), "chunk": pdf["chunk"].tolist(), "entry": entries})
-
-    entered = borders.groupBy(*keys).applyInPandas(walk, _schema(moments, keys, "chunk long, entry long"))
+        return pd.DataFrame({**_repeat(pdf, keys, 1), "node": [pdf["chunk"].iat[0]], "upto": [t[keep].tolist()], "leaves": [exits[keep].tolist()]})
+
+    def pieces(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(np.asarray(u), np.asarray(v)) for u, v in zip(pdf["upto"], pdf["leaves"])]
+
+    def compose(size: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("node")
+            node = int(pdf["node"].iat[0]) // fan
+            upto, leaves = composed(pieces(pdf), node * size + delay_ms)
+            return pd.DataFrame({**_repeat(pdf, keys, 1), "node": [node], "upto": [upto.tolist()], "leaves": [leaves.tolist()]})
+        return run
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The entries of neighbours, the first of which is entered with ``entry``."""
+        pdf = pdf.sort_values("node")
+        entry, entries = np.array([pdf["entry"].iat[0]]), []
+        for piece in pieces(pdf):
+            entries.append(int(entry[0]))
+            entry = through([piece], entry)
+        return pd.DataFrame({**_repeat(pdf, keys), "node": pdf["node"].tolist(), "entry": entries})
+
+    above = lambda column: F.floor(F.col(column) / fan).cast("long")
+    levels, size = [materialize(moments.groupBy(*keys, "chunk").applyInPandas(leave, summary), "bursts")], width
+    while levels[-1].groupBy(*keys).count().filter(F.col("count") > fan).limit(1).count():
+        size *= fan
+        levels.append(materialize(levels[-1].groupBy(*keys, above("node").alias("__above")).applyInPandas(compose(size), summary), "bursts"))
+    entry = _schema(moments, keys, "node long, entry long")
+    entered = levels[-1].withColumn("entry", F.lit(NEVER)).groupBy(*keys).applyInPandas(enter, entry)
+    for level in levels[-2::-1]:
+        parents = entered.withColumnRenamed("node", "__above")
+        entered = level.withColumn("__above", above("node")).join(parents, [*keys, "__above"]).groupBy(*keys, "__above").applyInPandas(enter, entry)
+    entered = entered.withColumnRenamed("node", "chunk")
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -216,7 +261,7 @@ def throttle(observations: DataFrame, interval_ms: int, keys: Sequence[str] = ("
     Result: (keys, at_ms, tokens).
     """
     keys = list(keys)
-    width = interval_ms * CHUNK_WINDOWS
+    width = interval_ms * max(2, min(CHUNK_WINDOWS, CHUNK_ROWS // interval_ms))
     moments = observations.filter("tokens IS NOT NULL").groupBy(*keys, F.col("at_ms").alias("t")).agg(
         F.greatest(F.max_by("tokens", "id"), F.lit(0)).cast("long").alias("v")).withColumn("chunk", F.floor(F.col("t") / width).cast("long"))
     parts = ("at", "value", "due", "synced", "since", "leap", "to", "late_at", "late")

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import TOKEN_COLUMNS, total_tokens
+from ..session import materialize
 
 DAILY_KEY = ("handle", "date", "tool", "model", "origin")
 
@@ -108,17 +109,24 @@ def correctable(rows: DataFrame, tool: str | None) -> Column:
     return holds
 
 
-def differing_scopes(left: DataFrame, right: DataFrame, either: bool = False) -> DataFrame:
-    """(handle, date) of ``left``, or with ``either`` of one of both, whose model rows differ from ``right``.
+def compared_scopes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(handle, date, in_left, in_right, equal) of all scopes of both sides, by digests of their model rows.
 
-    Rows meet by full outer join on the model, so no day is gathered into one array.
+    A digest is the xor of two independent 64-bit hashes of each row, so in any order; what both sides have falls out. One
+    pass over the rows of both, and no day is gathered into one array.
     """
-    a = _scope_rows(left).select("handle", "date", "model", F.struct(*TOKEN_COLUMNS).alias("l"))
-    b = _scope_rows(right).select("handle", "date", "model", F.struct(*TOKEN_COLUMNS).alias("r"))
-    met = a.join(b, ["handle", "date", "model"], "full_outer")
-    return met.groupBy("handle", "date").agg(
-        F.bool_or(F.col("l").isNotNull()).alias("known"), F.bool_or(~F.col("l").eqNullSafe(F.col("r"))).alias("differs")
-    ).filter("differs" if either else "known AND differs").select("handle", "date")
+    columns = ["handle", "date", "model", *TOKEN_COLUMNS]
+    both = left.select(*columns, F.lit(1).alias("side")).unionByName(right.select(*columns, F.lit(-1).alias("side")))
+    rows = both.groupBy("handle", "date", "model", "side").agg(*[F.sum(c).alias(c) for c in TOKEN_COLUMNS])
+    content = ["model", *TOKEN_COLUMNS]
+    return rows.groupBy("handle", "date").agg(
+        (F.max("side") == 1).alias("in_left"), (F.min("side") == -1).alias("in_right"),
+        ((F.bit_xor(F.xxhash64(*content)) == 0) & (F.bit_xor(F.xxhash64(F.lit(1), *content)) == 0) & (F.sum("side") == 0)).alias("equal"))
+
+
+def differing_scopes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(handle, date) of ``left`` whose model rows differ from ``right``."""
+    return compared_scopes(left, right).filter("in_left AND NOT equal").select("handle", "date")
 
 
 def tombstones(candidates: DataFrame, corrected: DataFrame, run_status: DataFrame, max_dates: int | None = None) -> DataFrame:
@@ -178,10 +186,8 @@ def apply_correction(stored: DataFrame, prior: DataFrame, corrected: DataFrame,
     stored = stored.withColumn(own, correctable(stored, tool))
     prior, corrected = (df.filter(correctable(df, tool)) for df in (prior, corrected))
     single = devices.filter("confirmed").groupBy("handle").agg(F.count_distinct("device_id").alias("n")).filter("n = 1")
-    scopes = prior.select("handle", "date").distinct()
-    of_scope = stored.filter(own).join(scopes, ["handle", "date"], "left_semi")
-    changed = differing_scopes(of_scope, prior, either=True)
-    accepted = scopes.join(changed, ["handle", "date"], "left_anti").join(single, "handle", "left_semi")
+    proved = compared_scopes(prior, stored.filter(own)).filter("in_left AND equal").select("handle", "date")
+    accepted = materialize(proved.join(single, "handle", "left_semi"), "accepted")
     kept = stored.join(accepted.withColumn(own, F.lit(True)), ["handle", "date", own], "left_anti").drop(own).select(*[c for c in stored.columns if c != own])
     fresh = corrected.join(accepted, ["handle", "date"], "left_semi")
     return kept.unionByName(fresh, allowMissingColumns=True)

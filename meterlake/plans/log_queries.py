@@ -14,6 +14,7 @@ from ..operators.ordered import Scan, scan
 from ..operators.pricing import resolve_prices
 from ..operators.reports import cost_per_message, subagent_share
 from ..operators.usage import daily_usage, generation_daily, page_daily, rollout_daily, task_daily
+from ..session import materialize
 from ..sources.devdata import parse_generations
 from ..sources.limit_samples import parse_status, parse_usage_limits
 from ..sources.lines import parse_lines
@@ -296,7 +297,7 @@ def _forked(spark: SparkSession, sf_dir: str):
     own = F.greatest(F.col("k") - 40, F.lit(0)) * 7
     forks = base.filter((account % 3 == 0) | (account % 10 == 1)).withColumn("file", F.concat(F.lit("c"), "handle")).withColumn(
         "input", F.col("input") + own)
-    tokens = base.unionByName(forks)
+    tokens = materialize(base.unionByName(forks), "forked")
     meta = tokens.select("file", "handle").distinct().select(
         "file", F.col("file").alias("session_id"),
         F.when(F.col("file").startswith("c"), F.when(account % 3 == 0, F.concat(F.lit("p"), "handle")).otherwise(F.lit("gone"))).alias("parent_id"),

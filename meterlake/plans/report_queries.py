@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import share_of, total_tokens
@@ -16,6 +18,7 @@ from ..operators.reports import (attach_labels, day_series, digest, hourly_24, i
                                  summary, summary_by_tool, suppress_small, token_mix, tools_found, top_cost_sessions,
                                  top_models, top_models_today, top_sessions_today, totals_by, trend_cells, with_share)
 from ..operators.usage import hour_blocks
+from ..session import materialize
 from ..sources.transcripts import session_labels
 from .adapter import (ACCOUNTS_SQL, DAILY_SQL, MEMBERSHIP_SQL, NOW, SUMS_SQL, TODAY, TOTAL_SQL, USAGE_SQL, accounts, daily,
                       load, membership, now, query, usage)
@@ -25,6 +28,10 @@ WEEK = "2024-01-24"
 FORTNIGHT = "2024-01-17"
 
 
+def _days_ago(days: int) -> str:
+    return str(date.fromisoformat(TODAY) - timedelta(days=days))
+
+
 def _ppm(column: str):
     """A share as whole parts per million, comparable across engines."""
     return F.floor(F.col(column) * 1e6 + 1e-6).cast("long")
@@ -91,7 +98,7 @@ def day_series_14(spark, sf):
 
 @query("day_series_60", _series_sql(60))
 def day_series_60(spark, sf):
-    return day_series(daily(spark, sf), 60, TODAY)
+    return day_series(daily(spark, sf, _days_ago(59)), 60, TODAY)
 
 
 @query("top_models_today", f"""WITH {DAILY_SQL}, s AS (SELECT handle, model, CAST(sum(tokens) AS BIGINT) AS tokens FROM daily WHERE date = {_DAY} GROUP BY ALL)
@@ -186,14 +193,15 @@ SELECT handle, rank, pr AS previous_rank, CASE WHEN pr IS NULL THEN 'new' WHEN p
   coalesce(abs(pr - rank), 0) AS places FROM n LEFT JOIN s USING (handle)""")
 def rank_movement_query(spark, sf):
     """Boards of three earlier moments as snapshots; the newest one old enough is compared."""
-    from ..operators.board import per_account
-
-    d = daily(spark, sf)
-    current = rank_desc(per_account(d), "tokens")
+    days = ("2024-01-10", "2024-01-20", "2024-01-29")
+    # one fold for the board and all its snapshots; an account without usage until then has no place in one
+    until = [F.sum(F.when(F.col("date") <= F.lit(day).cast("date"), total_tokens())).alias(day) for day in days]
+    totals = materialize(daily(spark, sf).groupBy("handle").agg(F.sum(total_tokens()).alias("tokens"), *until), "totals")
+    current = rank_desc(totals.select("handle", "tokens"), "tokens")
     snapshots = None
-    for day, hour in (("2024-01-10", 3), ("2024-01-20", 3), ("2024-01-29", 3)):
-        board = rank_desc(per_account(d.filter(F.col("date") <= F.lit(day).cast("date"))), "tokens").select(
-            F.to_timestamp(F.lit(f"{day} {hour:02d}:00:00")).alias("bucket"), "handle", "rank")
+    for day in days:
+        known = totals.filter(F.col(f"`{day}`").isNotNull()).select("handle", F.col(f"`{day}`").alias("tokens"))
+        board = rank_desc(known, "tokens").select(F.to_timestamp(F.lit(f"{day} 03:00:00")).alias("bucket"), "handle", "rank")
         snapshots = board if snapshots is None else snapshots.unionByName(board)
     return rank_movement(current, snapshots, 48, now()).drop("compared_at")
 
@@ -206,7 +214,8 @@ SELECT rank, handle, tokens FROM p ORDER BY pr LIMIT 7"""
 
 
 def _context(spark, sf, who):
-    board = rank_desc(daily(spark, sf).groupBy("handle").agg(F.sum(total_tokens()).alias("tokens")), "tokens")
+    totals = materialize(daily(spark, sf).groupBy("handle").agg(F.sum(total_tokens()).alias("tokens")), "totals")
+    board = rank_desc(totals, "tokens")
     return context_rows(board.select("rank", "handle", "tokens"), who, 7)
 
 
@@ -305,7 +314,7 @@ def pace_query(spark, sf):
   (SELECT date_trunc('hour', ts) AS ts, sum(tokens) AS tokens, floor((sum(cost_micro) + 50) / 100) * 100 AS c FROM priced WHERE date = {_DAY} GROUP BY 1) GROUP BY 1)
 SELECT CAST(h AS INTEGER) AS hour, coalesce(tokens, 0) AS tokens, CAST(coalesce(c, 0) AS BIGINT) AS cost_micro FROM range(24) r(h) LEFT JOIN s ON h = hour""")
 def hourly_24_query(spark, sf):
-    return hourly_24(hour_blocks(priced(spark, sf)), TODAY)
+    return hourly_24(hour_blocks(priced(spark, sf, TODAY)), TODAY)
 
 
 @query("org_analytics", f"""WITH {DAILY_SQL}, {MEMBERSHIP_SQL}, p AS (SELECT handle, sum(tokens) AS tokens, sum(cost_micro) AS cost_micro FROM daily GROUP BY handle)
@@ -321,7 +330,7 @@ def org_analytics_query(spark, sf):
 s AS (SELECT org, date, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost_micro) AS BIGINT) AS cost_micro FROM daily JOIN membership USING (handle) GROUP BY ALL)
 SELECT org, date, coalesce(tokens, 0) AS tokens, coalesce(cost_micro, 0) AS cost_micro FROM spine LEFT JOIN s USING (org, date)""")
 def org_trend_query(spark, sf):
-    return org_trend(daily(spark, sf), membership(spark, sf), TODAY)
+    return org_trend(daily(spark, sf, _days_ago(29)), membership(spark, sf), TODAY)
 
 
 @query("org_top_members", f"""WITH {DAILY_SQL}, {MEMBERSHIP_SQL}, s AS (SELECT org, handle AS name, CAST(sum(tokens) AS BIGINT) AS tokens FROM daily JOIN membership USING (handle) GROUP BY ALL)

@@ -9,6 +9,7 @@ from ..operators.integrity import moderation_rollup, request_checks, request_den
 from ..operators.reconcile import (apply_correction, changed_scopes, correction_proof, merge_rollup, reconcile_agent,
                                    reconcile_requests, restate_days, tombstones, upsert_daily)
 from ..operators.reports import latest_snapshots
+from ..session import materialize
 from ..sources.manifest import changed_files, deleted_files, refresh_rows
 from ..sources.paged import complete_batches
 from ..sources.prices import active_price_dim
@@ -111,7 +112,7 @@ changed AS (SELECT * FROM tomb UNION SELECT * FROM diff)"""
 
 
 def _scopes(spark, sf):
-    legacy = daily(spark, sf).groupBy("handle", "date", "model").agg(*[F.sum(c).alias(c) for c in TOKEN_COLUMNS])
+    legacy = materialize(daily(spark, sf).groupBy("handle", "date", "model").agg(*[F.sum(c).alias(c) for c in TOKEN_COLUMNS]), "legacy")
     lower = (F.day("date") % 4 == 0) & (F.col("model") == "gpt-5")
     corrected = legacy.filter(F.day("date") % 5 != 0).withColumn(
         "input_tokens", F.when(lower, F.col("input_tokens") - 1).otherwise(F.col("input_tokens")))
@@ -155,8 +156,8 @@ UNION ALL SELECT handle, date, model, input_tokens FROM corrected WHERE (handle,
 def apply_correction_query(spark, sf):
     """Stored rows are the legacy ones. Proofs of the eighth are out of date; odd accounts have a second device."""
     legacy, corrected, dead = _scopes(spark, sf)
-    prior = legacy.join(changed_scopes(legacy, corrected, dead), ["handle", "date"], "left_semi").withColumn(
-        "input_tokens", F.when(F.day("date") == 8, F.col("input_tokens") + 1).otherwise(F.col("input_tokens")))
+    prior = materialize(legacy.join(changed_scopes(legacy, corrected, dead), ["handle", "date"], "left_semi").withColumn(
+        "input_tokens", F.when(F.day("date") == 8, F.col("input_tokens") + 1).otherwise(F.col("input_tokens"))), "prior")
     u = usage(spark, sf).select("handle").distinct()
     devices = u.select("handle", F.explode(F.when(_account() % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))).alias("device_id"),
                        F.lit(True).alias("confirmed"))

@@ -96,8 +96,8 @@ PRICED_SQL = f"""{USAGE_SQL},
 priced AS (SELECT u.*, {TOTAL_SQL} AS tokens, {COST_SQL} AS cost_micro FROM usage u LEFT JOIN rates USING (model))"""
 
 
-def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = usage(spark, sf_dir)
+def priced(spark: SparkSession, sf_dir: str, since: str | None = None) -> DataFrame:
+    u = usage(spark, sf_dir, since)
     return attach_cost(u, resolve_prices(u, price_dim(spark)), raw=True)
 
 
@@ -379,15 +379,15 @@ def plausible_instants(spark, sf):
 
 
 @query("select_source", f"""WITH {DAILY_SQL},
-n AS (SELECT handle, tool, date, model, tokens FROM daily WHERE tool IN ('click', 'view') AND CAST(handle AS BIGINT) % 2 = 0),
-f AS (SELECT handle, tool, date, model, tokens + 1 AS tokens FROM daily WHERE tool IN ('click', 'view', 'error')),
+n AS (SELECT handle, tool, date, model, tokens FROM daily WHERE (CAST(handle AS BIGINT) + length(tool)) % 2 = 0),
+f AS (SELECT handle, tool, date, model, tokens + 1 AS tokens FROM daily),
 u AS (SELECT * FROM n WHERE tool <> 'view')
 SELECT * FROM u UNION ALL SELECT * FROM f WHERE (handle, tool) NOT IN (SELECT handle, tool FROM u)""")
 def select_source_query(spark, sf):
-    """Native rows of even accounts, fallback rows of all; ``view`` stands for the replay-aware source."""
+    """Every tool has native rows for about half of the accounts and fallback rows for all; ``view`` stands for the replay-aware source."""
     d = daily(spark, sf).select("handle", "tool", "date", "model", total_tokens().alias("tokens"))
-    native = d.filter("tool IN ('click', 'view') AND cast(handle AS bigint) % 2 = 0")
-    fallback = d.filter("tool IN ('click', 'view', 'error')").withColumn("tokens", F.col("tokens") + 1)
+    native = d.filter("(cast(handle AS bigint) + length(tool)) % 2 = 0")
+    fallback = d.withColumn("tokens", F.col("tokens") + 1)
     return select_source(native, fallback, replay_source="view")
 
 

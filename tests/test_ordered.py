@@ -9,7 +9,7 @@ from pyspark.sql import Window as W, functions as F
 
 from conftest import rows
 from meterlake.operators.dedupe import dedupe_requests, dedupe_sessions, merge_blocks, merge_daily
-from meterlake.operators.greedy import NEVER, coalesce_bursts, throttle, throttle_exit, throttle_run, throttle_summary
+from meterlake.operators.greedy import NEVER, burst_exits, coalesce_bursts, composed, through, throttle, throttle_exit, throttle_run, throttle_summary
 from meterlake.operators.ordered import Scan, _band, earliest_within, rank_desc, scan
 from meterlake.operators.reports import top_per_group
 
@@ -70,6 +70,41 @@ def test_bursts_equal_a_sequential_walk(spark, times, delay):
     assert rows(coalesce_bursts(df, delay)) == sorted(bursts(times, delay), key=lambda r: tuple((False, str(x)) for x in r))
 
 
+@quick
+@given(st.lists(st.integers(0, 3000), min_size=1, max_size=120, unique=True), st.integers(1, 400), st.integers(1, 90), st.integers(2, 5))
+def test_burst_summaries_compose(times, delay, width, fan):
+    """Chunks narrower than the delay, composed in a tree, leave as a sequential walk does, for every way to enter."""
+    times = sorted(times)
+    level = {}
+    for chunk in sorted({t // width for t in times}):
+        t = np.array([x for x in times if x // width == chunk])
+        level[chunk] = (t, burst_exits(t, delay))
+    size = width
+    while len(level) > 1:
+        size *= fan
+        groups = {}
+        for node in sorted(level):
+            groups.setdefault(node // fan, []).append(level[node])
+        level = {node: composed(parts, node * size + delay) for node, parts in groups.items()}
+        for node, (upto, leaves) in level.items():
+            mine = [x for x in times if node * size <= x < (node + 1) * size]
+            for entry in range(node * size, node * size + delay + 1):
+                end = entry
+                for x in mine:
+                    end = x + delay if x >= end else end
+                assert through([(upto, leaves)], np.array([entry]))[0] == end
+
+
+def test_bursts_of_a_busy_key_through_several_levels(spark):
+    rng = np.random.default_rng(4)
+    times = np.cumsum(rng.integers(1, 9, 6000)).tolist()
+    df = spark.createDataFrame([("a", t) for t in times] + [("b", t) for t in times[::50]], "handle string, at_ms long")
+    for delay in (37, 900):  # one longer than a chunk
+        got = coalesce_bursts(df, delay, chunk_rows=200, fan=3)
+        want = [("b", *r[1:]) for r in bursts(times[::50], delay)] + bursts(times, delay)
+        assert rows(got) == sorted(want, key=lambda r: tuple((False, str(x)) for x in r))
+
+
 def throttled(data, interval):
     """The throttle, asked each millisecond."""
     out, last, synced, pending, seen = [], None, None, 0, sorted(data)
