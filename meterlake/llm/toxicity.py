@@ -130,13 +130,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, max_stems: i
 
     A stem is an insult if it occurs in ``support`` unlike toxic documents (near copies share the least hash of their
     words and count once) and the lower bound of its log odds against clean ones is above 1.2. At most ``max_stems`` are kept.
+    A document with several labels is toxic if one says so, and one with several rows counts by its highest score where the
+    slope is fitted. Without labels of both kinds nothing is learned, and every score is that of the untrained grammar.
     """
     known = labels.where(remainder(F.col("doc_id"), 5) != 0).where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(
         F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     known = materialize(known, "labels")
     share = min(1.0, fit_rows / max(known.count(), 1))
     some = known.where(F.pmod(F.xxhash64("label_id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = materialize(docs.join(F.broadcast(some), docs["doc_id"] == F.col("label_id")).select("text", "toxic"), "labelled")
+    texts = docs.select(F.col("doc_id").alias("label_id"), "text")  # other columns may have any name
+    rows = materialize(texts.join(F.broadcast(some), "label_id"), "labelled")
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     if not n_toxic or not n_clean:
@@ -170,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, max_stems: i
         if bound > 1.2:
             stems[stem] = bound
     scorer = Scorer(dict(sorted(stems.items(), key=lambda x: (-x[1], x[0]))[:max_stems]))
-    raw = map_column(rows, "text", "raw double", lambda texts: [(scorer.raw(t),) for t in texts], ["toxic"]).collect()
+    raw = map_column(rows, "text", "raw double", lambda texts: [(scorer.raw(t),) for t in texts], ["label_id", "toxic"])
+    raw = raw.groupBy("label_id", "toxic").agg(F.max("raw").alias("raw")).collect()  # a row a label of the sample
     scorer.slope, scorer.bias = logistic(np.array([r.raw for r in raw]), np.array([float(r.toxic == 1) for r in raw]))
     return scorer
 
@@ -184,6 +188,10 @@ def scored(docs: DataFrame, scorer: Scorer, text: str = "text", carry: list[str]
 
 
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row, repeated ones too; a null doc_id counts as the empty text.
+
+    Long texts are scored whole. Other columns are not read, whatever their names.
+    """
     return scored(docs, fit(docs, labels), carry=["doc_id"]).select(
         "row.doc_id", (remainder(F.col("row.doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
