@@ -1,11 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that each block element is a line. The text lengths of neighbouring lines are summed over a
-sliding window; where the sum surges above the page's level a run of content begins, where it dives to nothing it
-ends. Lines outside the page's main element or inside menus, headers, footers, asides, notices, adverts, forms,
-scripts, styles and comments have no length, so they are the valleys between the runs. Inside the main element a class
-or id marks an element as such only if its text looks like it; short runs count as content if they lie in the element
-that encloses the longest one.
+sliding window; where the sum surges above nothing a run of content begins, where it dives to nothing it ends. Lines of
+menus, headers, footers, asides, notices, adverts, forms, scripts, styles and comments have no length, so they are the
+valleys between the runs; where a page has an ``article`` or ``main`` element, it bounds the runs. Of several runs those
+count that are about as heavy as the longest one or lie in the element that encloses it.
 """
 
 from __future__ import annotations
@@ -22,39 +21,37 @@ from .common import map_column
 BLOCKS = frozenset("address article blockquote body br dd div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section table tbody td tfoot th thead tr ul".split())
 SKIPPED = frozenset("script style noscript template nav header footer aside form button select textarea iframe object svg canvas dialog head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOISE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|menu|navbar|nav|breadcrumbs?|"
-                   r"sidebar|widget|related|share|sharing|social|comments?|replies|disqus|newsletter|subscribe|signup|footer|header|masthead)(?:$|[\s_-])")
+NOISE = re.compile(r"(?i)(?:^|[\s_-])(?<!has-)(?<!no-)(?<!with-)(?:ads?|adsbygoogle|advert\w*|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|menu|navbar|nav|"
+                   r"breadcrumbs?|sidebar|related|share|sharing|social|comment\w*|respond|replies|disqus|newsletter|subscribe|signup|footer)(?:$|[\s_-])")
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 WHITE = re.compile(r"\s+")
-#: Names that layouts also give to text: only links make an element of such a name noise.
-LAYOUT = re.compile(r"(?i)(?:^|[\s_-])(?:header|masthead|widget|banner|notice)(?:$|[\s_-])")
-#: Lines of fewer characters are short.
-SHORT = 80
+#: Names that layouts also give to text: an element of such a name is noise if its text is mostly links, or outside the main element.
+LAYOUT = re.compile(r"(?i)(?:^|[\s_-])(?:header|masthead|widget|banner)(?:$|[\s_-])")
 WINDOW = 3
 
 
 class Named:
-    """An element of the main element whose class or id names noise: is its text links or short lines?"""
+    """An element with a name of layouts: how much of its text is links?"""
 
-    def __init__(self, layout: bool) -> None:
-        self.layout, self.chars, self.links, self.longest, self.heads = layout, 0, 0, 0, False
+    def __init__(self) -> None:
+        self.chars = self.links = 0
 
-    def add(self, text: str, links: int, head: bool) -> None:
-        self.chars, self.links, self.longest, self.heads = self.chars + len(text), self.links + links, max(self.longest, len(text)), self.heads or head
+    def add(self, text: str, links: int) -> None:
+        self.chars, self.links = self.chars + len(text), self.links + links
 
     def noise(self) -> bool:
-        return 2 * self.links >= self.chars or not (self.layout or self.heads) and self.longest < SHORT
+        return 2 * self.links >= self.chars
 
 
 class Lines(HTMLParser):
-    """``lines``: (text, is it possible content, is it in the main element, its enclosing elements, the named ones of them) of each block, in page order."""
+    """``lines``: (text, is it possible content, its main element or 0, its enclosing elements, the named ones of them) of each block, in page order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []
+        self.open: list[tuple[str, bool, int]] = []
         self.path: list[int] = []
         self.named: list[Named | None] = []
-        self.lines: list[tuple[str, bool, bool, tuple[int, ...], tuple[Named, ...]]] = []
+        self.lines: list[tuple[str, bool, int, tuple[int, ...], tuple[Named, ...]]] = []
         self.parts: list[str] = []
         self.links = self.seen = self.mains = 0
 
@@ -62,11 +59,11 @@ class Lines(HTMLParser):
         text = WHITE.sub(" ", "".join(self.parts)).strip()
         links, self.parts, self.links = min(self.links, len(text)), [], 0
         if text:
-            noise, main = (self.open[-1][1], self.open[-1][2]) if self.open else (False, False)
+            noise, main = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
             named = tuple(n for n in self.named if n)
             if not noise:
                 for n in named:
-                    n.add(text, links, any(tag in ("h1", "h2") for tag, *_ in self.open))
+                    n.add(text, links)
             self.lines.append((text, not noise, main, tuple(self.path), named))
 
     def shut(self, k: int) -> None:
@@ -80,21 +77,19 @@ class Lines(HTMLParser):
         if tag in ("p", "li") and self.open and self.open[-1][0] == tag:
             self.shut(len(self.open) - 1)
         found = dict(attrs)
-        inside = self.open[-1][2] if self.open else False
+        inside = self.open[-1][2] if self.open else 0
         noise = (self.open[-1][1] if self.open else False) or tag in SKIPPED and not (tag == "header" and inside)
         marks = f"{found.get('class') or ''} {found.get('id') or ''}"
-        named = tag not in ("html", "body", "article", "main") and bool(NOISE.search(marks))
-        layout = named and not NOISE.search(LAYOUT.sub("  ", LAYOUT.sub("  ", marks)))
-        judged = named and (inside or layout)  # by its text, when the page is read
-        noise = noise or named and not judged or found.get("role") in NOISE_ROLES
+        whole = tag not in ("html", "body", "main") and not (tag == "article" and not inside)
+        noise = noise or whole and bool(NOISE.search(marks)) or found.get("role") in NOISE_ROLES
         noise = noise or "hidden" in found or found.get("aria-hidden") == "true"
-        main = inside or tag in ("article", "main") or found.get("role") == "main"
+        self.seen += 1
+        main = inside or (self.seen if tag in ("article", "main") or found.get("role") == "main" else 0)
         if main and not noise and not inside:
             self.mains += 1
         self.open.append((tag, noise, main))
-        self.seen += 1
         self.path.append(self.seen)
-        self.named.append(Named(layout) if judged else None)
+        self.named.append(Named() if whole and not noise and LAYOUT.search(marks) else None)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -136,10 +131,11 @@ def content_runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, in
     return runs
 
 
-def content_lines(lengths: list[int], paths: list[tuple[int, ...]]) -> list[int]:
+def content_lines(lengths: list[int], paths: list[tuple[int, ...]], mains: list[int]) -> list[int]:
     """The lines of the runs, but of one with less than a fifth of the longest run's text only those in the same container.
 
-    The container is the deepest element that encloses the blocks of all lines of the longest run.
+    The container is the main element that the longest run begins in (``mains``, 0 for none), else the deepest element that
+    encloses the blocks of all its lines.
     """
     runs = content_runs(lengths)
     weight = [sum(lengths[a:b]) for a, b in runs]
@@ -149,14 +145,16 @@ def content_lines(lengths: list[int], paths: list[tuple[int, ...]]) -> list[int]
     around = [paths[i][:-1] for i in range(a, b) if lengths[i]]
     depth = next((k for k, ids in enumerate(zip(*around)) if len(set(ids)) > 1), min(map(len, around)))
     home = around[0][:depth]
-    return [i for (a, b), w in zip(runs, weight, strict=True) for i in range(a, b) if lengths[i] and (5 * w >= max(weight) or paths[i][:depth] == home)]
+    near = lambda i: mains[i] == mains[a] if mains[a] else paths[i][:depth] == home
+    return [i for (a_, b_), w in zip(runs, weight, strict=True) for i in range(a_, b_) if lengths[i] and (5 * w >= max(weight) or near(i))]
 
 
 def main_text(html: str | None) -> str:
     """Blocks of the content runs joined by one space. Character references are decoded, white space is one space.
 
     A page with an ``article`` or ``main`` element has its content there. A null or empty page has no text. Markup that
-    is never closed reaches to the end of what encloses it.
+    is never closed reaches to the end of what encloses it. Names such as ``ad``, ``comments`` or ``notice`` mark noise
+    however much text it has; those of ``LAYOUT`` do so outside the main element, and inside it where the text is mostly links.
     """
     if not html:
         return ""
@@ -168,17 +166,18 @@ def main_text(html: str | None) -> str:
         return WHITE.sub(" ", unescape(re.sub(r"<[^>]*>", " ", html))).strip()
     page.flush()
     lines = page.lines
-    counts = [len(text) if content and (main or not page.mains) and not any(n.noise() for n in named) else 0
+    counts = [len(text) if content and (main or not page.mains) and not any(n.noise() if main else True for n in named) else 0
               for text, content, main, _, named in lines]
-    if page.mains:  # the element itself marks surge and dive
-        kept = [i for i, n in enumerate(counts) if n]
-    else:
-        kept = content_lines(counts, [path for *_, path, _ in lines])
+    kept = content_lines(counts, [path for *_, path, _ in lines], [main for _, _, main, _, _ in lines])
     return " ".join(lines[i][0] for i in kept)
 
 
 def extracted(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns ``carry``, text and n_chars (its code points). Every row is judged by its own page alone."""
+    """The columns ``carry``, text and n_chars (its code points).
+
+    Every row is judged by its own page alone: repeated rows stay, pages are read whole however long, other columns are
+    not read, and ``text`` and ``n_chars`` of the table give way.
+    """
     inputs = pages.select(*carry, pages[html].alias("markup_in"))
 
     def texts(pages: list) -> list[tuple]:

@@ -286,6 +286,18 @@ def test_toxicity_learns(spark):
     assert all(0 <= r.score < 0.5 for r in got if r.doc_id >= 1000)
 
 
+def test_toxicity_beside_clashing_columns(spark):
+    rng = random.Random(2)
+    plain = ["".join(rng.choices("klmno", k=5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(plain, k=30)) + (" zzinsult zzinsult" if i % 4 == 0 else ""), i, "x", 0.5) for i in range(200)]
+    rows += rows[:20] + [(None, None, None, None, None), (300, "word " * 20_000 + "zzinsult zzinsult", 1, "", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label_id long, toxic string, raw double")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    got = toxicity.op3(docs, labels).collect()
+    assert len(got) == len(rows) and all(r.predicted == int(r.doc_id % 4 == 0) for r in got if r.doc_id is not None)
+    assert toxicity.drop_toxic(docs, labels).columns == docs.columns
+
+
 def test_grammar_weighs_clauses():
     s = toxicity.Scorer({"idiot": 2.0})
     one = s.clause(["an", "idiot"])
@@ -357,6 +369,51 @@ def test_html_keeps_article_text():
     assert html_text.main_text(page) == f"Title Short. {long.strip()} {close.strip()}"
 
 
+LONG = "A long sentence that a reader, an advertiser or the site itself wrote beside the article, of far more than eighty characters. "
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "ad", "advertisement", "sponsored", "notice", "cookie-notice", "related", "newsletter", "share"])
+def test_html_noise_however_long(name):
+    text = "The article text. " * 20
+    article, want = f"<h1>T</h1><p>{text}</p>", f"T {text.strip()} End."
+    for inner in (f"<p>{LONG * 3}</p>", f"<h2>Head</h2><p>{LONG * 9}</p>", f"<div><div>{LONG}</div></div>"):
+        noise = f"<div class='{name}'>{inner}</div>"
+        assert html_text.main_text(f"<body><article>{article}{noise}<p>End.</p></article></body>") == want
+        assert html_text.main_text(f"<body>{noise}<div>{article}<p>End.</p></div>{noise}</body>") == want
+        assert html_text.main_text(f"<body><main>{article}<p>End.</p></main>{noise}</body>") == want
+
+
+def test_html_runs_decide_between_articles():
+    teaser = "<nav>x</nav><p>a</p>".join(["<article><p>More</p></article>"] * 2)
+    gap = "<nav>a</nav><div class='ad'>b</div><nav>c</nav><div class='ad'>d</div>"
+    page = f"<body><article><p>{LONG * 5}</p>{gap}<p>Short.</p></article>{gap}{teaser}</body>"
+    assert html_text.main_text(page) == f"{(LONG * 5).strip()} Short."
+
+
+def test_html_runs_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(500):
+        lengths = [rng.choice([0, 0, 0, 5]) for _ in range(rng.randint(0, 30))]
+        text = [i for i, n in enumerate(lengths) if n]
+        want = []  # lines with text fewer than a window apart are one run, which ends where the window is empty
+        for i in text:
+            if want and i - want[-1][-1] <= html_text.WINDOW:
+                want[-1].append(i)
+            else:
+                want.append([i])
+        got = html_text.content_runs(lengths)
+        assert [[i for i in range(a, b) if lengths[i]] for a, b in got] == want
+
+
+def test_pages_keep_repeated_rows_and_clashing_columns(spark):
+    long = f"<article>{f'<p>{LONG}</p>' * 400}</article>"
+    rows = [(1, "u", long, "clash", 7), (1, "u", long, "clash", 7), (2, None, None, None, None), (None, "u", "<p>x", "", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.op9(df).collect()), key=str)
+    text = " ".join([LONG.strip()] * 400)
+    assert got == sorted([(1, "u", text, len(text))] * 2 + [(2, None, "", 0), (None, "u", "x", 1)], key=str)
+
+
 def test_media_round_trip(docs):
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in motion_jpeg.op10(docs).collect():
