@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import TOKEN_COLUMNS, instant, local_day, round_half_up_micro, share_of, total_tokens
 from ..functions.labels import dateless_key, machine_label, model_key, request_hash, session_name, strip
+from ..session import materialize
+from .ordered import _band
 
 # row_number() <= n is cut before the shuffle by Spark itself up to this n
 PUSHED_LIMIT = 1000
-CAP_SALTS = 64
+# rows of a cut band that one task ranks, and such tasks whose best rows the next one ranks
+CUT_ROWS = 50_000
+CUT_FAN = 8
 
 
 def as_day(value: Column | date | str) -> Column:
@@ -26,25 +30,53 @@ def tokens_sum() -> Column:
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """First ``n`` rows per group in ``order``. Exact for groups of any size.
-
-    Small ``n``: Spark limits each map task before the shuffle. Large ``n``: a first pass keeps ``n`` per
-    (group, salt), so the last one sees a bounded number of rows per group.
-    """
+    """First ``n`` rows per group in ``order``, for ``n`` up to ``PUSHED_LIMIT``: Spark limits each map task before the shuffle."""
     if not groups:
         return df.orderBy(*order).limit(n)
-    if n > PUSHED_LIMIT:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(CAP_SALTS)))
-        first = F.row_number().over(W.partitionBy(*groups, "__salt").orderBy(*order))
-        df = salted.withColumn("__n", first).filter(F.col("__n") <= n).drop("__n", "__salt")
     place = F.row_number().over(W.partitionBy(*groups).orderBy(*order))
     return df.withColumn("__n", place).filter(F.col("__n") <= n).drop("__n")
 
 
+def above_cut(df: DataFrame, groups: Sequence[str], value: str, ties: Sequence[Column], n: int, rows: int = CUT_ROWS, fan: int = CUT_FAN) -> DataFrame:
+    """The ``n`` rows of each group with the largest whole number ``value``, equal ones in the order of ``ties``. Exact.
+
+    A histogram of each group over bands of values tells where its ``n``-th row lies. Rows of higher bands are taken without
+    a sort; only those of the cut band are ranked, a band of many rows in parts of about ``rows`` whose best rows meet
+    ``fan`` parts at a time. So no task grows with a group, also where many rows have the same value.
+    """
+    keys = [f"__g{i}" for i in range(len(groups))]
+    banded = df.withColumn("__band", _band(F.coalesce(value, F.lit(-(2**62))), 256))
+    down = (W.partitionBy(*groups) if groups else W).orderBy(F.desc("__band")).rowsBetween(W.unboundedPreceding, -1)
+    counts = banded.groupBy(*groups, "__band").agg(F.count(F.lit(1)).alias("__rows"))
+    # bands follow the range of the values, so a group has few
+    reached = counts.withColumn("__above", F.coalesce(F.sum("__rows").over(down), F.lit(0))).filter(F.col("__above") < n)
+    reached = materialize(reached.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col("__band").alias("__b"), "__rows", "__above"), "bands")
+    same = F.col("__band") == F.col("__b")
+    for g, k in zip(groups, keys):
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    placed = banded.join(reached, same)
+    whole = placed.filter(F.col("__above") + F.col("__rows") <= n)
+    cut = placed.filter(F.col("__above") + F.col("__rows") > n)
+    parts = F.ceil(F.col("__rows") / F.lit(rows))
+    cut = cut.withColumn("__part", F.pmod(F.xxhash64(*ties), parts))
+    most = reached.filter(F.col("__above") + F.col("__rows") > n).agg(F.max(parts)).first()[0] or 1
+    order = [F.desc(value), *ties]
+    while True:
+        best = F.row_number().over(W.partitionBy(*groups, "__part").orderBy(*order))
+        cut = cut.withColumn("__n", best).filter(F.col("__n") <= n - F.col("__above"))
+        if most <= 1:
+            return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+        most = -(-most // fan)
+        cut = cut.withColumn("__part", F.floor(F.col("__part") / fan) if most > 1 else F.lit(0).cast("long"))
+
+
 def cap_by_tokens(df: DataFrame, n: int, by: Sequence[str], ties: Sequence[str], tokens: Column | None = None) -> DataFrame:
     """The ``n`` rows with most tokens per submission; ``ties`` order equal rows."""
     ranked = df.withColumn("__tokens", total_tokens() if tokens is None else tokens)
-    return top_per_group(ranked, by, [F.desc("__tokens"), *[F.asc(c) for c in ties]], n).drop("__tokens")
+    order = [F.asc(c) for c in ties]
+    if n <= PUSHED_LIMIT:
+        return top_per_group(ranked, by, [F.desc("__tokens"), *order], n).drop("__tokens")
+    return above_cut(ranked, by, "__tokens", [F.col(c) for c in ties], n).drop("__tokens")
 
 
 def totals_by(df: DataFrame, dims: Sequence[str] = ("tool", "model", "date")) -> DataFrame:
@@ -313,7 +345,10 @@ def suppress_small(df: DataFrame, k: int, private: Column | None = None) -> Data
 
 def verify_export(requests: DataFrame, cap: int = 50_000, keys: Sequence[str] = (), tool: str = "claude") -> DataFrame:
     """The newest ``cap`` requests per upload (``keys``), content-free, with hashed ids, and whether any were cut."""
-    newest = top_per_group(requests, list(keys), [F.desc("ts"), F.asc("key")], cap)
+    if keys and cap > PUSHED_LIMIT:
+        newest = above_cut(requests.withColumn("__ts", F.unix_micros("ts")), list(keys), "__ts", [F.col("key")], cap).drop("__ts")
+    else:
+        newest = top_per_group(requests, list(keys), [F.desc("ts"), F.asc("key")], cap)
     counts = requests.groupBy(*keys).agg((F.count(F.lit(1)) > cap).alias("truncated"))
     flagged = newest.join(counts, list(keys)) if keys else newest.withColumn("truncated", counts.scalar())
     model = F.substring(strip("model"), 1, 128)

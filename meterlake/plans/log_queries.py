@@ -393,7 +393,7 @@ def task_files(spark, sf):
     docs = u.groupBy("handle", F.floor(F.col("event_id") / EVENTS_PER_DOCUMENT).alias("part")).agg(
         F.concat(F.lit("["), F.array_join(F.collect_list(message), ","), F.lit("]")).alias("value")
     ).select("handle", F.lit("cline").alias("tool"), "value")
-    requests = parse_tasks(docs, now())
+    requests = materialize(parse_tasks(docs, now()), "tasks")  # parsed once, for the models and for the rows
     return task_daily(requests, resolve_prices(requests, price_dim(spark)), ("handle",))
 
 
@@ -410,7 +410,7 @@ def generation_files(spark, sf):
     old = _json(name, model, F.col("input_tokens").alias("prompt_tokens"), F.col("output_tokens").alias("generated_tokens"),
                 F.when(e % 4 == 1, F.unix_seconds("ts")).otherwise(F.unix_millis("ts")).alias("eventTimestamp"))
     lines = u.select(F.lit("l").alias("file"), F.lit(0).alias("chunk"), e.alias("ord"), F.when(e % 2 == 0, new).otherwise(old).alias("value"))
-    g = parse_generations(lines, now())
+    g = materialize(parse_generations(lines, now()), "generations")
     return generation_daily(g, resolve_prices(g, price_dim(spark))).drop("cache_creation_tokens", "cache_read_tokens")
 
 

@@ -85,15 +85,15 @@ def passing(spark: SparkSession) -> Iterator[None]:
             drop(spark, path)
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", lasting: bool = False) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     Lineage ends there, so lost executors cost nothing; and unlike an RDD checkpoint the table keeps
-    column pruning and a known size for join planning.
+    column pruning and a known size for join planning. A ``lasting`` one stays beyond the block of ``passing``.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    if _PASSING:
+    if _PASSING and not lasting:
         _PASSING[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

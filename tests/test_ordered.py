@@ -11,7 +11,7 @@ from conftest import rows
 from meterlake.operators.dedupe import dedupe_requests, dedupe_sessions, merge_blocks, merge_daily
 from meterlake.operators.greedy import NEVER, burst_exits, coalesce_bursts, composed, through, throttle, throttle_exit, throttle_run, throttle_summary
 from meterlake.operators.ordered import Scan, _band, earliest_within, rank_desc, scan
-from meterlake.operators.reports import top_per_group
+from meterlake.operators.reports import above_cut
 
 quick = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -193,11 +193,23 @@ def test_daily_rows_and_blocks_merge(spark):
 
 def test_wide_caps_are_exact(spark):
     df = spark.range(6000).select((F.col("id") % 2).alias("g"), "id", (F.col("id") * 7919 % 6007).alias("v"))
-    kept = top_per_group(df, ["g"], [F.desc("v"), F.asc("id")], 1200)
+    kept = above_cut(df, ["g"], "v", [F.col("id")], 1200, rows=40, fan=3)
     plain = df.withColumn("n", F.row_number().over(W.partitionBy("g").orderBy(F.desc("v"), "id"))).filter("n <= 1200").drop("n")
     assert rows(kept) == rows(plain)
 
 
+def test_caps_of_a_hot_group_and_equal_values(spark):
+    """A third of all rows in one group, most of them equal, beside small groups, a NULL group and NULL values."""
+    g = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 != 1, F.concat(F.lit("g"), (F.col("id") % 40).cast("string")))
+    v = F.when(F.col("id") % 17 == 0, F.col("id") % 1000 - 300).when(F.col("id") % 11 != 0, F.lit(5)).cast("long")
+    df = spark.range(9000).select(g.alias("g"), "id", v.alias("v"))
+    for n in (50, 1500, 5000):
+        kept = above_cut(df, ["g"], "v", [F.col("id")], n, rows=100, fan=4)
+        plain = df.withColumn("n", F.row_number().over(W.partitionBy("g").orderBy(F.desc_nulls_last("v"), "id"))).filter(F.col("n") <= n).drop("n")
+        assert rows(kept) == rows(plain)
+    assert rows(above_cut(df, [], "v", [F.col("id")], 70, rows=100, fan=4)) == rows(df.orderBy(F.desc_nulls_last("v"), "id").limit(70))
+
+
 def test_rank_keeps_null_values(spark):
     df = spark.createDataFrame([("a", 5), ("b", None), ("c", 7)], "k string, v long")
     assert {(r.k, r["rank"]) for r in rank_desc(df, "v").collect()} == {("a", 2), ("b", None), ("c", 1)}
