@@ -10,7 +10,7 @@ from ..operators.reconcile import (apply_correction, changed_scopes, correction_
                                    reconcile_requests, restate_days, tombstones, upsert_daily)
 from ..operators.reports import latest_snapshots
 from ..session import materialize
-from ..sources.manifest import changed_files, deleted_files, refresh_rows
+from ..sources.manifest import changed_files, deleted_files, newest_files, refresh_rows
 from ..sources.paged import complete_batches
 from ..sources.prices import active_price_dim
 from .adapter import DAILY_SQL, NOW, SUMS_SQL, TODAY, TOTAL_SQL, USAGE_SQL, daily, load, now, price_dim, query, usage
@@ -217,6 +217,16 @@ def changed_files_query(spark, sf):
     return changed_files(_listing(spark, sf, grown=True), manifest, 2).select("file")
 
 
+@query("newest_files", f"""{_FILES_SQL}, old AS (SELECT file, size, modified FROM l WHERE modified > TIMESTAMP '2024-01-20 12:00:00'),
+n AS (SELECT file, size, modified FROM old ORDER BY modified DESC, file LIMIT 20)
+SELECT file, CAST(size AS BIGINT) AS size, file IN (SELECT file FROM n) AS among_newest FROM old""")
+def newest_files_query(spark, sf):
+    """Files of the last days, and whether each is among the newest twenty."""
+    recent = newest_files(_listing(spark, sf, grown=True), modified_after="2024-01-20 12:00:00")
+    top = newest_files(recent, 20).select("file", F.lit(True).alias("among"))
+    return recent.join(top, "file", "left").select("file", "size", F.coalesce("among", F.lit(False)).alias("among_newest"))
+
+
 @query("deleted_files", f"""{_FILES_SQL} SELECT file FROM m WHERE file NOT IN (SELECT file FROM l)""")
 def deleted_files_query(spark, sf):
     manifest = _listing(spark, sf).withColumn("parser_version", F.lit(2))

@@ -26,6 +26,16 @@ def changed_files(listing: DataFrame, manifest: DataFrame, version: int, max_byt
     return listing.join(known, ["file", "size", "modified"], "left_anti")
 
 
+def newest_files(listing: DataFrame, newest: int | None = None, modified_after: str | None = None) -> DataFrame:
+    """Files modified after an instant, or the ``newest`` ones, as a listing: of equal times the first names.
+
+    Spark needs neither limit for memory; they keep a scan to what a reader of recent logs wants.
+    """
+    if modified_after is not None:
+        listing = listing.filter(F.col("modified") > F.lit(modified_after).cast("timestamp"))
+    return listing if newest is None else listing.orderBy(F.desc("modified"), "file").limit(newest)
+
+
 def deleted_files(listing: DataFrame, manifest: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Files whose stored rows must go: no longer listed, or now above the size limit."""
     if max_bytes is not None:
