@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterlake.session import materialize
 
@@ -134,7 +135,7 @@ def pack(items: DataFrame, size: int = SIZE, group_rows: int = 8192, rounds: int
     Each round deals what is not settled to about one partition for ``group_rows`` items, by a hash of item and round;
     the last round settles everything.
     """
-    schema = items.schema
+    schema = T.StructType([*items.schema.fields])  # the frame's own must stay as it is
     for name, kind in (("part", "long"), ("bin", "long"), ("offset", "long"), ("settled", "boolean")):
         schema = schema.add(name, kind)
     done, left, count, used = None, items, items.count(), 0
