@@ -74,6 +74,8 @@ def test_the_clock_alone_shows_a_reset(spark, tmp_path):
     # a sample that comes late, but was taken before the reset and lies beyond another hour, takes the zero back
     tables.add(spark.createDataFrame([("a", BASE + timedelta(hours=4), 2, 90.0, reset + timedelta(hours=5))], SAMPLE), 1)
     assert rows(tables.limits(reset), "key", "percent") == [("a", 80.0), ("a", 90.0), ("b", 0.0), ("c", 60.0)]
+    tables.forget_before(int((BASE + timedelta(days=3)).timestamp() // 3600))
+    assert not any(n.startswith("day=") for n in names(spark, str(tmp_path / "limits/samples"))) and tables.limits(reset).count() == 4
 
 
 def test_limit_stream_runs_from_any_folder(tmp_path):
