@@ -22,9 +22,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.session import materialize
+from meterlake.session import materialize, passing
 
-from .common import map_column, utf8
+from .common import WORD, map_column, utf8
 from .graph import components
 
 WIDTH = 3
@@ -162,11 +162,16 @@ def meets(turns: int, percent: int, x: str, y: str) -> Column:
 
 
 def all_pairs(regions: DataFrame, turns: int, percent: int) -> DataFrame:
-    """a < b of each region that may be linked by their distances and sizes, are not known to be, and of which the smaller is early."""
-    left = regions.where("early").select("region", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"))
-    right = regions.select("region", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"))
+    """a < b of each region that may be linked by their distances and sizes, are not known to be, and of which the smaller is early.
+
+    Two linked sets share nothing before their first common shingle, so in the region of that one they share at most what
+    either has from there on; in their other regions they need not be listed.
+    """
+    left = regions.where("early").select("region", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("root").alias("rx"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"))
+    right = regions.select("region", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("root").alias("ry"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"))
     larger = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
-    fits = larger & (F.col("rx") != F.col("ry")) & (100 * F.col("nx") >= percent * F.col("ny")) & meets(turns, percent, "_x", "_y")
+    rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    fits = larger & (F.col("rx") != F.col("ry")) & linked(rest, F.col("nx"), F.col("ny"), percent) & meets(turns, percent, "_x", "_y")
     return left.join(right, "region").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -196,9 +201,9 @@ def region_links(regions: DataFrame, compare: Comparison, percent: int) -> DataF
         sizes = active.groupBy("region").agg(
             F.count("*").alias("members"), F.min(F.struct(F.col("owner") >= 0, "place", "node")).getField("node").alias("pivot"),
             F.bit_xor(F.xxhash64("node", "owner", "early")).alias("x"), F.bit_xor(F.xxhash64("early", "owner", "node")).alias("y"),
-            F.bool_or("early").alias("any")).where("members > 1 AND any")
-        # regions of the same sets ask the same question once
-        sizes = sizes.groupBy("members", "pivot", "x", "y").agg(F.min("region").alias("region")).select("region", "members", "pivot")
+            F.bool_or("early").alias("any"), F.min("place").alias("first")).where("members > 1 AND any")
+        # regions of the same sets ask the same question once, where their first shingle is
+        sizes = sizes.groupBy("members", "pivot", "x", "y").agg(F.min_by("region", F.struct("first", "region")).alias("region")).select("region", "members", "pivot")
         active = materialize(active.join(sizes, "region").where("node <> pivot").select(
             "region", "members", "node", "n", "place", "early", "owner", F.col("lo").alias("lo_past"), F.col("hi").alias("hi_past"), F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "regions")
         far = compare.distances(active.select("a", "b").distinct())
@@ -244,14 +249,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return rows
 
     base = materialize(map_column(docs, "text", "n int, digest binary, pool array<long>, n_early int", sketch, ["key"]), "sketch")
-    sets = base.where("n > 0").groupBy("digest").agg(
-        F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "pool", "n_early")))
-    sets = materialize(sets.withColumns({"node": F.monotonically_increasing_id(), "last": F.array_max("pool")}), "classes")
-    links = region_links(rare_regions(sets), Comparison(docs, sets, width, percent, classes), percent)
-    rooted = sets.select("digest", "node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    classes = materialize(rooted.join(named, "root").select(F.col("digest").alias("of"), "component"), "components")
-    whole = base.where("n > 0").join(classes, F.col("digest") == F.col("of")).select("key", "n", "component")
+    with passing(docs.sparkSession):
+        sets = base.where("n > 0").groupBy("digest").agg(
+            F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "pool", "n_early")))
+        sets = materialize(sets.withColumns({"node": F.monotonically_increasing_id(), "last": F.array_max("pool")}), "classes")
+        links = region_links(rare_regions(sets), Comparison(docs, sets, width, percent, classes), percent)
+        rooted = sets.select("digest", "node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+        found = materialize(rooted.join(named, "root").select(F.col("digest").alias("of"), "component"), "components", lasting=True)
+    whole = base.where("n > 0").join(found, F.col("digest") == F.col("of")).select("key", "n", "component")
     alone = base.where("n = 0").select("key", "n", F.col("key").alias("component"))
     return whole.unionByName(alone).select("key", F.col("n").cast("long").alias("n_shingles"), "component")
 
@@ -261,8 +267,15 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The row of the least doc_id of each component; rows without words all stay."""
-    rows = materialize(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
-    keyed = rows.select(F.struct(F.col("row.doc_id").alias("doc_id"), "at").alias("key"), F.col("row.text").alias("text"))
-    stays = near_duplicates(keyed, "key", width=width, percent=percent).where("key = component").select(F.col("key.at").alias("at"))
-    return rows.join(stays, "at", "left_semi").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    """The row of the least doc_id of each component, of rows with equal doc_id and text one; rows without words all stay."""
+    texts = docs.withColumns({"near_id": F.col("doc_id"), "near_text": F.xxhash64("text")})
+    keyed = texts.select(F.struct("near_id", "near_text").alias("key"), "text")
+    kept = near_duplicates(keyed, "key", width=width, percent=percent).where("key = component AND n_shingles > 0").groupBy("key").agg(F.count("*").alias("copies"))
+    kept = kept.select(F.col("key.near_id").alias("of_id"), F.col("key.near_text").alias("of_text"), "copies")
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    same = F.col("near_id").eqNullSafe(F.col("of_id")) & (F.col("near_text") == F.col("of_text"))
+    rows = texts.where(worded).join(kept, same)
+    one = Window.partitionBy("near_id", "near_text").orderBy("near_text")
+    repeated = rows.where("copies > 1").withColumn("near_row", F.row_number().over(one)).where("near_row = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.where("copies = 1").select(columns).unionByName(repeated.select(columns)).unionByName(docs.where(~worded))
