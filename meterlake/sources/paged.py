@@ -63,8 +63,8 @@ def page_events(pages: DataFrame) -> DataFrame:
     return pages.select(*kept, F.explode("events").alias("e")).select(*kept, "e.*")
 
 
-def parse_page_events(events: DataFrame, now: Column | datetime, offset_minutes: Column | int = 0) -> DataFrame:
-    """Usable events: text epoch milliseconds, usage present, tokens or cost above zero."""
+def parse_page_events(events: DataFrame, now: Column | datetime, offset_minutes: Column | int = 0, unused: bool = False) -> DataFrame:
+    """Usable events: text epoch milliseconds, usage present, tokens or cost above zero (or any usage, ``unused``)."""
     kept = [c for c in events.columns if c not in ("timestamp", "model", "tokenUsage")]
     return (
         events.filter("tokenUsage IS NOT NULL")
@@ -79,7 +79,7 @@ def parse_page_events(events: DataFrame, now: Column | datetime, offset_minutes:
             to_micro(cost_usd("tokenUsage.totalCents") / 100).alias("cost_micro"),
         )
         .filter(plausible_instant("ts", now))
-        .filter((total_tokens() > 0) | (F.col("cost_micro") > 0))
+        .filter(F.lit(unused) | (total_tokens() > 0) | (F.col("cost_micro") > 0))
         .withColumn("date", local_day("ts", offset_minutes))
     )
 

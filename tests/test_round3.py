@@ -28,6 +28,6 @@ def idle(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["daily_reports", "model_reports"])
+@pytest.mark.parametrize("name", ["daily_reports", "model_reports", "paged_usage"])
 def test_unused_rows_are_reported(spark, idle, name):
     against_sql(spark, idle, name)
