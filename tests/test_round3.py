@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import SparkSession
 
 import __spark_entry__ as driver
 from test_queries import DATA, table
@@ -31,3 +32,10 @@ def idle(tmp_path_factory):
 @pytest.mark.parametrize("name", ["daily_reports", "model_reports", "paged_usage"])
 def test_unused_rows_are_reported(spark, idle, name):
     against_sql(spark, idle, name)
+
+
+def test_reserved_words_do_not_depend_on_their_order(spark, tmp_path, monkeypatch):
+    duckdb.sql(f"COPY (SELECT range AS c_custkey, 'BUILDING' AS c_mktsegment FROM range(60)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    make = SparkSession.createDataFrame
+    monkeypatch.setattr(SparkSession, "createDataFrame", lambda self, data, *a, **k: make(self, list(reversed(data)), *a, **k))
+    against_sql(spark, tmp_path, "screen_registry")
