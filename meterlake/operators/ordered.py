@@ -34,14 +34,18 @@ def _windows(key: Sequence[str], chunk: str, order: Sequence[str]):
 
 
 def _attach(df: DataFrame, chained: DataFrame, key: Sequence[str], chunk: str) -> DataFrame:
-    """Left join of the chunk values on (key, chunk), the partitioning the window already has."""
+    """Left join of the chunk values on (key, chunk), the partitioning and order that the window already has.
+
+    Their number grows with the rows, and Spark's estimate of them before the run may be far too small, so they are merged
+    and never broadcast.
+    """
     keys = [*key, chunk]
     rest = [c for c in chained.columns if c not in keys]
     renamed = chained.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], *rest)
     condition = F.lit(True)
     for i, c in enumerate(keys):
         condition = condition & (F.col(c) == F.col(f"__k{i}"))
-    return df.join(renamed, condition, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+    return df.join(renamed.hint("merge"), condition, "left").drop(*[f"__k{i}" for i in range(len(keys))])
 
 
 @dataclass(frozen=True)

@@ -4,9 +4,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 import __spark_entry__ as driver
+from meterlake.operators.ordered import carry_last
 from test_queries import DATA, table
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="driver tables are not here")
@@ -39,3 +40,15 @@ def test_reserved_words_do_not_depend_on_their_order(spark, tmp_path, monkeypatc
     make = SparkSession.createDataFrame
     monkeypatch.setattr(SparkSession, "createDataFrame", lambda self, data, *a, **k: make(self, list(reversed(data)), *a, **k))
     against_sql(spark, tmp_path, "screen_registry")
+
+
+def test_chunk_summaries_are_merged_not_broadcast(spark):
+    rows = spark.range(1000).selectExpr("id % 7 AS k", "id DIV 10 AS chunk", "id AS o")
+    plan = carry_last(rows, ["k"], "chunk", ["o"], F.when(F.col("o") % 3 == 0, F.col("o")), "last")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["cumulative_deltas"])
+def test_rollouts_are_parsed_once(spark, name):
+    plan = driver.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan
