@@ -19,9 +19,26 @@ def pick_one(df: DataFrame, keys: Sequence[str], best: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), best).alias("__row")).select(*keys, "__row.*").select(*df.columns)
 
 
+def _rank(first: Sequence[str], alias: str | None = None) -> Column:
+    prefix = f"{alias}." if alias else ""
+    return F.struct((-total_tokens(alias)).alias("less"), *[F.col(prefix + c) for c in first])
+
+
 def dedupe_requests(df: DataFrame, keys: Sequence[str] = ("key",), first: Sequence[str] = ("file", "chunk", "ord")) -> DataFrame:
     """One row per request: most total tokens, on a tie the first seen."""
-    return pick_one(df, keys, F.struct((-total_tokens()).alias("less"), *first))
+    return pick_one(df, keys, _rank(first))
+
+
+def merge_deduped(old: DataFrame, new: DataFrame, name: str, key: str = "key", first: Sequence[str] = ("file", "chunk", "ord")) -> DataFrame:
+    """``dedupe_requests`` of two tables that hold each request once; the flag ``name`` tells the requests of ``new``.
+
+    One merge join: nothing is folded before the shuffle, for nothing can be, and no group is built.
+    """
+    a, b = old.alias("old"), new.alias("new")
+    met = a.join(b.hint("merge"), F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer")
+    fresh = F.col(f"new.{key}").isNotNull()
+    wins = fresh & (F.col(f"old.{key}").isNull() | (_rank(first, "new") < _rank(first, "old")))
+    return met.select(*[F.when(wins, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in new.columns], fresh.alias(name))
 
 
 def dedupe_sessions(df: DataFrame, keys: Sequence[str] = ("session_id",), order: str = "ord") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from ..operators.dedupe import dedupe_requests
+from ..operators.dedupe import dedupe_requests, merge_deduped
 from ..operators.ordered import previous, running_sum
 from ..operators.usage import daily_usage
 from ..session import materialize, passing
@@ -73,12 +73,13 @@ def merge_requests(batch: DataFrame, table_path: str, number: int, every: int =
     index = key_days(spark, table_path, fresh, every)
     known = index.rows(number, fresh.select("key"))
     days = materialize(fresh.select("date").union(known.select("date")).distinct(), "days")
-    stored, merged = _table(spark, table_path, fresh), fresh
+    stored, merged, seen = _table(spark, table_path, fresh), fresh, fresh
     if stored is not None:
         old = stored.filter(F.col("key").isNotNull() & F.col("date").isin([r.date for r in days.collect()]))
-        merged = materialize(dedupe_requests(old.unionByName(fresh)), "merged")
+        both = materialize(merge_deduped(old, fresh, "__fresh"), "merged")
+        merged, seen = both.drop("__fresh"), both.filter("__fresh")
     replace_days(merged, days, table_path)
-    index.write(number, merged.join(fresh.select("key"), "key", "left_semi"))
+    index.write(number, seen)
     return days
 
 

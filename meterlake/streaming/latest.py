@@ -69,8 +69,8 @@ class Latest:
         if wanted is not None:
             parts = parts.join(wanted.select(*self.by).distinct(), self.by, "left_semi")
         values = [c for c in self.schema.names if c not in self.keys]
-        newest = parts.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "batch").alias("__row"))
-        return newest.select(*self.keys, "__row.*").select(*self.schema.names)
+        # a key is once in a batch, so all values come from one row; plain ones fold in a hash table, a struct would be sorted
+        return parts.groupBy(*self.keys).agg(*[F.max_by(v, "batch").alias(v) for v in values]).select(*self.schema.names)
 
     def write(self, batch: int, rows: DataFrame) -> None:
         """The rows of a batch, a key once; then a new base if it is time."""

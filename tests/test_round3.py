@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import SparkSession, functions as F
 
 import __spark_entry__ as driver
+from meterlake.functions.columns import TOKEN_COLUMNS
+from meterlake.operators.dedupe import dedupe_requests, merge_deduped
 from meterlake.operators.ordered import carry_last
+from meterlake.streaming.latest import Latest
 from test_queries import DATA, table
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="driver tables are not here")
@@ -52,3 +55,25 @@ def test_chunk_summaries_are_merged_not_broadcast(spark):
 def test_rollouts_are_parsed_once(spark, name):
     plan = driver.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "from_json" not in plan
+
+
+def test_merge_of_deduped_requests_is_their_dedupe(spark):
+    columns = ["key", *TOKEN_COLUMNS, "file", "chunk", "ord"]
+    rows = lambda number: spark.range(200).selectExpr(
+        f"concat('k', id + {number} * 50) AS key", *[f"(id * {number + 3}) % 4 AS {c}" for c in TOKEN_COLUMNS],
+        f"concat('f', (id + {number}) % 2) AS file", "id % 3 AS chunk", f"id * 2 + {number} AS ord")
+    merged = merge_deduped(rows(0), rows(1), "fresh")
+    want = dedupe_requests(rows(0).unionByName(rows(1)))
+    assert sorted(merged.select(columns).collect()) == sorted(want.select(columns).collect())
+    assert merged.filter("fresh").count() == 200
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "SortMergeJoin" in plan
+
+
+def test_newest_plain_values_are_not_sorted(spark, tmp_path):
+    index = Latest(spark, str(tmp_path), spark.range(0).selectExpr("cast(id AS string) AS key", "date '2026-01-01' AS date").schema, ["key"])
+    for batch in range(3):
+        index.write(batch, spark.range(5 + batch).selectExpr("cast(id AS string) AS key", f"CASE WHEN id <> 2 OR {batch} < 2 THEN date '2026-01-0{batch + 1}' END AS date"))
+    rows = index.rows(3)
+    assert "SortAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.key: r.date and r.date.day for r in rows.collect()} == {"0": 3, "1": 3, "2": None, "3": 3, "4": 3, "5": 3, "6": 3}
