@@ -133,16 +133,17 @@ class LimitTables:
         columns = ["key", "hour", "at", "id", "percent", "reset_at", "role", "edge"]
 
         def with_ends(edge: str, first: int) -> DataFrame:
-            """Each sample once; one alone in its hour may both follow and lead, and counts as ``first``."""
-            around = own.withColumn("edge", place == F.col(edge)).select(columns)
-            for end in (following, leading):
-                around = around.unionByName(end.select(columns))
+            """Each sample once; one alone in its hour may both follow and lead, and counts as ``first``.
+
+            The ends lie in other hours than the chunks' own samples, so only they can meet. Written, for the scan reads it twice.
+            """
             pick = F.min_by(F.struct("hour", "percent", "reset_at", "role", "edge"), F.when(F.col("role") == first, -1).otherwise(F.col("role")))
-            return around.groupBy(*PLACE).agg(pick.alias("r")).select(*PLACE, "r.*")
+            both = following.select(columns).unionByName(leading.select(columns)).groupBy(*PLACE).agg(pick.alias("r")).select(*PLACE, "r.*")
+            return materialize(own.withColumn("edge", place == F.col(edge)).select(columns).unionByName(both), "with-ends")
 
         marks = fresh.select("key", "hour", F.explode(F.array(F.lit(True), F.lit(False))).alias("edge"))
-        alerts = threshold_alerts(with_ends("__first", 1), ["key"], self.levels, ["hour", "edge", "role"]).filter("role < 2")
         if "alerts" in self.results:
+            alerts = threshold_alerts(with_ends("__first", 1), ["key"], self.levels, ["hour", "edge", "role"]).filter("role < 2")
             # also a chunk without alerts replaces those it had
             every = marks.unionByName(following.select("key", "hour", "edge"))
             self._write(alerts.drop("role").unionByName(every, allowMissingColumns=True), "alerts", number)

@@ -10,7 +10,9 @@ import __spark_entry__ as driver
 from meterlake.functions.columns import TOKEN_COLUMNS
 from meterlake.operators.dedupe import dedupe_requests, merge_deduped
 from meterlake.operators.ordered import carry_last
+from meterlake.streaming import limit_tables
 from meterlake.streaming.latest import Latest
+from meterlake.streaming.limit_tables import limit_steps
 from test_queries import DATA, table
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="driver tables are not here")
@@ -77,3 +79,13 @@ def test_newest_plain_values_are_not_sorted(spark, tmp_path):
     rows = index.rows(3)
     assert "SortAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
     assert {r.key: r.date and r.date.day for r in rows.collect()} == {"0": 3, "1": 3, "2": None, "3": 3, "4": 3, "5": 3, "6": 3}
+
+
+def test_samples_around_a_chunk_are_written_before_their_scan(spark, tmp_path, monkeypatch):
+    scanned = []
+    monkeypatch.setattr(limit_tables, "limit_steps", lambda rows, keys: scanned.append(rows._jdf.queryExecution().executedPlan().toString()) or limit_steps(rows, keys))
+    tables = limit_tables.LimitTables(spark, str(tmp_path), results=["steps"])
+    for number, hour in enumerate((1, 3, 2)):
+        tables.add(spark.sql(f"SELECT 'a' AS key, timestamp '2026-08-01 00:00:00' + make_interval(0, 0, 0, 0, {hour}) AS at, {hour}L AS id, {hour * 10}D AS percent, timestamp '2026-08-02' AS reset_at"), number)
+    assert len(scanned) == 3 and not any("Exchange" in plan or "Aggregate" in plan for plan in scanned)
+    assert sorted(r.percent for r in tables.limits(F.timestamp_micros(F.lit(1785600000000000))).collect()) == [10.0, 20.0, 30.0]
