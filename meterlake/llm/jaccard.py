@@ -34,6 +34,8 @@ REGION = 16
 ROUNDS = 4
 #: Cells in which shingles are counted; the table of their classes has a byte a cell, whatever the input.
 CELLS = 1 << 20
+#: Neighbouring cells that are counted in one row.
+ROW = 16
 HASH_BITS = 56
 MASK = np.uint64((1 << HASH_BITS) - 1)
 
@@ -76,22 +78,26 @@ def pool_sizes(n: int, percent: int) -> tuple[int, int]:
 
 def shingle_classes(docs: DataFrame, width: int, cells: int = CELLS) -> np.ndarray:
     """Binary logarithm of the number of shingles of all texts in each cell of their hash."""
+    counts = [f"n{k}" for k in range(ROW)]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(cells, np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 at, n = np.unique(shingle_hashes(text, width) & np.uint64(cells - 1), return_counts=True)
                 found[at] += n
-        at = np.flatnonzero(found)
-        for k in range(0, len(at), 1 << 16):
-            part = at[k:k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(found[part])], names=["cell", "n"])
+        rows = found.reshape(-1, ROW)
+        at = np.flatnonzero(rows.any(axis=1))
+        for k in range(0, len(at), 1 << 14):
+            part = at[k:k + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *map(pa.array, rows[part].T.copy())], names=["block", *counts])
 
-    sums = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = sums.select("cell", F.floor(F.log2("n")).cast("tinyint").alias("class")).toArrow()  # five bytes a cell
-    classes = np.zeros(cells, np.uint8)
-    classes[table.column("cell").to_numpy()] = table.column("class").to_numpy()
-    return classes
+    fields = ", ".join(f"{c} long" for c in counts)
+    sums = docs.select("text").mapInArrow(count, f"block int, {fields}").groupBy("block").agg(*(F.sum(c).alias(c) for c in counts))
+    table = sums.select("block", *(F.floor(F.log2(F.greatest(c, F.lit(1)))).cast("tinyint").alias(c) for c in counts)).toArrow()  # little more than a byte a cell
+    classes = np.zeros((cells // ROW, ROW), np.uint8)
+    classes[table.column("block").to_numpy()] = np.stack([table.column(c).to_numpy() for c in counts], axis=1)
+    return classes.reshape(-1)
 
 
 def set_digest(found: np.ndarray) -> bytes | None:
@@ -248,18 +254,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             rows.append((n, set_digest(found), found[:size].astype(np.int64) if n else None, early))
         return rows
 
-    base = materialize(map_column(docs, "text", "n int, digest binary, pool array<long>, n_early int", sketch, ["key"]), "sketch")
     with passing(docs.sparkSession):
-        sets = base.where("n > 0").groupBy("digest").agg(
-            F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "pool", "n_early")))
-        sets = materialize(sets.withColumns({"node": F.monotonically_increasing_id(), "last": F.array_max("pool")}), "classes")
+        with passing(docs.sparkSession):
+            base = materialize(map_column(docs, "text", "n int, digest binary, pool array<long>, n_early int", sketch, ["key"]), "sketch")
+            sets = base.where("n > 0").groupBy("digest").agg(
+                F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "pool", "n_early")))
+            sets = materialize(sets.withColumns({"node": F.monotonically_increasing_id(), "last": F.array_max("pool")}), "classes", lasting=True)
+            base = materialize(base.select("key", "n", "digest"), "sizes", lasting=True)
         links = region_links(rare_regions(sets), Comparison(docs, sets, width, percent, classes), percent)
         rooted = sets.select("digest", "node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-        found = materialize(rooted.join(named, "root").select(F.col("digest").alias("of"), "component"), "components", lasting=True)
-    whole = base.where("n > 0").join(found, F.col("digest") == F.col("of")).select("key", "n", "component")
-    alone = base.where("n = 0").select("key", "n", F.col("key").alias("component"))
-    return whole.unionByName(alone).select("key", F.col("n").cast("long").alias("n_shingles"), "component")
+        found = rooted.join(named, "root").select(F.col("digest").alias("of"), "component")
+        whole = base.where("n > 0").join(found, F.col("digest") == F.col("of")).select("key", "n", "component")
+        alone = base.where("n = 0").select("key", "n", F.col("key").alias("component"))
+        done = whole.unionByName(alone).select("key", F.col("n").cast("long").alias("n_shingles"), "component")
+        return materialize(done, "components", lasting=True)
 
 
 def op8(docs: DataFrame) -> DataFrame:

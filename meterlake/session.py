@@ -89,11 +89,13 @@ def materialize(df: DataFrame, name: str = "stage", lasting: bool = False) -> Da
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     Lineage ends there, so lost executors cost nothing; and unlike an RDD checkpoint the table keeps
-    column pruning and a known size for join planning. A ``lasting`` one stays beyond the block of ``passing``.
+    column pruning and a known size for join planning. A ``lasting`` one stays beyond the block of ``passing``, until
+    the end of the block around it if there is one.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    if _PASSING and not lasting:
-        _PASSING[-1].append(path)
+    blocks = _PASSING[:-1] if lasting else _PASSING
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -154,6 +155,34 @@ def test_jaccard_far_pivot_keeps_linked_sets(spark):
     check_sets(spark, sets)
 
 
+def test_shingle_classes(spark):
+    texts = ["a b a b", None, "c " * 9, *documents(20)]
+    counts = Counter(int(h) % 64 for t in texts for h in jaccard.shingle_hashes(t, 2))
+    got = jaccard.shingle_classes(spark.createDataFrame([(t,) for t in texts], "text string"), 2, 64)
+    assert got.tolist() == [max(counts[k], 1).bit_length() - 1 for k in range(64)]
+
+
+def staged(spark, name):
+    return {p.name for p in Path(spark.conf.get("spark.checkpoint.dir")).glob(f"{name}-*")}
+
+
+def test_near_duplicates_drop_what_they_no_longer_read(spark, docs, monkeypatch):
+    """The sketch of all rows goes before pairs are looked for; at the end one narrow table stays."""
+    before, during, build = {n: staged(spark, n) for n in ("sketch", "*")}, [], jaccard.rare_regions
+    monkeypatch.setattr(jaccard, "rare_regions", lambda *a: during.append(staged(spark, "sketch") - before["sketch"]) or build(*a))
+    rows = jaccard.near_duplicates(docs).count()
+    left = staged(spark, "*") - before["*"]
+    assert during == [set()] and rows == docs.count() and [n.split("-")[0] for n in left] == ["components"]
+
+
+def test_keep_good_writes_no_copy(spark, docs):
+    before = staged(spark, "quality")
+    kept = quality_rules.keep_good(docs)
+    assert staged(spark, "quality") == before
+    want = {r.doc_id for r in quality_rules.op1(docs).collect() if r.kept}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want and len(want) < docs.count()
+
+
 def test_one_of_each_keeps_columns(docs):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() < docs.count()
