@@ -3,15 +3,16 @@
 Pivots cut the space into regions. The first pivots are the single shingles, ordered from rare to common by counts over
 all documents. A set lies in the regions of its first shingles only: linked sets share so much that the first shingle
 that they have in common stands early in both, and in the smaller one earlier still, so passages that many documents
-have make hardly any regions. Every region is then cut around one of its sets: those within the threshold of the pivot
+have make hardly any regions; and a region holds only sets of sizes that a link allows. Every region is then cut around one of its sets: those within the threshold of the pivot
 are linked to it; the rest form the next region, and of the linked ones only those stay beside them whose distance to
 the pivot is by the triangle inequality near enough to a set that is not linked to the same pivot. Regions whose sets are
-all of one component are done; small ones are compared in full.
+all of one component are done; small ones are compared in full, those that are small from the start without a cut.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
@@ -150,11 +151,13 @@ class Comparison:
         bounds = sides(pairs, self.sets, "n", "pool", "last").select("a", "b", "n_a", "n_b", most_shared().alias("most"))
         bounds = materialize(bounds.withColumn("open", may(F.col("most"))), "bounds")
         asked = bounds.where("open").select("a", "b")
+        ruled = bounds.where("NOT open").select("a", "b", F.lit(False).alias("linked"), far(F.col("most")).alias("lo"), F.lit(1.0).alias("hi"))
+        if asked.isEmpty():
+            return ruled
         self.build(asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).distinct())
         inter = F.size(F.array_intersect("full_a", "full_b"))
         exact = sides(asked, self.built, "n", "full").select("a", "b", "n_a", "n_b", inter.alias("inter"))
         exact = exact.select("a", "b", may(F.col("inter")).alias("linked"), far(F.col("inter")).alias("lo"), far(F.col("inter")).alias("hi")).distinct()
-        ruled = bounds.where("NOT open").select("a", "b", F.lit(False).alias("linked"), far(F.col("most")).alias("lo"), F.lit(1.0).alias("hi"))
         return materialize(exact.unionByName(ruled), "distances")
 
 
@@ -164,74 +167,94 @@ def meets(turns: int, percent: int, x: str, y: str) -> Column:
     Only an exact distance has an upper bound below 1, so a lower bound alone rules nothing out from above.
     """
     reach = 1 - percent / 100 + 1e-9
-    return reduce(and_, (F.get(f"lo{a}", F.lit(k)) <= F.get(f"hi{b}", F.lit(k)) + reach for k in range(turns) for a, b in ((x, y), (y, x))))
+    near = (F.get(f"lo{a}", F.lit(k)) <= F.get(f"hi{b}", F.lit(k)) + reach for k in range(turns) for a, b in ((x, y), (y, x)))
+    return reduce(and_, near, F.lit(True))
 
 
 def all_pairs(regions: DataFrame, turns: int, percent: int) -> DataFrame:
-    """a < b of each region that may be linked by their distances and sizes, are not known to be, and of which the smaller is early.
+    """a < b of each region that may be linked by their distances and sizes, are not known to be, and of which the smaller is early and the larger of the region's band.
 
     Two linked sets share nothing before their first common shingle, so in the region of that one they share at most what
     either has from there on; in their other regions they need not be listed.
     """
     left = regions.where("early").select("region", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("root").alias("rx"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"))
-    right = regions.select("region", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("root").alias("ry"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"))
+    right = regions.where("native").select("region", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("root").alias("ry"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"))
     larger = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
     rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     fits = larger & (F.col("rx") != F.col("ry")) & linked(rest, F.col("nx"), F.col("ny"), percent) & meets(turns, percent, "_x", "_y")
     return left.join(right, "region").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def rare_regions(sets: DataFrame) -> DataFrame:
-    """region (a shingle), node, n, place, early: each set in the regions of its pool where a link may be found first.
+def size_band(n: Column, percent: int) -> Column:
+    """Linked sets are of the same band or of neighbouring ones; a band is a little wider than the sizes that a link allows."""
+    return F.floor(F.log(n) / math.log(100 / percent * (1 + 1e-9)))
+
 
-    Regions of the same sets become one, in which a set is early if it is so in one of them.
+def rare_regions(sets: DataFrame, percent: int) -> DataFrame:
+    """region, members, node, n, place, early, native: each set in the regions of its pool where a link may be found first.
+
+    A region is a shingle and a band of sizes: that of the larger set of a link, which is native there. The smaller one is
+    native too, or of the band below; so sets of any size that share a shingle by chance do not meet. Regions of the same
+    sets become one, in which a set is early if it is so in one of them.
     """
-    posts = sets.select("node", "n", "n_early", F.posexplode("pool").alias("place", "region")).select(
-        "region", "node", "n", "place", (F.col("place") < F.col("n_early")).alias("early"))
-    shared = posts.groupBy("region").agg(
+    posts = sets.select("node", "n", "n_early", F.posexplode("pool").alias("place", "shingle"))
+    shared = posts.groupBy("shingle").agg(F.count("*").alias("members"), F.bool_or(F.col("place") < F.col("n_early")).alias("any")).where("members > 1 AND any")
+    met = posts.join(shared.select("shingle"), "shingle").select("shingle", "node", "n", "place", (F.col("place") < F.col("n_early")).alias("early"), size_band("n", percent).alias("own"))
+    met = materialize(met.select("*", F.explode(F.when(F.col("early"), F.array("own", F.col("own") + 1)).otherwise(F.array("own"))).alias("band")).select(
+        "shingle", "band", "node", "n", "place", "early", (F.col("band") == F.col("own")).alias("native")), "posts")
+    regions = met.groupBy("shingle", "band").agg(
         F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
-        F.bool_or("early").alias("any")).where("members > 1 AND any")
-    one = shared.select("region", F.min("region").over(Window.partitionBy("members", "x", "y")).alias("first"))
-    several = posts.join(one, "region")
-    return several.groupBy(F.col("first").alias("region"), "node").agg(
-        F.first("n").alias("n"), F.min("place").alias("place"), F.bool_or("early").alias("early"))
+        F.bool_or("early").alias("any"), F.bool_or("native").alias("natives"),
+        F.min(F.col("n") - F.col("place")).alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("members > 1 AND any AND natives")
+    regions = regions.where((F.col("members") > 2) | linked(F.col("rest"), F.col("lo"), F.col("hi"), percent))  # most that share by chance are two
+    same = Window.partitionBy("band", "members", "x", "y")
+    one = regions.select("shingle", "band", "members", F.min("shingle").over(same).alias("first"))
+    return met.join(one, ["shingle", "band"]).groupBy(F.xxhash64("first", "band").alias("region"), "node").agg(
+        F.first("members").alias("members"), F.first("n").alias("n"), F.min("place").alias("place"), F.bool_or("early").alias("early"), F.bool_or("native").alias("native"))
 
 
 def region_links(regions: DataFrame, compare: Comparison, percent: int) -> DataFrame:
     """Links (a, b) between nodes of the same region, up to those that follow from others."""
-    found: DataFrame | None = None
     none = F.array().cast("array<double>")
     # owner: the turn whose pivot the set is linked to, -1 for the rest; lo and hi: bounds of its distance to each turn's pivot
-    active = regions.withColumns({"owner": F.lit(-1), "lo": none, "hi": none})
+    regions = materialize(regions.withColumns({"owner": F.lit(-1), "lo": none, "hi": none}), "regions")
+    small = regions.where(F.col("members") <= REGION).withColumn("root", F.col("node"))
+    found = materialize(compare.distances(all_pairs(small, 0, percent)).where("linked").select("a", "b"), "found")
+    active = regions.where(F.col("members") > REGION).drop("members")
     for turn in range(ROUNDS):
+        if active.isEmpty():
+            break
         sizes = active.groupBy("region").agg(
             F.count("*").alias("members"), F.min(F.struct(F.col("owner") >= 0, "place", "node")).getField("node").alias("pivot"),
-            F.bit_xor(F.xxhash64("node", "owner", "early")).alias("x"), F.bit_xor(F.xxhash64("early", "owner", "node")).alias("y"),
-            F.bool_or("early").alias("any"), F.min("place").alias("first")).where("members > 1 AND any")
+            F.bit_xor(F.xxhash64("node", "owner", "early", "native")).alias("x"), F.bit_xor(F.xxhash64("native", "early", "owner", "node")).alias("y"),
+            F.bool_or("early").alias("any"), F.bool_or("native").alias("natives"), F.min("place").alias("first")).where("members > 1 AND any AND natives")
         # regions of the same sets ask the same question once, where their first shingle is
         sizes = sizes.groupBy("members", "pivot", "x", "y").agg(F.min_by("region", F.struct("first", "region")).alias("region")).select("region", "members", "pivot")
         active = materialize(active.join(sizes, "region").where("node <> pivot").select(
-            "region", "members", "node", "n", "place", "early", "owner", F.col("lo").alias("lo_past"), F.col("hi").alias("hi_past"), F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "regions")
+            "region", "members", "node", "n", "place", "early", "native", "owner", F.col("lo").alias("lo_past"), F.col("hi").alias("hi_past"), F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), "regions")
         far = compare.distances(active.select("a", "b").distinct())
         fresh = far.where("linked").select("a", "b")
-        found = fresh if found is None else materialize(found.unionByName(fresh), "found")
+        found = materialize(found.unionByName(fresh), "found")
         placed = materialize(active.join(far, ["a", "b"]).select(
-            "region", "members", "node", "n", "place", "early", F.array_append("lo_past", F.col("lo")).alias("lo"),
+            "region", "members", "node", "n", "place", "early", "native", F.array_append("lo_past", F.col("lo")).alias("lo"),
             F.array_append("hi_past", F.col("hi")).alias("hi"), F.when(F.col("linked") & (F.col("owner") < 0), turn).otherwise(F.col("owner")).alias("owner")), "placed")
         others = placed.groupBy(F.col("region").alias("of"), F.col("owner").alias("other")).agg(
             F.array(*(F.min(F.get("lo", F.lit(k))) for k in range(turn + 1))).alias("lo_other"),
             F.array(*(F.max(F.get("hi", F.lit(k))) for k in range(turn + 1))).alias("hi_other"))
         near = (F.col("region") == F.col("of")) & (F.col("owner") != F.col("other")) & meets(turn + 1, percent, "", "_other")
         ring = placed.where("owner < 0").unionByName(placed.where("owner >= 0").join(others, near, "left_semi"))
-        known = ring.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = components(found)
+        found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stars, which the next turn's components begin with
+        known = ring.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         undecided = known.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
         known = materialize(known.join(undecided, "region"), "open")
+        if known.isEmpty():
+            break
         small = known if turn == ROUNDS - 1 else known.where(F.col("members") <= REGION)
         fresh = compare.distances(all_pairs(small, turn + 1, percent)).where("linked").select("a", "b")
-        found = materialize(found.unionByName(fresh), "found")
-        active = known.where(F.col("members") > REGION).select("region", "node", "n", "place", "early", "owner", "lo", "hi")
-        if turn == ROUNDS - 1 or active.isEmpty():
-            break
+        if not fresh.isEmpty():
+            found = materialize(found.unionByName(fresh), "found")
+        active = known.where(F.col("members") > REGION).select("region", "node", "n", "place", "early", "native", "owner", "lo", "hi")
     return found
 
 
@@ -261,7 +284,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "pool", "n_early")))
             sets = materialize(sets.withColumns({"node": F.monotonically_increasing_id(), "last": F.array_max("pool")}), "classes", lasting=True)
             base = materialize(base.select("key", "n", "digest"), "sizes", lasting=True)
-        links = region_links(rare_regions(sets), Comparison(docs, sets, width, percent, classes), percent)
+        links = region_links(rare_regions(sets, percent), Comparison(docs, sets, width, percent, classes), percent)
         rooted = sets.select("digest", "node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = rooted.groupBy("root").agg(F.min("least").alias("component"))
         found = rooted.join(named, "root").select(F.col("digest").alias("of"), "component")

@@ -155,6 +155,23 @@ def test_jaccard_far_pivot_keeps_linked_sets(spark):
     check_sets(spark, sets)
 
 
+def test_jaccard_sizes_that_no_link_allows(spark, monkeypatch):
+    """Every word is in one set of 20 and one of 200, so early shingles meet by chance; no such pair is asked for."""
+    asked, distances = [], jaccard.Comparison.distances
+    monkeypatch.setattr(jaccard.Comparison, "distances", lambda self, pairs: asked.append(pairs.count()) or distances(self, pairs))
+    check_sets(spark, [{f"w{i}" for i in range(k, k + n)} for n in (20, 200) for k in range(0, 1000, n)])
+    assert sum(asked) == 0
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_sizes_of_neighbouring_bands(spark, percent):
+    """Chains of growing sets, whose links cross the bands of sizes, and sets of the sizes round each band's end."""
+    core = by_hash("g", 220)
+    chain = [{*core[:n]} for n in range(8, 220, 7)]
+    ends = [{f"e{k}w{i}" for i in range(n)} for k in (18, 45, 90, 99, 180) for n in (k, -(-100 * k // percent) - 1, 100 * k // percent, 100 * k // percent + 1)]
+    check_sets(spark, [*chain, *ends], percent)
+
+
 def test_shingle_classes(spark):
     texts = ["a b a b", None, "c " * 9, *documents(20)]
     counts = Counter(int(h) % 64 for t in texts for h in jaccard.shingle_hashes(t, 2))
